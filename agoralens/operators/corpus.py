@@ -1,9 +1,8 @@
 """Token frame, token cleaning, frequencies, vocabulary and term matrix.
 
-The unit is the long frame (doc_id, pos, token). Token functions depend on the
-token alone, so frequency reports count raw tokens first (map-side, which also
-takes the weight out of very frequent tokens) and clean, lemmatise and stem
-the distinct tokens afterwards.
+The unit is the long frame (doc_id, pos, token). Reports that only need counts
+count first (map-side, which takes the weight out of very frequent tokens) and
+remove stop words, lemmatise and stem the distinct tokens afterwards.
 """
 
 from __future__ import annotations
@@ -14,7 +13,15 @@ from functools import reduce
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from agoralens.functions.text import is_alphabetic, join_tokens, longer_than, normal_form, tokenize
+from agoralens.functions.text import (
+    clean_terms,
+    is_alphabetic,
+    join_tokens,
+    longer_than,
+    normal_form,
+    normal_tokens,
+    tokenize,
+)
 
 # Shortest kept lengths are one above these; most frequent terms
 # shown; terms in a word cloud; document-frequency bounds of a vocabulary;
@@ -68,16 +75,15 @@ def remove_stop_words(tokens: DataFrame, stops: DataFrame, token: str = "token")
     return tokens.join(stops.withColumnRenamed("token", token), token, "left_anti")
 
 
-def clean_tokens(tokens: DataFrame, stops: DataFrame) -> DataFrame:
-    """Normal form, no stop words, letters only, more than three letters.
+def clean_tokens(df: DataFrame, stops: DataFrame, text: str = "text", keys: Iterable[str] = ("doc_id",)) -> DataFrame:
+    """The token frame in normal form: no stop words, letters only, more than
+    three letters. Positions are those of the raw tokens.
 
-    The row-wise tests run before the join; they commute with it and most
-    tokens need not reach it.
+    The tokens are put into normal form before they are exploded: a column
+    computed afterwards would be computed again in every filter on it.
     """
-    token = F.col("token")
-    kept = tokens.withColumn("token", normal_form(token)).filter(
-        is_alphabetic(token) & longer_than(token, CLEAN_LONGER_THAN)
-    )
+    tokens = df.select(*keys, F.posexplode(normal_tokens(F.col(text))).alias("pos", "token"))
+    kept = tokens.filter(is_alphabetic(F.col("token")) & longer_than(F.col("token"), CLEAN_LONGER_THAN))
     return remove_stop_words(kept, stops).select(*tokens.columns)
 
 
@@ -135,6 +141,13 @@ def token_counts(df: DataFrame, text: str = "text") -> DataFrame:
     return tokens.groupBy("token").agg(F.count("*").alias("n"))
 
 
+def clean_counts(df: DataFrame, stops: DataFrame, text: str = "text") -> DataFrame:
+    """(token, n) of the clean tokens. Stop words leave after counting, where
+    each is one row instead of a large part of the corpus."""
+    tokens = df.select(F.explode(clean_terms(F.col(text), CLEAN_LONGER_THAN)).alias("token"))
+    return remove_stop_words(tokens.groupBy("token").agg(F.count("*").alias("n")), stops)
+
+
 def merge_counts(counts: DataFrame) -> DataFrame:
     """Add up counts of tokens that a token function has made equal."""
     return counts.groupBy("token").agg(F.sum("n").alias("n"))
@@ -165,8 +178,7 @@ def document_frequency(df: DataFrame, stops: DataFrame, text: str = "text") -> D
     Repeats within a document are removed inside the row, so the only shuffle
     carries partial counts per term and needs no distinct on (term, document).
     """
-    normal = F.transform(F.array_distinct(tokenize(F.col(text))), normal_form)
-    terms = F.array_distinct(F.filter(normal, lambda t: is_alphabetic(t) & longer_than(t, CLEAN_LONGER_THAN)))
+    terms = F.array_distinct(clean_terms(F.col(text), CLEAN_LONGER_THAN))
     per_term = df.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     return remove_stop_words(per_term, stops, "term")
 
@@ -181,12 +193,13 @@ def vocabulary(df: DataFrame, stops: DataFrame, text: str = "text") -> DataFrame
     return within_bounds(document_frequency(df, stops, text), df)
 
 
-def term_matrix(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Long (doc_id, term, tf) over the vocabulary.
+def term_matrix(df: DataFrame, vocab: DataFrame, text: str = "text") -> DataFrame:
+    """Long (doc_id, term, tf) over the vocabulary, which has no stop words.
 
-    `tokens` are clean. Counting first makes the join see one row per document
-    and term; a vocabulary too big to broadcast is joined by shuffle, where
-    adaptive execution splits the partitions of very common terms.
+    Counting first makes the join see one row per document and term; a
+    vocabulary too big to broadcast is joined by shuffle, where adaptive
+    execution splits the partitions of very common terms.
     """
-    counts = tokens.groupBy("doc_id", F.col("token").alias("term")).agg(F.count("*").alias("tf"))
+    terms = df.select("doc_id", F.explode(clean_terms(F.col(text), CLEAN_LONGER_THAN)).alias("term"))
+    counts = terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     return counts.join(vocab.select("term"), "term", "left_semi").select("doc_id", "term", "tf")

@@ -37,7 +37,7 @@ class Lexicon:
     weights: Mapping[str, float]
     bias: float = 0.0
 
-    def score(self, text: Column) -> Column:
+    def logit(self, text: Column) -> Column:
         # One regex pass finds all terms; the weights then sum over the few hits.
         terms = "|".join(re.escape(t) for t in self.weights)
         hits = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"\b(?:{terms})\b"), F.lit(0)))
@@ -47,12 +47,17 @@ class Lexicon:
             start = F.when(hit == first[0], F.lit(first[1]))
             return reduce(lambda c, item: c.when(hit == item[0], F.lit(item[1])), rest, start)
 
-        total = F.aggregate(hits, F.lit(float(self.bias)), lambda acc, hit: acc + weight(hit))
-        prob = 1 / (1 + F.exp(-total))
-        return F.struct(
-            (prob >= 0.5).cast("int").alias("prediction"),
-            F.greatest(prob, 1 - prob).alias("prediction_prob"),
-        )
+        return F.aggregate(hits, F.lit(float(self.bias)), lambda acc, hit: acc + weight(hit))
+
+
+def logistic_score(logit: Column) -> Column:
+    """Predicted class and the probability of that class. Give it a column,
+    not the expression behind it, which would be computed for each use."""
+    prob = 1 / (1 + F.exp(-logit))
+    return F.struct(
+        (prob >= 0.5).cast("int").alias("prediction"),
+        F.greatest(prob, 1 - prob).alias("prediction_prob"),
+    )
 
 
 @dataclass(frozen=True)
@@ -88,7 +93,8 @@ def score_posts(
     """
     eligible = F.col("token_count") > min_tokens
     if isinstance(scorer, Lexicon):
-        scored = df.withColumn("model_output", guarded(eligible, scorer.score(F.col("user_posting"))))
+        logit = guarded(eligible, scorer.logit(F.col("user_posting")))
+        scored = df.withColumn("_logit", logit).withColumn("model_output", logistic_score(F.col("_logit"))).drop("_logit")
     elif isinstance(scorer, BatchScorer):
         if parallelism:
             df = df.repartition(parallelism)

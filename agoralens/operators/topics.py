@@ -6,32 +6,36 @@ from pyspark.ml.clustering import LDA
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, functions as F
 
-from agoralens.operators.corpus import MAX_DF, MIN_DF
+from agoralens.functions.text import clean_terms
+from agoralens.operators.corpus import CLEAN_LONGER_THAN, remove_stop_words, within_bounds
 from agoralens.session import materialise
 
-# Topics, terms shown per topic, random seed.
+# Topics, terms shown per topic, random seed, iterations.
 TOPICS = 5
 TOPIC_TERMS = 10
 SEED = 42
+MAX_ITER = 10
 
 
-def topic_documents(tokens: DataFrame, per: str = "document") -> DataFrame:
-    """Documents of the model, as (doc_id, terms).
+def topic_documents(df: DataFrame, per: str = "document", text: str = "text") -> DataFrame:
+    """Documents of the model, one array of clean terms per row.
 
     per="document" takes posts as documents; per="token" takes every token as
-    a document of its own.
+    a document of its own. Stop words are kept out by the vocabulary.
     """
+    terms = clean_terms(F.col(text), CLEAN_LONGER_THAN)
     if per == "token":
-        return tokens.select(F.concat_ws("-", "doc_id", "pos").alias("doc_id"), F.array("token").alias("terms"))
-    return tokens.groupBy("doc_id").agg(F.collect_list("token").alias("terms"))
+        return df.select(F.explode(terms).alias("term")).select(F.array("term").alias("terms"))
+    return df.select(terms.alias("terms"))
 
 
 def topics(
     documents: DataFrame,
+    stops: DataFrame,
     k: int = TOPICS,
     terms: int = TOPIC_TERMS,
     seed: int = SEED,
-    max_iter: int = 20,
+    max_iter: int = MAX_ITER,
     max_vocabulary: int = 5_000_000,
 ) -> DataFrame:
     """(topic, rank, term, weight): the top terms of each topic.
@@ -41,24 +45,25 @@ def topics(
     `max_vocabulary` is refused rather than cut down silently.
     """
     spark = documents.sparkSession
-    # Read by every iteration: written once, not recomputed.
+    # Written once: the vocabulary and every iteration of the fit read it.
     documents = materialise(documents)
-    frequency = documents.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    total = documents.agg(F.count("*")).scalar()
-    vocab = materialise(frequency.filter((F.col("df") >= MIN_DF) & (F.col("df") <= MAX_DF * total)).select("term"))
+    occurrences = documents.select(F.explode(F.array_distinct("terms")).alias("term"))
+    frequency = remove_stop_words(occurrences.groupBy("term").agg(F.count("*").alias("df")), stops, "term")
+    vocab = materialise(within_bounds(frequency, documents).select("term"))
     size = vocab.count()
     if size > max_vocabulary:
-        raise ValueError(f"{size} terms exceed max_vocabulary={max_vocabulary}; raise min_df or the driver memory")
+        raise ValueError(f"{size} terms exceed max_vocabulary={max_vocabulary}; raise it together with driver memory")
+    schema = "topic int, rank int, term string, weight double"
     if size == 0:
-        return spark.createDataFrame([], "topic int, rank int, term string, weight double")
-    words = [row.term for row in vocab.orderBy("term").toLocalIterator()]
-    vectors = CountVectorizerModel.from_vocabulary(words, inputCol="terms", outputCol="features").transform(documents)
-    model = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online").fit(vectors.select("features"))
-    described = model.describeTopics(terms)
-    ranked = described.select(
-        "topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "pair")
-    )
-    index = spark.createDataFrame(list(enumerate(words)), "term_index int, term string")
-    return ranked.join(index, F.col("pair.termIndices") == F.col("term_index")).select(
-        "topic", "rank", "term", F.col("pair.termWeights").alias("weight")
-    )
+        return spark.createDataFrame([], schema)
+    words = vocab.orderBy("term").toPandas()["term"].tolist()
+    vectorise = CountVectorizerModel.from_vocabulary(words, inputCol="terms", outputCol="features")
+    vectors = vectorise.transform(documents).select("features")
+    model = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online").fit(vectors)
+    # (topics x terms) rows: the report itself.
+    report = [
+        (row.topic, rank, words[index], weight)
+        for row in model.describeTopics(terms).collect()
+        for rank, (index, weight) in enumerate(zip(row.termIndices, row.termWeights))
+    ]
+    return spark.createDataFrame(report, schema)

@@ -137,9 +137,11 @@ def percentage(spark, sf_dir):
 # --- tokens --------------------------------------------------------------------------
 
 
-@query(f"select doc_id, {sql.words('text')} as tokens from documents", name="tokenize")
+@query(f"select doc_id, array_to_string({sql.words('text')}, ' ') as tokens from documents", name="tokenize")
 def tokenize_query(spark, sf_dir):
-    return fixtures.documents(spark, sf_dir).select("doc_id", tx.tokenize(F.col("text")).alias("tokens"))
+    """Token arrays, shown as text with a space between tokens."""
+    tokens = tx.join_tokens(tx.tokenize(F.col("text")))
+    return fixtures.documents(spark, sf_dir).select("doc_id", tokens.alias("tokens"))
 
 
 @query(f"select doc_id, cast(len({sql.words('text')}) as integer) as count_text from documents")
@@ -201,12 +203,11 @@ def keep_longer_than(spark, sf_dir):
 
 
 def clean(spark, sf_dir) -> DataFrame:
-    return co.clean_tokens(co.flatten_tokens(fixtures.documents(spark, sf_dir)), stops(spark))
+    return co.clean_tokens(fixtures.documents(spark, sf_dir), stops(spark))
 
 
-def clean_counts(df: DataFrame, stop_table: DataFrame) -> DataFrame:
-    """Counts of clean tokens: counted raw, cleaned once per distinct token."""
-    return co.merge_counts(co.clean_tokens(co.token_counts(df), stop_table))
+def clean_counts(spark, sf_dir) -> DataFrame:
+    return co.clean_counts(fixtures.documents(spark, sf_dir), stops(spark))
 
 
 @query(f"with {sql.CLEAN_TOKENS} select doc_id, pos, token from clean")
@@ -246,7 +247,7 @@ def _lemma_sql() -> str:
 
 
 def lemma_counts(spark, sf_dir) -> DataFrame:
-    counts = materialise(clean_counts(fixtures.documents(spark, sf_dir), stops(spark)))
+    counts = materialise(clean_counts(spark, sf_dir))
     closure = materialise(co.lemma_closure(materialise(_dictionary(counts))))
     return co.merge_counts(co.lemmatise(counts, closure))
 
@@ -304,7 +305,7 @@ def token_frequency_positive(spark, sf_dir):
 
 @query(f"{_CLEAN} select token, n from counts order by n desc, token limit 10")
 def top_clean_tokens(spark, sf_dir):
-    return co.top_tokens(clean_counts(fixtures.documents(spark, sf_dir), stops(spark)))
+    return co.top_tokens(clean_counts(spark, sf_dir))
 
 
 @query(f"with {_lemma_sql()}, {_STEMMED} select token, n from stemmed order by n desc, token limit 10")
@@ -329,7 +330,7 @@ def term_weights_raw(spark, sf_dir):
 
 @query(f"{_CLEAN} {_weights('counts')}")
 def term_weights(spark, sf_dir):
-    return rounded(co.term_weights(clean_counts(fixtures.documents(spark, sf_dir), stops(spark))), "weight")
+    return rounded(co.term_weights(clean_counts(spark, sf_dir)), "weight")
 
 
 @query(f"with {_lemma_sql()}, {_STEMMED} {_weights('stemmed')}")
@@ -361,17 +362,16 @@ def vocabulary_size(spark, sf_dir):
 )
 def term_matrix(spark, sf_dir):
     vocab = materialise(co.vocabulary(fixtures.documents(spark, sf_dir), stops(spark)).select("term"))
-    return co.term_matrix(clean(spark, sf_dir), vocab)
+    return co.term_matrix(fixtures.documents(spark, sf_dir), vocab)
 
 
 @query()
 def topics(spark, sf_dir):
-    return tp.topics(tp.topic_documents(clean(spark, sf_dir)))
+    return tp.topics(tp.topic_documents(fixtures.documents(spark, sf_dir)), stops(spark))
 
 
 @query()
 def topic_terms(spark, sf_dir):
     """Five terms per topic, on the posts of label 1, every token a document."""
     posts = by_label(fixtures.corpus(spark, sf_dir), 1)
-    tokens = co.clean_tokens(co.flatten_tokens(posts), stops(spark))
-    return tp.topics(tp.topic_documents(tokens, per="token"), terms=5)
+    return tp.topics(tp.topic_documents(posts, per="token"), stops(spark), terms=5)

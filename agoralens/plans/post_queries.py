@@ -169,9 +169,9 @@ def select_gold(spark, sf_dir):
 @query(f"with {sql.SCORED} select post_id, enqueued_utc, prediction, prediction_prob from scored")
 def struct_fields(spark, sf_dir):
     """Fields of a score struct as columns."""
-    posts = counted(spark, sf_dir)
-    output = pr.guarded(F.col("token_count") > 10, LEXICON.score(F.col("user_posting")))
-    fields = pr.with_score_fields(posts.select(*ORDER, output.alias("model_output")))
+    logit = pr.guarded(F.col("token_count") > 10, LEXICON.logit(F.col("user_posting")))
+    logits = counted(spark, sf_dir).select(*ORDER, logit.alias("logit"))
+    fields = pr.with_score_fields(logits.select(*ORDER, scoring.logistic_score(F.col("logit")).alias("model_output")))
     return rounded(fields, "prediction_prob")
 
 
@@ -304,12 +304,13 @@ def dedup_total_posts(spark, sf_dir):
 
 
 @query(
-    f"""with {sql.COUNTED} select cast(post_date as date) as post_date, subreddit, count(user_posting) as post_count,
+    f"""with {sql.COUNTED} select cast(cast(post_date as date) as varchar) as post_date, subreddit, count(user_posting) as post_count,
     cast(sum(token_count) as bigint) as total_token_count, round(avg(token_count), 6) as avg_token_count
     from counted group by 1, 2"""
 )
 def daily_token_stats(spark, sf_dir):
-    return rounded(reports.daily_token_stats(counted(spark, sf_dir)), "avg_token_count")
+    report = reports.daily_token_stats(counted(spark, sf_dir))
+    return rounded(report.withColumn("post_date", F.col("post_date").cast("string")), "avg_token_count")
 
 
 @query(f"with {sql.COUNTED} select {MONTHLY_COLUMNS} from counted group by 1, 2")
@@ -383,9 +384,10 @@ def month_label(spark, sf_dir):
     return fixtures.posts(spark, sf_dir).select(*ORDER, month_bucket(F.col("post_date")).alias("month"))
 
 
-@query(f"with {sql.POSTS} select post_id, enqueued_utc, cast(post_date as date) as post_day from posts")
+@query(f"with {sql.POSTS} select post_id, enqueued_utc, cast(cast(post_date as date) as varchar) as post_day from posts")
 def post_day(spark, sf_dir):
-    return fixtures.posts(spark, sf_dir).select(*ORDER, day_bucket(F.col("post_date")).alias("post_day"))
+    day = day_bucket(F.col("post_date")).cast("string")
+    return fixtures.posts(spark, sf_dir).select(*ORDER, day.alias("post_day"))
 
 
 # Replies are made from the tables: labelled documents give JSON (a class of 2

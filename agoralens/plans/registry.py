@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from agoralens.session import use_utc
+from agoralens.session import ship_package, use_utc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,7 +21,7 @@ def query(sql: str | None = None, name: str | None = None):
         key = name or function.__name__
 
         def call(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return function(use_utc(spark), sf_dir)
+            return function(ship_package(use_utc(spark)), sf_dir)
 
         call.__name__, call.__doc__ = key, function.__doc__
         QUERIES[key] = call

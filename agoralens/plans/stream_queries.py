@@ -47,11 +47,11 @@ def to_table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{root}/table")
 
 
-def silver(spark, sf_dir, scorer=LEXICON, max_files: int | None = None) -> str:
+def silver(spark, sf_dir, scorer=LEXICON, max_files: int | None = None, window: int | None = None) -> str:
     """Run the scoring stream over all posts; returns the silver root."""
     root = scratch_path(spark, "silver")
     posts = post_stream(spark, sf_dir, max_files)
-    st.run(st.score_stream(posts, scorer, f"{root}/tables", f"{root}/checkpoint"))
+    st.run(st.score_stream(posts, scorer, f"{root}/tables", f"{root}/checkpoint", window=window))
     return f"{root}/tables"
 
 
@@ -124,7 +124,7 @@ def stream_append_sink(spark, sf_dir):
 @query(f"with {_ELIGIBLE} {WINDOW_STATS.format('eligible')}")
 def stream_count_windows(spark, sf_dir):
     """Runs of 1,000 eligible posts; here one micro-batch takes all files."""
-    return st.read_silver(spark, silver(spark, sf_dir), st.WINDOWS).drop("batch_id")
+    return st.read_silver(spark, silver(spark, sf_dir, window=1000), st.WINDOWS).drop("batch_id")
 
 
 @query(f"with {_ELIGIBLE} select {MONTHLY} from eligible group by 1, 2")

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
+from pathlib import Path
+from zipfile import ZipFile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +19,22 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, as `--py-files` would."""
+    _ship(spark.sparkContext.applicationId)
+    return spark
+
+
+@lru_cache
+def _ship(application: str) -> None:
+    package = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="agoralens-")) / "agoralens.zip"
+    with ZipFile(archive, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    SparkSession.active().sparkContext.addPyFile(str(archive))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can read, taken from the session.
 
