@@ -123,13 +123,15 @@ def stem_tokens(tokens: DataFrame, rules: Iterable[tuple[str, str]] = STEM_RULES
     return stemmed.filter(longer_than(F.col("token"), STEM_LONGER_THAN))
 
 
-def joined_text(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Put the tokens of each document back together, in order.
+def clean_joined_text(df: DataFrame, stops: Iterable[str], text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The clean tokens of each document joined to one text.
 
-    A group is one document, so it is bounded by the length of a post.
+    Tokens never leave their row, so nothing is shuffled; the stop words are
+    given as a list and become a hash set in the expression. Documents without
+    clean tokens are left out.
     """
-    pairs = F.sort_array(F.collect_list(F.struct("pos", "token")))
-    return tokens.groupBy(key).agg(join_tokens(F.transform(pairs, lambda p: p["token"])).alias("text"))
+    kept = F.filter(clean_terms(F.col(text), CLEAN_LONGER_THAN), lambda t: ~t.isin(*stops))
+    return df.select(key, kept.alias("_kept")).filter(F.size("_kept") > 0).select(key, join_tokens(F.col("_kept")).alias("text"))
 
 
 # --- frequencies ------------------------------------------------------------

@@ -102,7 +102,8 @@ def iqr_outliers(df: DataFrame, value: str, label: str) -> DataFrame:
     """Rows outside the bounds of their label.
 
     The bounds, one row per label, are written first. The join then sees their
-    real size: few labels are broadcast, very many are shuffled.
+    real size: few labels are broadcast, very many are shuffled. `df` is read
+    twice, so give it a written frame without the texts.
     """
     bounds = materialise(quartiles(histogram(df, value, label), value, label).select(label, "lower_bound", "upper_bound"))
     joined = df.join(bounds, label)

@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from agoralens.functions.text import parse_reply, tokenize
 from agoralens.operators.projections import guarded
 from agoralens.schema import ERROR_PREDICTION, ERROR_PROBABILITY, MIN_TOKENS, SCORE
+from agoralens.session import materialise
 
 
 @dataclass(frozen=True)
@@ -89,7 +90,8 @@ def score_posts(
 
     With a `BatchScorer`, `parallelism` bounds the number of concurrent callers
     at the price of a shuffle. Write the result before using it more than once
-    (`materialise`, `write_gold`): every action on it calls the scorer again.
+    (`materialise`, `write_gold`): every action on it calls the scorer again,
+    and so does the sampling pass of a global sort.
     """
     eligible = F.col("token_count") > min_tokens
     if isinstance(scorer, Lexicon):
@@ -209,14 +211,16 @@ def train_scorer(
     text: str = "text",
     label: str = "label",
     classifier: str = "logistic",
-    features: int = 1 << 18,
+    features: int | None = None,
     seed: int = 42,
 ) -> PipelineModel:
     """Fit a text classifier: hashed term frequencies, IDF, then the classifier.
 
     Hashing needs no vocabulary on the driver, so the model size is set by
-    `features` and not by the corpus.
+    `features` and not by the corpus. Trees look at every feature in every
+    split, so they get fewer by default.
     """
+    features = features or {"logistic": 1 << 18, "gbt": 1 << 12}[classifier]
     heads = {
         "logistic": LogisticRegression(maxIter=20, regParam=0.01),
         "gbt": GBTClassifier(maxIter=20, maxDepth=4, seed=seed),
@@ -227,7 +231,8 @@ def train_scorer(
         heads[classifier].setPredictionCol("_prediction").setProbabilityCol("_probability").setRawPredictionCol("_raw"),
     ]
     rows = labelled.select(tokenize(F.col(text)).alias("_tokens"), F.col(label).cast("double").alias("label"))
-    return Pipeline(stages=stages).fit(rows.dropna())
+    # Written once: each stage of the fit reads the tokens.
+    return Pipeline(stages=stages).fit(materialise(rows.dropna()))
 
 
 def _ml_score(df: DataFrame, model: PipelineModel, eligible: Column) -> DataFrame:

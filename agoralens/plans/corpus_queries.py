@@ -82,7 +82,8 @@ def global_quantile(spark, sf_dir):
     where count_text < lower_bound or count_text > upper_bound"""
 )
 def iqr_outliers(spark, sf_dir):
-    return profile.iqr_outliers(lengths(spark, sf_dir), VALUE, LABEL)
+    # Two passes follow, for the bounds and for the rows: over the lengths, not the texts.
+    return profile.iqr_outliers(materialise(lengths(spark, sf_dir)), VALUE, LABEL)
 
 
 @query(
@@ -279,7 +280,7 @@ def stem(spark, sf_dir):
 
 @query(f"with {sql.CLEAN_TOKENS} select doc_id, string_agg(token, ' ' order by pos) as text from clean group by doc_id")
 def join_tokens(spark, sf_dir):
-    return co.joined_text(clean(spark, sf_dir))
+    return co.clean_joined_text(fixtures.documents(spark, sf_dir), sql.STOP_WORDS)
 
 
 # --- frequencies ------------------------------------------------------------------------
