@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -129,6 +129,13 @@ def clean_terms(text: Column, longer: int = 3) -> Column:
     return F.regexp_extract_all(ascii_words, F.lit(pattern), F.lit(0))
 
 
+def without(tokens: Column, stops: Iterable[str]) -> Column:
+    """An array of tokens less a list of stop words, which becomes a hash set
+    in the expression: nothing is joined or shuffled."""
+    stops = list(stops)
+    return F.filter(tokens, lambda t: ~t.isin(*stops)) if stops else tokens
+
+
 def percentage(part: Column, whole: Column) -> Column:
     return part / whole * 100
 

@@ -21,6 +21,7 @@ from agoralens.functions.text import (
     normal_form,
     normal_tokens,
     tokenize,
+    without,
 )
 
 # Shortest kept lengths are one above these; most frequent terms
@@ -126,11 +127,10 @@ def stem_tokens(tokens: DataFrame, rules: Iterable[tuple[str, str]] = STEM_RULES
 def clean_joined_text(df: DataFrame, stops: Iterable[str], text: str = "text", key: str = "doc_id") -> DataFrame:
     """The clean tokens of each document joined to one text.
 
-    Tokens never leave their row, so nothing is shuffled; the stop words are
-    given as a list and become a hash set in the expression. Documents without
+    Tokens never leave their row, so nothing is shuffled. Documents without
     clean tokens are left out.
     """
-    kept = F.filter(clean_terms(F.col(text), CLEAN_LONGER_THAN), lambda t: ~t.isin(*stops))
+    kept = without(clean_terms(F.col(text), CLEAN_LONGER_THAN), stops)
     return df.select(key, kept.alias("_kept")).filter(F.size("_kept") > 0).select(key, join_tokens(F.col("_kept")).alias("text"))
 
 

@@ -225,14 +225,13 @@ def train_scorer(
         "logistic": LogisticRegression(maxIter=20, regParam=0.01),
         "gbt": GBTClassifier(maxIter=20, maxDepth=4, seed=seed),
     }
-    stages = [
-        HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=features),
-        IDF(inputCol="_tf", outputCol="features"),
-        heads[classifier].setPredictionCol("_prediction").setProbabilityCol("_probability").setRawPredictionCol("_raw"),
-    ]
-    rows = labelled.select(tokenize(F.col(text)).alias("_tokens"), F.col(label).cast("double").alias("label"))
-    # Written once: each stage of the fit reads the tokens.
-    return Pipeline(stages=stages).fit(materialise(rows.dropna()))
+    hashing = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=features)
+    head = heads[classifier].setPredictionCol("_prediction").setProbabilityCol("_probability").setRawPredictionCol("_raw")
+    rows = labelled.select(tokenize(F.col(text)).alias("_tokens"), F.col(label).cast("double").alias("label")).dropna()
+    # Written once: the fit reads the term frequencies many times.
+    vectors = materialise(hashing.transform(rows).select("_tf", "label"))
+    fitted = Pipeline(stages=[IDF(inputCol="_tf", outputCol="features"), head]).fit(vectors)
+    return PipelineModel([hashing, *fitted.stages])
 
 
 def _ml_score(df: DataFrame, model: PipelineModel, eligible: Column) -> DataFrame:

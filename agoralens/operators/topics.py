@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import DataFrame, functions as F
 
-from agoralens.functions.text import clean_terms
-from agoralens.operators.corpus import CLEAN_LONGER_THAN, remove_stop_words, within_bounds
+from agoralens.functions.text import clean_terms, without
+from agoralens.operators.corpus import CLEAN_LONGER_THAN, within_bounds
 from agoralens.session import materialise
 
 # Topics, terms shown per topic, random seed, iterations.
@@ -17,13 +19,13 @@ SEED = 42
 MAX_ITER = 10
 
 
-def topic_documents(df: DataFrame, per: str = "document", text: str = "text") -> DataFrame:
+def topic_documents(df: DataFrame, stops: Iterable[str], per: str = "document", text: str = "text") -> DataFrame:
     """Documents of the model, one array of clean terms per row.
 
     per="document" takes posts as documents; per="token" takes every token as
-    a document of its own. Stop words are kept out by the vocabulary.
+    a document of its own.
     """
-    terms = clean_terms(F.col(text), CLEAN_LONGER_THAN)
+    terms = without(clean_terms(F.col(text), CLEAN_LONGER_THAN), stops)
     if per == "token":
         return df.select(F.explode(terms).alias("term")).select(F.array("term").alias("terms"))
     return df.select(terms.alias("terms"))
@@ -31,7 +33,6 @@ def topic_documents(df: DataFrame, per: str = "document", text: str = "text") ->
 
 def topics(
     documents: DataFrame,
-    stops: DataFrame,
     k: int = TOPICS,
     terms: int = TOPIC_TERMS,
     seed: int = SEED,
@@ -45,10 +46,10 @@ def topics(
     `max_vocabulary` is refused rather than cut down silently.
     """
     spark = documents.sparkSession
-    # Written once: the vocabulary and every iteration of the fit read it.
+    # Written once: the vocabulary and the vectors both read it.
     documents = materialise(documents)
     occurrences = documents.select(F.explode(F.array_distinct("terms")).alias("term"))
-    frequency = remove_stop_words(occurrences.groupBy("term").agg(F.count("*").alias("df")), stops, "term")
+    frequency = occurrences.groupBy("term").agg(F.count("*").alias("df"))
     vocab = materialise(within_bounds(frequency, documents).select("term"))
     size = vocab.count()
     if size > max_vocabulary:
@@ -56,10 +57,15 @@ def topics(
     schema = "topic int, rank int, term string, weight double"
     if size == 0:
         return spark.createDataFrame([], schema)
-    words = vocab.orderBy("term").toPandas()["term"].tolist()
-    vectorise = CountVectorizerModel.from_vocabulary(words, inputCol="terms", outputCol="features")
-    vectors = vectorise.transform(documents).select("features")
+    # Fitted on the vocabulary, each term once, not on the corpus. Sorted and in
+    # one partition (of at most `max_vocabulary` short rows), so that the terms
+    # get the same numbers on every run and the seed means something.
+    vectoriser = CountVectorizer(inputCol="terms", outputCol="features", vocabSize=size)
+    fitted = vectoriser.fit(vocab.orderBy("term").coalesce(1).select(F.array("term").alias("terms")))
+    # Every iteration reads the vectors; written, they are not counted again.
+    vectors = materialise(fitted.transform(documents).select("features"))
     model = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online").fit(vectors)
+    words = fitted.vocabulary
     # (topics x terms) rows: the report itself.
     report = [
         (row.topic, rank, words[index], weight)

@@ -368,11 +368,11 @@ def term_matrix(spark, sf_dir):
 
 @query()
 def topics(spark, sf_dir):
-    return tp.topics(tp.topic_documents(fixtures.documents(spark, sf_dir)), stops(spark))
+    return tp.topics(tp.topic_documents(fixtures.documents(spark, sf_dir), sql.STOP_WORDS))
 
 
 @query()
 def topic_terms(spark, sf_dir):
     """Five terms per topic, on the posts of label 1, every token a document."""
     posts = by_label(fixtures.corpus(spark, sf_dir), 1)
-    return tp.topics(tp.topic_documents(posts, per="token"), stops(spark), terms=5)
+    return tp.topics(tp.topic_documents(posts, sql.STOP_WORDS, per="token"), terms=5)
