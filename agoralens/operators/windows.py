@@ -9,6 +9,9 @@ from agoralens.session import materialise, scratch_path
 # Fixed value: posts per evaluation window.
 WINDOW_POSTS = 1000
 
+# Bits of the row number in `monotonically_increasing_id`.
+ROW_BITS = 33
+
 
 def count_window(df: DataFrame, order: list[str], size: int = WINDOW_POSTS, scratch: str | None = None) -> DataFrame:
     """Number the rows in `order` and put every `size` of them into one window.
@@ -17,38 +20,44 @@ def count_window(df: DataFrame, order: list[str], size: int = WINDOW_POSTS, scra
     rows equal in it are numbered in an order of their own.
 
     A global row number in one window would pull all rows into one task.
-    Instead the rows are range-partitioned, numbered within each range, and
-    shifted by the number of rows in the ranges before. The range bounds come
-    from a sample, so the partitioned rows are written once: both the counting
-    and the numbering must see the same ranges. A row id ends the sort key, so
-    that a value held by very many rows is spread over several ranges.
+    Instead the rows are range-partitioned and sorted, numbered within each
+    range, and shifted by the number of rows in the ranges before. The range
+    bounds come from a sample, so the numbered rows are written once: counting
+    and shifting must see the same ranges. They are shuffled only once. A row
+    id ends the sort key, so that a value held by very many rows is spread over
+    several ranges.
 
     `scratch` is a folder of the caller for the two written frames; a stream
-    passes one, so that its batches reuse it.
+    passes one, so that its batches reuse it. If `df` calls a scorer, write it
+    first: the sampling reads it once more.
     """
     spark = df.sparkSession
     scratch = scratch or scratch_path(spark, "count-window")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [*order, "_id"]
+    # After the sort, the id holds the partition in its upper 31 bits and the
+    # row within the partition in its lower 33.
     ranged = materialise(
         df.withColumn("_id", F.monotonically_increasing_id())
         .repartitionByRange(partitions, *keys)
-        .withColumn("_range", F.spark_partition_id()),
+        .sortWithinPartitions(*keys)
+        .withColumn("_id", F.monotonically_increasing_id()),
         f"{scratch}/ranged",
     )
+    in_range = F.shiftright("_id", ROW_BITS).alias("_range")
+    row = F.col("_id").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
     # One row per range: the window without partition sees `partitions` rows.
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = materialise(
-        ranged.groupBy("_range")
+        ranged.groupBy(in_range)
         .agg(F.count("*").alias("_rows"))
         .select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")),
         f"{scratch}/offsets",
     )
-    within = Window.partitionBy("_range").orderBy(*keys)
     return (
-        ranged.withColumn("_row", F.row_number().over(within))
+        ranged.withColumn("_range", in_range)
         .join(offsets, "_range")
-        .withColumn("position", F.col("_before") + F.col("_row") - 1)
+        .withColumn("position", F.col("_before") + row)
         .withColumn("window_no", F.floor(F.col("position") / size))
         .select(*df.columns, "position", "window_no")
     )

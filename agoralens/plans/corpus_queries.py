@@ -130,8 +130,8 @@ def label_density(spark, sf_dir):
 @query(f"with {sql.CORPUS} select label, round(count(*) * 100.0 / (select count(*) from corpus), 6) as pct from corpus group by label")
 def percentage(spark, sf_dir):
     """Share of each label."""
-    sizes = profile.value_counts(fixtures.corpus(spark, sf_dir), LABEL)
-    total = fixtures.corpus(spark, sf_dir).agg(F.count(LABEL)).scalar()
+    sizes = materialise(profile.value_counts(fixtures.corpus(spark, sf_dir), LABEL))
+    total = sizes.agg(F.sum("n")).scalar()
     return rounded(sizes.select(LABEL, tx.percentage(F.col("n"), total).alias("pct")), "pct")
 
 
@@ -362,8 +362,7 @@ def vocabulary_size(spark, sf_dir):
     where token in (select term from vocab) group by doc_id, token"""
 )
 def term_matrix(spark, sf_dir):
-    vocab = materialise(co.vocabulary(fixtures.documents(spark, sf_dir), stops(spark)).select("term"))
-    return co.term_matrix(fixtures.documents(spark, sf_dir), vocab)
+    return co.term_matrix(fixtures.documents(spark, sf_dir), stops(spark))
 
 
 @query()

@@ -94,12 +94,17 @@ def drop_table(spark: SparkSession, name: str) -> None:
 def stream_table(
     spark: SparkSession,
     path: str,
-    schema: StructType,
+    schema: StructType | None = None,
     fmt: str = "parquet",
     max_files: int | None = None,
 ) -> DataFrame:
-    """A stored table as a stream; micro-batches are bounded by files."""
-    reader = spark.readStream.format(fmt).schema(schema)
+    """A stored table as a stream; micro-batches are bounded by files.
+
+    Plain files need the schema; a format with a table log has its own.
+    """
+    reader = spark.readStream.format(fmt)
+    if schema:
+        reader = reader.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.load(path)

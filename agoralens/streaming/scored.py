@@ -28,7 +28,7 @@ def eligible_posts(posts: DataFrame, start: str | None = None, n: int = MIN_TOKE
 
 
 def write_silver(scored: DataFrame, root: str, batch_id: int, fmt: str = "parquet", window: int | None = WINDOW_POSTS) -> None:
-    """Scored rows and aggregates of one micro-batch.
+    """Scored rows and aggregates of one micro-batch, in a file format.
 
     Every table gets one folder per batch and a replayed batch overwrites its
     own folders, so a restart neither loses nor doubles rows. The aggregates
