@@ -58,7 +58,7 @@ def count_window(df: DataFrame, order: list[str], size: int = WINDOW_POSTS, scra
         ranged.withColumn("_range", in_range)
         .join(offsets, "_range")
         .withColumn("position", F.col("_before") + row)
-        .withColumn("window_no", F.floor(F.col("position") / size))
+        .withColumn("window_no", F.expr(f"position div {int(size)}"))
         .select(*df.columns, "position", "window_no")
     )
 

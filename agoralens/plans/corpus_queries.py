@@ -309,6 +309,16 @@ def top_clean_tokens(spark, sf_dir):
     return co.top_tokens(clean_counts(spark, sf_dir))
 
 
+@query(
+    f"""with {sql.CORPUS}, {sql.CLEAN_TOKENS} select token, count(*) as n from clean
+    where doc_id in (select doc_id from corpus where label = 1) group by token order by n desc, token limit 10"""
+)
+def top_clean_tokens_positive(spark, sf_dir):
+    """Clean tokens of the posts of label 1 only."""
+    posts = by_label(fixtures.corpus(spark, sf_dir), 1)
+    return co.top_tokens(co.clean_counts(posts, stops(spark)))
+
+
 @query(f"with {_lemma_sql()}, {_STEMMED} select token, n from stemmed order by n desc, token limit 10")
 def top_stems(spark, sf_dir):
     return co.top_tokens(stem_counts(spark, sf_dir))

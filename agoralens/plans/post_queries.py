@@ -10,7 +10,7 @@ from pyspark.sql.types import IntegerType
 from agoralens.functions import text as tx
 from agoralens.functions.time import day_bucket, month_bucket
 from agoralens.operators import dedup, filters, projections as pr, reports, scoring, windows
-from agoralens.plans import sql
+from agoralens.plans import jobs, sql
 from agoralens.plans.registry import query, rounded
 from agoralens.session import materialise, scratch_path
 from agoralens.sources import fixtures, lake
@@ -270,7 +270,9 @@ WINDOW_STATS = """select window_no, count(*) as posts, count(prediction) as scor
 @query(f"with {sql.SCORED} {WINDOW_STATS.format('scored')}")
 def count_window_scored(spark, sf_dir):
     """Posts and positives in each run of 1,000 posts."""
-    return windows.window_stats(windows.count_window(scored(spark, sf_dir).select(*ORDER, "prediction"), ORDER))
+    # The range sampling reads its input twice: narrow written scores, not the texts.
+    written = materialise(scored(spark, sf_dir).select(*ORDER, "prediction"))
+    return windows.window_stats(windows.count_window(written, ORDER))
 
 
 # --- reports ------------------------------------------------------------------------
@@ -323,6 +325,18 @@ def monthly_scored_stats(spark, sf_dir):
     return rounded(reports.monthly_scored_stats(scored(spark, sf_dir)), "avg_token_count")
 
 
+@query(
+    f"""with {sql.SCORED}, firsts as (
+      select *, row_number() over (partition by {_KEYS} order by enqueued_utc) as r from scored
+    ) select {MONTHLY} from firsts where r = 1 group by 1, 2"""
+)
+def score_bronze(spark, sf_dir):
+    """The whole batch job: bronze, dedup, scores, gold, monthly report."""
+    gold = "post_predictions_" + scratch_path(spark, "x").rsplit("-", 1)[1]
+    report = jobs.score_bronze(spark, lake_root(spark, sf_dir), LEXICON, gold=gold, dedup=True)
+    return rounded(report, "avg_token_count")
+
+
 # --- scalar functions on posts --------------------------------------------------------
 
 
