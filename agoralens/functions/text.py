@@ -21,6 +21,7 @@ UNACCENTED = "aaaeeeiiiooouuu"
 COUNT_TOKENS = r"\p{L}+|\p{N}{1,3}|[^\s\p{L}\p{N}]+"
 WORD_TOKENS = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
 DROPPED_WORD_CHARS = r"[\p{L}\p{N}_&&[^a-z0-9]]+"
+MARK = "_"
 
 
 def strip_non_ascii(text: Column) -> Column:
@@ -111,9 +112,20 @@ def folded_lower(text: Column) -> Column:
     return F.lower(F.translate(text, ACCENTED + "\u0130", UNACCENTED + "i"))
 
 
-def normal_tokens(text: Column) -> Column:
-    """`normal_form` of every token of a text, in order, empty ones included."""
-    return F.transform(tokenize(folded_lower(text)), strip_non_alnum)
+def marked_tokens(text: Column) -> Column:
+    """Tokens of a text, folded and in lower case, with a mark in place of the
+    word characters that the normal form drops. There are as many of them, in
+    the same order, as `tokenize` gives; `unmarked` makes them normal."""
+    return tokenize(F.regexp_replace(folded_lower(text), DROPPED_WORD_CHARS, MARK))
+
+
+def unmarked(token: Column) -> Column:
+    return F.replace(token, F.lit(MARK), F.lit(""))
+
+
+def is_marked_word(token: Column, longer: int) -> Column:
+    """Letters and marks only, and long enough to matter."""
+    return token.rlike(rf"^[a-z{MARK}]{{{longer + 1},}}$")
 
 
 def clean_terms(text: Column, longer: int = 3) -> Column:

@@ -15,12 +15,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from agoralens.functions.text import (
     clean_terms,
-    is_alphabetic,
+    is_marked_word,
     join_tokens,
     longer_than,
+    marked_tokens,
     normal_form,
-    normal_tokens,
     tokenize,
+    unmarked,
     without,
 )
 from agoralens.session import materialise
@@ -81,11 +82,13 @@ def clean_tokens(df: DataFrame, stops: DataFrame, text: str = "text", keys: Iter
     """The token frame in normal form: no stop words, letters only, more than
     three letters. Positions are those of the raw tokens.
 
-    The tokens are put into normal form before they are exploded: a column
-    computed afterwards would be computed again in every filter on it.
+    The costly steps run on the whole text; what is left per token is a test
+    and the removal of a mark, which stay in generated code.
     """
-    tokens = df.select(*keys, F.posexplode(normal_tokens(F.col(text))).alias("pos", "token"))
-    kept = tokens.filter(is_alphabetic(F.col("token")) & longer_than(F.col("token"), CLEAN_LONGER_THAN))
+    token = F.col("token")
+    tokens = df.select(*keys, F.posexplode(marked_tokens(F.col(text))).alias("pos", "token"))
+    letters = tokens.filter(is_marked_word(token, CLEAN_LONGER_THAN)).withColumn("token", unmarked(token))
+    kept = letters.filter(longer_than(token, CLEAN_LONGER_THAN))
     return remove_stop_words(kept, stops).select(*tokens.columns)
 
 

@@ -88,10 +88,14 @@ def test_text_level_cleaning_equals_token_by_token(spark, texts):
         "text",
         tx.clean_terms(t).alias("terms"),
         by_token.alias("by_token"),
-        tx.normal_tokens(t).alias("normal"),
+        F.transform(tx.marked_tokens(t), tx.strip_non_alnum).alias("normal"),
         F.transform(tx.tokenize(t), tx.normal_form).alias("each"),
     ).filter("terms != by_token or normal != each")
     assert wrong.collect() == []
+    frame = co.clean_tokens(df, co.stop_words(spark, ["zzzz"]))
+    each = df.select("doc_id", F.posexplode(F.transform(tx.tokenize(t), tx.normal_form)).alias("pos", "token"))
+    kept = each.filter(tx.is_alphabetic(F.col("token")) & tx.longer_than(F.col("token"), 3))
+    assert sorted(map(tuple, frame.collect())) == sorted(map(tuple, kept.filter("token != 'zzzz'").collect()))
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
