@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -63,14 +64,16 @@ def stop_words(spark: SparkSession, words: Iterable[str] | str = "spanish", fold
     """Stop words as a table: a language Spark ships a list for, or own words.
 
     With `fold` the words pass through the same normal form as the tokens;
-    without it, words with accents never match a folded token.
+    without it, words with accents never match a folded token. The table is
+    made from an Arrow table, which gives the optimizer its size (a list of
+    rows would not): a join broadcasts it while it is small.
     """
     if isinstance(words, str):
         words = StopWordsRemover.loadDefaultStopWords(words)
-    table = spark.createDataFrame([(w,) for w in words], "token string")
+    table = spark.createDataFrame(pa.table({"token": pa.array(sorted(set(words)), pa.string())}))
     if fold:
-        table = table.select(normal_form(F.col("token")).alias("token"))
-    return table.distinct()
+        table = table.select(normal_form(F.col("token")).alias("token")).distinct()
+    return table
 
 
 def remove_stop_words(tokens: DataFrame, stops: DataFrame, token: str = "token") -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from agoralens.operators import dedup, filters
+from agoralens.operators import corpus, dedup, filters
 from agoralens.sources import fixtures, lake
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -65,3 +65,24 @@ def test_dedup_reduces_before_the_shuffle(spark, plan_of, tmp_path):
 def test_token_reports_shuffle_counts_not_tokens(spark, plan_of):
     for name in ("token_frequency", "vocabulary", "top_clean_tokens"):
         assert "partial_count" in plan_of(entry.queries()[name](spark, SF_DIR))
+
+
+def test_stop_words_are_broadcast_and_tokens_stay_in_place(spark, plan_of, tmp_path):
+    fixtures.table(spark, SF_DIR, "documents").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    for fold in (False, True):
+        plan = plan_of(corpus.clean_tokens(docs, corpus.stop_words(spark, "spanish", fold)))
+        assert "LeftAnti, BuildRight" in plan and "SortMergeJoin" not in plan
+    assert "Exchange hashpartitioning" not in plan_of(corpus.clean_tokens(docs, corpus.stop_words(spark, "spanish")))
+
+
+def test_big_lookup_is_shuffled_not_broadcast(spark, plan_of, tmp_path):
+    """No hint: beyond the size threshold the join falls back to a shuffle."""
+    spark.range(2000).selectExpr("cast(id as string) token").write.parquet(str(tmp_path / "stops"))
+    tokens = spark.range(10).selectExpr("cast(id as string) token")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1KB")
+    try:
+        joined = corpus.remove_stop_words(tokens, spark.read.parquet(str(tmp_path / "stops")))
+        assert "BroadcastHashJoin" not in plan_of(joined) and joined.count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
