@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from agoralens.schema import ERROR_PREDICTION, ERROR_PROBABILITY
+
 # Patterns of the cleaning steps.
 NON_ASCII = r"[^\x00-\x7F]+"
 WHITESPACE = r"\s+"
@@ -16,6 +18,9 @@ ALPHABETIC = r"^[A-Za-z]+$"
 ACCENTED = "áàäéèëíìïóòöúùü"
 UNACCENTED = "aaaeeeiiiooouuu"
 
+# Fields of a scorer's JSON reply.
+REPLY_FIELDS = "clase INT, probabilidad DOUBLE"
+
 # Token patterns. COUNT_TOKENS approximates a sub-word tokeniser (letter runs,
 # digits in threes, symbol runs); WORD_TOKENS gives words and single symbols.
 COUNT_TOKENS = r"\p{L}+|\p{N}{1,3}|[^\s\p{L}\p{N}]+"
@@ -163,9 +168,7 @@ def parse_reply(reply: Column) -> Column:
     Malformed text parses to a struct of nulls, so the fields are tested, not
     the struct; anything outside the domain becomes the error score.
     """
-    from agoralens.schema import ERROR_PREDICTION, ERROR_PROBABILITY
-
-    parsed = F.from_json(reply, "clase INT, probabilidad DOUBLE")
+    parsed = F.from_json(reply, REPLY_FIELDS)
     label, prob = parsed["clase"], parsed["probabilidad"]
     valid = F.coalesce(label.isin(0, 1) & prob.between(0.0, 1.0), F.lit(False))
     return F.struct(

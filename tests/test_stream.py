@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from agoralens.operators import reports
 from agoralens.operators.filters import min_tokens, positives
@@ -113,8 +114,9 @@ def test_ingest_keeps_broken_lines(spark, tmp_path):
     (tmp_path / "lines").mkdir()
     (tmp_path / "lines" / "a.txt").write_text('{"post_id": 1, "subreddit": "a"}\nbroken {\n{"post_id": 2}\n')
     stream = spark.readStream.text(str(tmp_path / "lines"))
+    schema = StructType([POSTS["post_id"], POSTS["subreddit"]])
     for _ in range(2):  # the second run reads nothing new
-        st.run(ingest.ingest_json(stream, POSTS.fromJson({"type": "struct", "fields": [f.jsonValue() for f in POSTS.fields if f.name in ("post_id", "subreddit")]}), str(tmp_path / "bronze"), str(tmp_path / "cp")))
+        st.run(ingest.ingest_json(stream, schema, str(tmp_path / "bronze"), str(tmp_path / "checkpoint")))
     rows = spark.read.parquet(str(tmp_path / "bronze")).collect()
     assert sorted((r.post_id or 0, r.subreddit, r._corrupt_record) for r in rows) == [
         (0, None, "broken {"),
