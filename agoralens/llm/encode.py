@@ -10,10 +10,12 @@ string) goes to the tokenizer whole.
 from __future__ import annotations
 
 import os
+import sys
+from array import array
 from collections.abc import Callable
 
-#: Pieces kept per worker; beyond it, the memory of pieces starts anew.
-PIECES = 400_000
+#: Pieces in each of the two generations that a worker keeps.
+PIECES = 500_000
 
 _encoders: dict[str, Callable] = {}
 
@@ -31,18 +33,18 @@ def encoder(model: str, keep_blank: bool) -> Callable[[list[str]], list[bytes]]:
 
 def _make(model: str, keep_blank: bool) -> Callable[[list[str]], list[bytes]]:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import numpy as np
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(model)
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    memory: dict[str, bytes] = {}
+    recent: dict[str, bytes] = {}
+    older: dict[str, bytes] = {}
 
     def whole(texts: list[str]) -> list[bytes]:
         out = []
         for k in range(0, len(texts), 2000):
             found = tokenizer.encode_batch_fast(texts[k : k + 2000], add_special_tokens=False)
-            out += [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+            out += [_little(array("I", e.ids)) for e in found]
         return out
 
     def pieces(text: str) -> list[str] | None:
@@ -54,14 +56,41 @@ def _make(model: str, keep_blank: bool) -> Callable[[list[str]], list[bytes]]:
         first, *rest = text.split(" ")
         return [first, *[" " + w for w in rest]]
 
+    def remember(wanted: set[str]) -> None:
+        """Have the ids of all wanted pieces in `recent`."""
+        nonlocal recent, older
+        if len(recent) + len(wanted) > PIECES:
+            recent, older = {}, recent
+        missing = wanted - recent.keys()
+        recent.update((w, older[w]) for w in missing & older.keys())
+        parts = {w: _parts(w) for w in missing - recent.keys()}
+        new = list({p for ps in parts.values() for p in ps} - recent.keys())
+        recent.update(zip(new, whole(new)))
+        recent.update((w, b"".join([recent[p] for p in ps])) for w, ps in parts.items() if len(ps) > 1)
+
     def encode(texts: list[str]) -> list[bytes]:
         cut = [pieces(t) for t in texts]
-        new = list({w for c in cut if c for w in c} - memory.keys())
-        if len(memory) + len(new) > PIECES:
-            memory.clear()
-            new = list({w for c in cut if c for w in c})
-        memory.update(zip(new, whole(new)))
+        remember({w for c in cut if c for w in c})
         rest = iter(whole([t for t, c in zip(texts, cut) if c is None]))
-        return [next(rest) if c is None else b"".join(map(memory.__getitem__, c)) for c in cut]
+        return [next(rest) if c is None else b"".join(map(recent.__getitem__, c)) for c in cut]
 
     return encode
+
+
+def _parts(piece: str) -> list[str]:
+    """Cut at line ends and before a last comma or full stop after a letter, where both tokenizers cut."""
+    out = []
+    for k, word in enumerate(piece.split("\n")):
+        if k:
+            out.append("\n")
+        if len(word) > 1 and word[-1] in ",." and word[-2].isalpha():
+            out += [word[:-1], word[-1]]
+        else:
+            out.append(word)
+    return out
+
+
+def _little(ids: array) -> bytes:
+    if sys.byteorder == "big":
+        ids.byteswap()
+    return ids.tobytes()

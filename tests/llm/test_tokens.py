@@ -2,6 +2,7 @@
 
 import zlib
 from collections import defaultdict
+from functools import cache
 
 import numpy as np
 import pytest
@@ -18,8 +19,13 @@ ODD = [
 ]
 
 
+@cache
+def tokenizer(name):
+    return Tokenizer.from_str(queries.tokenizer_file(name))
+
+
 def plain(name, texts):
-    t = Tokenizer.from_str(queries.tokenizer_file(name))
+    t = tokenizer(name)
     return [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
@@ -131,7 +137,7 @@ def test_many_tasks_leave_few_open_bins(spark):
     got = packing.pack(lengths, 2048, per_task=500)
     total = lengths.selectExpr("sum(length)").head()[0]
     assert got.count() == 6000
-    assert got.select("sequence_id").distinct().count() <= -(-total // 2048) + 4
+    assert got.select("sequence_id").distinct().count() <= -(-total // 2048) * 1.01
 
 
 def test_choice_is_the_least_sum_of_squares():
