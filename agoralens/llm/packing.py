@@ -130,7 +130,7 @@ def pack(pieces: DataFrame, capacity: int, per_task: int = 250_000) -> DataFrame
     rows; equal rows are placed one by one.
     """
     spark = arrow_ready(pieces.sparkSession)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20 * BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10 * BATCH_ROWS)
     pieces = materialise(pieces)
     level = materialise(_packed(pieces, capacity, _tasks(pieces, per_task), "bin", "place", "filled"))
     loose = level.filter(F.col("filled") < capacity).groupBy("bin").agg(F.max("filled").alias("length"))

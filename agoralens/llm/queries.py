@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from agoralens.llm import packing, repair
+from agoralens.llm import lsh_forest, packing, repair, sql
 from agoralens.llm.common import table
 from agoralens.session import scratch_path, use_utc
 
@@ -22,21 +22,31 @@ def tokenizer_file(name: str) -> str:
     return Path(public_tokenizers.path(name)).read_text()
 
 
-def query(function):
-    def call(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return function(use_utc(spark), sf_dir)
+def query(oracle: str | None = None):
+    def register(function):
+        def call(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return function(use_utc(spark), sf_dir)
 
-    QUERIES[function.__name__] = call
-    return function
+        QUERIES[function.__name__] = call
+        if oracle:
+            ORACLES[function.__name__] = oracle
+        return function
 
+    return register
 
-@query
+
+@query(sql.near_duplicates(2, 80))
+def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80)
+
+
+@query()
 def op7_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "ids")
     repair.write_ids(table(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"), end_id=2, base=49_408)
     return repair.decode(repair.read_blocks(spark, path))
 
 
-@query
+@query()
 def op10_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
