@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from agoralens.llm import lsh_forest, packing, repair, sql
+from agoralens.llm import divergence, line_templates as lines, lsh_forest, packing, repair, sql, url_templates as urls
 from agoralens.llm.common import table
 from agoralens.session import scratch_path, use_utc
 
@@ -35,6 +35,31 @@ def query(oracle: str | None = None):
     return register
 
 
+# The rules of op9, (verdict, host and path).
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+@query()
+def op4_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.judge(table(spark, sf_dir, "documents"))
+
+
+@query(sql.line_dedup(lines.LEAST_WORDS, lines.LEADING, lines.VARIANTS, lines.AGREE))
+def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(sql.url_filter(URL_RULES, urls.DEPTH, urls.CHILDREN, urls.STRENGTH, urls.ALIKE, urls.PURITY))
+def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 @query(sql.near_duplicates(2, 80))
 def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"), n=2, percent=80)

@@ -34,3 +34,94 @@ def near_duplicates(n: int, percent: int, source: str = "documents") -> str:
     select doc_id, cast(len(sh) as bigint) as n_shingles, component_id, doc_id = component_id as kept
     from s join named using (doc_id)
     """
+
+
+def line_dedup(words: int, leading: int, variants: int, agree: float, source: str = "documents") -> str:
+    """Without hashes; otherwise as the operator. Rows: doc_id, text, n_lines, n_dropped."""
+    return f"""
+    with l as (
+        select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as pos
+        from {source}
+    ), w as (
+        select doc_id, text, pos, string_split(trim(regexp_replace(
+            regexp_replace(line, '[^\\x20\\x09-\\x0D]*[0-9][^\\x20\\x09-\\x0D]*', '<*>', 'g'),
+            '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' '), ' ') as words
+        from l
+    ), p as (
+        select doc_id, text, pos, words, [cast(len(words) as varchar), {", ".join(f"words[{k + 1}]" for k in range(leading))}] as leaf,
+            array_to_string(words, ' ') as own
+        from w where len(words) >= {words}
+    ), own as (
+        select own, leaf, min(text) <> max(text) as recurs, min((doc_id, pos)) as first from p group by all
+    ), wide as (
+        select leaf, count(distinct own) as variants, min(text) <> max(text) as recurs, min((doc_id, pos)) as first from p group by 1
+        having count(distinct own) >= {variants} and min(text) <> max(text)
+    ), places as (
+        select leaf, len(words) as n, unnest(words) as word, generate_subscripts(words, 1) as k from p semi join wide using (leaf)
+    ), same as (
+        select leaf, n, k, min(word) = max(word) as same from places group by all
+    ), general as (
+        select leaf from same group by leaf, n having sum(same::int) - {leading} >= {agree} * (n - {leading})
+    ), gone as (
+        select p.doc_id, p.pos from p join wide using (leaf) semi join general using (leaf) where (p.doc_id, p.pos) <> wide.first
+        union
+        select p.doc_id, p.pos from p anti join general using (leaf) join own using (own, leaf)
+        where own.recurs and (p.doc_id, p.pos) <> own.first
+    )
+    select d.doc_id, coalesce(any_value(k.rest), case when any_value(d.text) is not null then '' end) as text,
+        cast(coalesce(len(string_split(any_value(d.text), chr(10))), 0) as bigint) as n_lines,
+        cast(coalesce(any_value(g.n), 0) as bigint) as n_dropped
+    from {source} d
+    left join (select doc_id, string_agg(line, chr(10) order by pos) as rest from l anti join gone using (doc_id, pos) group by 1) k using (doc_id)
+    left join (select doc_id, count(*) as n from gone group by 1) g using (doc_id)
+    group by d.doc_id
+    """
+
+
+def url_filter(rules: list[tuple[str, str]], depth: int, children: int, strength: float, alike: float, purity: float) -> str:
+    case = []
+    for verdict, rule in sorted(rules, key=lambda r: -len(r[1])):
+        at, _, start = rule.partition("/")
+        case.append(((rule, verdict), f"when (host = '{at}' or ends_with(host, '.{at}')) and starts_with(path, '/{start}') then"))
+    rule_case = "case " + " ".join(f"{c} '{r[0]}'" for r, c in case) + " end"
+    verdict_case = "case " + " ".join(f"{c} '{r[1]}'" for r, c in case) + " end"
+    levels = ", ".join(
+        f"case when len(segs) < {k} then '' when regexp_matches(segs[{k}], '[0-9]') then '*' else segs[{k}] end as level_{k}"
+        for k in range(1, depth + 1)
+    )
+    steps, last = [], "r0"
+    for k in range(1, depth + 1):
+        branch = ", ".join(["host", *(f"level_{j}" for j in range(1, k))])
+        steps.append(
+            f"""r{k} as (
+        select {last}.* replace (case when c.children > {children} and level_{k} <> '' then '*' else level_{k} end as level_{k})
+        from {last} left join (select {branch}, count(distinct level_{k}) as children from {last} group by all) c using ({branch})
+    )"""
+        )
+        last = f"r{k}"
+    template = " || ".join(f"'/' || level_{k}" for k in range(1, depth + 1))
+    return f"""
+    with u as (
+        select page_id,
+            coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+            coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path
+        from pages
+    ), s as (
+        select *, {rule_case} as rule, {verdict_case} as ruled, list_filter(string_split(path, '/'), lambda x: x <> '') as segs from u
+    ), r0 as (
+        select page_id, host, path, rule, ruled, {levels} from s
+    ), {", ".join(steps)}, t as (
+        select *, {template} as template, case when ruled is not null then (ruled = 'block')::int end as bad from {last}
+    ), c as (
+        select host, template, count(*) as n, sum(bad) as k from t where bad is not null group by all
+    ), kin as (
+        select *, sum(n) over (partition by host) as kn, sum(k) over (partition by host) as kk from c
+    ), pure as (
+        select host, template, case when abs(k / n - kk / kn) <= {alike} * sqrt((kk / kn) * (1 - kk / kn) / n)
+            then (kk + {strength} * prior) / (kn + {strength}) else (k + {strength} * prior) / (n + {strength}) end as purity
+        from kin, (select avg(bad) as prior from t where bad is not null)
+    )
+    select page_id, host, path, rule, coalesce(ruled, case when purity >= {purity} then 'block' else 'allow' end) as verdict, template,
+        round(purity, 6) as purity
+    from t left join pure using (host, template)
+    """
