@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from agoralens.llm import divergence, line_templates as lines, lsh_forest, packing, repair, sql, url_templates as urls
+from agoralens.llm import divergence, factorisation, language_crf, line_templates as lines, lsh_forest, packing, repair, sql, url_templates as urls
 from agoralens.llm.common import table
 from agoralens.session import scratch_path, use_utc
 
@@ -45,6 +45,27 @@ URL_RULES = [
 ]
 
 
+def fold(n: int) -> Column:
+    """Remainder of the id's checksum, which parts what may be learned from the rest."""
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+@query()
+def op1_factorisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    machine = factorisation.train(docs, labels.filter(fold(3) != 1).select("doc_id", F.col("quality").alias("label")))
+    held_out = F.coalesce(fold(3) == 1, F.lit(False))
+    return factorisation.score(docs, machine).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query()
+def op5_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    field = language_crf.train(docs.filter(fold(4) != 2))
+    held_out = F.coalesce(fold(4) == 2, F.lit(False))
+    return language_crf.predict(docs, field).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query()
 def op4_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.judge(table(spark, sf_dir, "documents"))
