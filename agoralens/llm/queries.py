@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from agoralens.llm import divergence, factorisation, language_crf, line_templates as lines, lsh_forest, packing, repair, sql, url_templates as urls
+from agoralens.llm import decontaminate, divergence, factorisation, language_crf, licenses, line_templates as lines, lsh_forest, packing, repair, sql, url_templates as urls
 from agoralens.llm.common import table
 from agoralens.session import scratch_path, use_utc
 
@@ -58,6 +58,16 @@ def op1_factorisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factorisation.score(docs, machine).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+@query()
+def op2_patience_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query()
 def op5_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

@@ -1,12 +1,66 @@
-"""Pipeline over documents."""
+"""Cleaning and packing of documents, one operator a stage.
+
+Every stage takes the documents that its predecessor kept; all but the last
+return the columns of `documents`.
+"""
 
 from __future__ import annotations
 
-from agoralens.llm import queries  # noqa: F401
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from agoralens.llm import decontaminate, divergence, line_templates, lsh_forest, packing
+from agoralens.llm.common import table
+from agoralens.llm.queries import tokenizer_file
+from agoralens.session import scratch_path, use_utc
 
-STAGES = []
+#: No SQL: packing and edit distance aren't expressed in it. Tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    kept = divergence.judge(docs).filter("kept").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without recurring lines; n_chars follows the text. None is dropped."""
+    out = line_templates.drop_recurring_lines(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    gone = lsh_forest.near_duplicates(docs, n=5, percent=80).filter("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item is found."""
+    return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, placed in sequences of 2048 tokens."""
+    return packing.pack_documents(docs, tokenizer_file("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", line_dedup),
+    ("near dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; each but the last is written and read again."""
+    use_utc(spark)
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs.write.parquet(path := scratch_path(spark, f"stage-{k}"))
+            docs = spark.read.parquet(path)
+    return docs
