@@ -23,6 +23,8 @@ ORDERS, DEPTH, LEAST, NEIGHBOURS = 20, 10, 4, 6
 
 _SIZE = ORDERS * LEAST
 _FACTORS = np.random.default_rng(6).integers(0, 2**63, _SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: 64-bit words of the bits that a set's shingles set.
+BIT_WORDS = 16
 #: Bits kept of a shingle's hash; the others number the texts of a batch while it is sorted.
 _KEPT = np.uint64(50)
 _PRINTS = "doc_id bigint, n_shingles bigint, set_1 bigint, set_2 bigint, signature binary"
@@ -142,17 +144,20 @@ def neighbours(sets: DataFrame, ratio: float) -> DataFrame:
 
 
 def shingle_rows(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """doc_id and its distinct shingles as an array, for the documents in `ids` only."""
+    """doc_id, its distinct shingles and the bits they set, for the documents in `ids` only."""
     arrow_ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, edges = shingle_sets(batch.column(1).to_pylist(), n)
             lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(values.view(np.int64)))
-            yield pa.record_batch([batch.column(0), lists], ["doc_id", "shingles"])
+            flags = np.zeros((batch.num_rows, 64 * BIT_WORDS), dtype=bool)
+            flags[np.repeat(np.arange(batch.num_rows), np.diff(edges)), values % np.uint64(64 * BIT_WORDS)] = True
+            bits = pa.array(np.packbits(flags, axis=1).view(np.int64).tolist(), pa.list_(pa.int64()))
+            yield pa.record_batch([batch.column(0), lists, bits], ["doc_id", "shingles", "bits"])
 
     wanted = docs.select(F.col("doc_id").cast("long"), "text").join(ids.select("doc_id"), "doc_id", "left_semi")
-    return wanted.mapInArrow(run, "doc_id bigint, shingles array<bigint>")
+    return wanted.mapInArrow(run, "doc_id bigint, shingles array<bigint>, bits array<bigint>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -206,18 +211,24 @@ def rare_pairs(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     Two sets that similar share a shingle among the rarest
     size - ceil(percent * size / 100) + 1 of each. Shingles held by one
     component only come first in that order and can't join two components.
+    Each bit set in one only stands for a shingle in one only, so pairs with
+    more such bits than shingles that may differ are left out.
     """
     held = sets.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    flat = held.select("doc_id", "root", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    flat = held.select("doc_id", "root", F.explode("shingles").alias("shingle"))
     shared = flat.groupBy("shingle").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high"))
     shared = shared.filter("low <> high").select("shingle", "df")
-    listed = flat.join(shared, "shingle").groupBy("doc_id", "root", "size").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
+    listed = flat.join(shared, "shingle").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
+    listed = held.select("doc_id", "root", F.size("shingles").alias("size"), "bits").join(listed, "doc_id")
     lead = F.col("size") - F.ceil(F.lit(percent) * F.col("size") / 100) + 1
     take = F.greatest(F.lit(0), (lead - (F.col("size") - F.size("s"))).cast("int"))
-    rare = materialise(listed.select("doc_id", "root", "size", F.explode(F.slice("s", F.lit(1), take)).alias("e")).select("doc_id", "root", "size", "e.shingle"))
-    other = rare.select("shingle", *(F.col(c).alias(f"{c}_2") for c in ("doc_id", "root", "size")))
+    rare = listed.select("doc_id", "root", "size", "bits", F.explode(F.slice("s", F.lit(1), take)).alias("e"))
+    rare = materialise(rare.select("doc_id", "root", "size", "bits", "e.shingle"))
+    other = rare.select("shingle", *(F.col(c).alias(f"{c}_2") for c in ("doc_id", "root", "size", "bits")))
+    unlike = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bits_2")[k])) for k in range(BIT_WORDS)), F.lit(0))
     close = 100 * F.least("size", "size_2") >= percent * F.greatest("size", "size_2")
-    met = rare.join(other, "shingle").filter((F.col("root") < F.col("root_2")) & close)
+    few = (100 + percent) * unlike <= (100 - percent) * (F.col("size") + F.col("size_2"))
+    met = rare.join(other, "shingle").filter((F.col("root") < F.col("root_2")) & close & few)
     return met.select(F.least("doc_id", "doc_id_2").alias("a"), F.greatest("doc_id", "doc_id_2").alias("b")).distinct()
 
 
