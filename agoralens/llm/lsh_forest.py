@@ -13,13 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from agoralens.llm.common import arrow_ready, gram_hashes, mix, word_hashes
 from agoralens.session import materialise
 
 #: Orders, values compared in an order, least common prefix of candidates, neighbours looked at.
-ORDERS, DEPTH, LEAST, NEIGHBOURS = 20, 10, 4, 6
+ORDERS, DEPTH, LEAST, NEIGHBOURS = 24, 10, 5, 4
 
 _SIZE = ORDERS * LEAST
 _FACTORS = np.random.default_rng(6).integers(0, 2**63, _SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -27,7 +27,7 @@ _FACTORS = np.random.default_rng(6).integers(0, 2**63, _SIZE, dtype=np.uint64) *
 BIT_WORDS = 16
 #: Bits kept of a shingle's hash; the others number the texts of a batch while it is sorted.
 _KEPT = np.uint64(50)
-_PRINTS = "doc_id bigint, n_shingles bigint, set_1 bigint, set_2 bigint, signature binary"
+_PRINTS = "doc_id bigint, n_shingles bigint, set_1 bigint, set_2 bigint, signature binary, bits array<bigint>"
 
 
 def shingle_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -56,8 +56,32 @@ def shingle_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarra
     return mix(keys & ((np.uint64(1) << _KEPT) - np.uint64(1))), edges
 
 
+def _bits(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    flags = np.zeros((len(edges) - 1, 64 * BIT_WORDS), dtype=bool)
+    flags[np.repeat(np.arange(len(flags)), np.diff(edges)), values % np.uint64(64 * BIT_WORDS)] = True
+    words = np.packbits(flags, axis=1).view(np.int64).ravel()
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(words) + 1, BIT_WORDS), pa.int32()), pa.array(words))
+
+
+def _may_reach(percent: int, size_a: str, size_b: str, bits_a: str, bits_b: str) -> Column:
+    """False only if two sets can't have the similarity.
+
+    A bit set by one set only stands for a shingle in that set only, so the
+    bits in which they differ bound from below how many shingles differ.
+    """
+    unlike = sum((F.bit_count(F.col(bits_a)[k].bitwiseXOR(F.col(bits_b)[k])) for k in range(BIT_WORDS)), F.lit(0))
+    close = 100 * F.least(size_a, size_b) >= percent * F.greatest(size_a, size_b)
+    return close & ((100 + percent) * unlike <= (100 - percent) * (F.col(size_a) + F.col(size_b)))
+
+
+def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their sizes and bits don't rule out."""
+    left, right = (sets.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
+    return pairs.join(left, "a").join(right, "b").filter(_may_reach(percent, "n_a", "n_b", "bits_a", "bits_b")).select(pairs.columns)
+
+
 def fingerprints(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest of the set, MinHash signature."""
+    """doc_id, n_shingles, a 128-bit digest of the set, MinHash signature, the bits that the shingles set."""
     arrow_ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,8 +100,8 @@ def fingerprints(docs: DataFrame, n: int) -> DataFrame:
                 for k, row in zip(full, plain):
                     signatures[k] = row.tobytes() + row[:DEPTH].tobytes()
             yield pa.record_batch(
-                [batch.column(0), pa.array(counts.astype(np.int64)), *(pa.array(d.view(np.int64)) for d in digests), pa.array(signatures, pa.binary())],
-                ["doc_id", "n_shingles", "set_1", "set_2", "signature"],
+                [batch.column(0), pa.array(counts.astype(np.int64)), *(pa.array(d.view(np.int64)) for d in digests), pa.array(signatures, pa.binary()), _bits(values, edges)],
+                ["doc_id", "n_shingles", "set_1", "set_2", "signature", "bits"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _PRINTS)
@@ -144,20 +168,17 @@ def neighbours(sets: DataFrame, ratio: float) -> DataFrame:
 
 
 def shingle_rows(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """doc_id, its distinct shingles and the bits they set, for the documents in `ids` only."""
+    """doc_id, its distinct shingles, for the documents in `ids` only."""
     arrow_ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values, edges = shingle_sets(batch.column(1).to_pylist(), n)
             lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(values.view(np.int64)))
-            flags = np.zeros((batch.num_rows, 64 * BIT_WORDS), dtype=bool)
-            flags[np.repeat(np.arange(batch.num_rows), np.diff(edges)), values % np.uint64(64 * BIT_WORDS)] = True
-            bits = pa.array(np.packbits(flags, axis=1).view(np.int64).tolist(), pa.list_(pa.int64()))
-            yield pa.record_batch([batch.column(0), lists, bits], ["doc_id", "shingles", "bits"])
+            yield pa.record_batch([batch.column(0), lists], ["doc_id", "shingles"])
 
     wanted = docs.select(F.col("doc_id").cast("long"), "text").join(ids.select("doc_id"), "doc_id", "left_semi")
-    return wanted.mapInArrow(run, "doc_id bigint, shingles array<bigint>, bits array<bigint>")
+    return wanted.mapInArrow(run, "doc_id bigint, shingles array<bigint>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -211,8 +232,7 @@ def rare_pairs(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     Two sets that similar share a shingle among the rarest
     size - ceil(percent * size / 100) + 1 of each. Shingles held by one
     component only come first in that order and can't join two components.
-    Each bit set in one only stands for a shingle in one only, so pairs with
-    more such bits than shingles that may differ are left out.
+    Of the pairs that meet, sizes and bits rule out most.
     """
     held = sets.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     flat = held.select("doc_id", "root", F.explode("shingles").alias("shingle"))
@@ -225,10 +245,7 @@ def rare_pairs(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     rare = listed.select("doc_id", "root", "size", "bits", F.explode(F.slice("s", F.lit(1), take)).alias("e"))
     rare = materialise(rare.select("doc_id", "root", "size", "bits", "e.shingle"))
     other = rare.select("shingle", *(F.col(c).alias(f"{c}_2") for c in ("doc_id", "root", "size", "bits")))
-    unlike = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bits_2")[k])) for k in range(BIT_WORDS)), F.lit(0))
-    close = 100 * F.least("size", "size_2") >= percent * F.greatest("size", "size_2")
-    few = (100 + percent) * unlike <= (100 - percent) * (F.col("size") + F.col("size_2"))
-    met = rare.join(other, "shingle").filter((F.col("root") < F.col("root_2")) & close & few)
+    met = rare.join(other, "shingle").filter((F.col("root") < F.col("root_2")) & _may_reach(percent, "size", "size_2", "bits", "bits_2"))
     return met.select(F.least("doc_id", "doc_id_2").alias("a"), F.greatest("doc_id", "doc_id_2").alias("b")).distinct()
 
 
@@ -244,11 +261,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     prints = materialise(fingerprints(docs, n))
     whole = prints.filter("n_shingles > 0 and doc_id is not null")
     classes = whole.groupBy("set_1", "set_2").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")
+        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.first("bits").alias("bits")
     )
     sets = materialise(classes.withColumnRenamed("rep", "doc_id"))
     found = materialise(neighbours(sets, percent / 100))
-    pairs = materialise(found.filter("b is not null").groupBy("a", "b").agg(F.max("common").alias("common")))
+    pairs = found.filter("b is not null").groupBy("a", "b").agg(F.max("common").alias("common"))
+    pairs = materialise(possible(pairs, sets, percent))
     open_ = materialise(found.filter("b is null").select(F.col("a").alias("doc_id")).distinct())
     ids = pairs.select("a").union(pairs.select("b")).union(open_).distinct()
     shingles = materialise(shingle_rows(docs, ids.withColumnRenamed("a", "doc_id"), n).dropDuplicates(["doc_id"]))
@@ -258,7 +276,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     roots = components(links)
     links = materialise(links.union(confirmed(across(pairs, roots), shingles, percent)))
     roots = components(links)
-    rest = rare_pairs(shingles.join(open_, "doc_id", "left_semi"), roots, percent)
+    rest = rare_pairs(shingles.join(open_, "doc_id", "left_semi").join(sets.select("doc_id", "bits"), "doc_id"), roots, percent)
     roots = components(links.union(confirmed(rest, shingles, percent)))
     named = sets.select("set_1", "set_2", "doc_id").join(roots, "doc_id", "left")
     named = named.select("set_1", "set_2", F.coalesce("root", "doc_id").alias("root"))
