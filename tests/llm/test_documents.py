@@ -1,0 +1,259 @@
+"""Operators on documents: edge cases, and plain versions of what SQL can't express."""
+
+import itertools
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from agoralens.llm import decontaminate, divergence, factorisation, language_crf, licenses, line_templates, lsh_forest, queries, url_templates
+
+SF = "/root/testdata/sf0.001"
+WORDS = [a + b for a in ("ba", "ko", "ri", "tu", "se", "mo") for b in ("la", "ne", "vi", "po", "da", "ru")]
+EDGE = [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "one"), (None, "no id at all here"), (6, "x" * 50_000), (7, "a b\n" * 2000)]
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(n))
+
+
+def jaccard_classes(rows, n, percent):
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = {tuple(w)} if 0 < len(w) < n else {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if both and 100 * both >= percent * len(sets[a] | sets[b]):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+@pytest.mark.parametrize("n", [2, 5])
+def test_forest_equals_brute_force(frame, n):
+    """Exact copies, a dense group that no neighbour window covers, chains, unlike texts."""
+    rng = random.Random(n)
+    rows, base = [], [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(90)]
+    for k in range(120):
+        words = base.copy()
+        for _ in range(rng.randrange(0, 6)):
+            words[rng.randrange(90)] = prose(rng, 1)
+        rows.append((k, " ".join(words)))
+    rows += [(200 + k, rows[3][1].upper()) for k in range(30)] + [(300 + k, prose(rng, 60)) for k in range(60)]
+    rows += [(400, None), (401, ""), (402, "One"), (403, "one"), (404, "one two")]
+    got = lsh_forest.near_duplicates(frame(rows), n, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == jaccard_classes(rows, n, 80)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_forest_edge_cases(frame):
+    got = lsh_forest.near_duplicates(frame([*EDGE, (7, "a b\n" * 2000), (None, "no id at all here")]), 2, 80).collect()
+    assert len(got) == len(EDGE) + 2
+    by_id = {r.doc_id: r for r in got}
+    assert (by_id[5].component_id, by_id[5].kept, by_id[4].kept, by_id[2].n_shingles) == (4, False, True, 0)
+    assert by_id[None].component_id is None and by_id[None].kept
+    assert lsh_forest.near_duplicates(frame([]), 5, 80).count() == 0
+
+
+def test_components_of_a_long_path(spark):
+    links = spark.range(40).selectExpr("id a", "id + 1 b")
+    assert {r.root for r in lsh_forest.components(links).collect()} == {0}
+
+
+def plain_base(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    grams = [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
+    often = Counter(grams)
+    covered = {k + j for k, g in enumerate(grams) if often[g] > 1 for j in range(5)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    symbols = len(re.findall(r"[#*$%&|<>]", text or ""))
+    failed = len(words) < 10 or 100 * len(covered) > 20 * len(words)
+    return len(words), sum(map(len, words)), symbols, len(lines) - len(set(lines)), len(covered), failed
+
+
+def test_divergence_query(spark):
+    docs = dict(map(tuple, spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()))
+    got = queries.QUERIES["op4_divergence"](spark, SF).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        assert tuple(r)[1:7] == plain_base(docs[r.doc_id])
+        far = (r.class_distance or 0) > divergence.CLASS_LIMIT or (r.word_distance or 0) > divergence.WORD_LIMIT
+        assert r.kept == (not r.base_failed and not far)
+
+
+def test_divergence_distance_and_edge_cases(frame):
+    p, q = np.array([[0.5, 0.5, 0.0]]), np.array([[0.0, 0.5, 0.5]])
+    m = (p + q) / 2
+    kl = lambda x: sum(a * math.log2(a / b) for a, b in zip(x[0], m[0]) if a)
+    assert divergence.distances(p, q)[0, 0] == pytest.approx(math.sqrt((kl(p) + kl(q)) / 2))
+    assert divergence.distances(p, p)[0, 0] == 0
+    got = {r.doc_id: r for r in divergence.judge(frame(EDGE)).collect()}
+    assert got[1].base_failed and not got[1].kept and got[1].n_words == 0
+    assert divergence.judge(frame([])).count() == 0
+
+
+def test_factorisation(spark, frame):
+    rng = np.random.default_rng(0)
+    m = factorisation.Machine(0.3, rng.normal(size=factorisation.INPUTS), rng.normal(size=(factorisation.INPUTS, 3)))
+    index, value = factorisation.inputs("Some words, some MORE words ### 12", None)
+    pairs = sum(value[i] * value[j] * (m.factors[index[i]] @ m.factors[index[j]]) for i, j in itertools.combinations(range(len(index)), 2))
+    plain = m.bias + sum(m.weights[index] * value) + pairs
+    assert m.margins(index, value, np.array([0]))[0] == pytest.approx(plain)
+    rows = {r.doc_id: r for r in factorisation.score(frame(EDGE), m).collect()}
+    assert len(rows) == len(EDGE) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows.values())
+    assert factorisation.score(frame([]), m).count() == 0
+    assert factorisation.fit([], np.zeros(0)).bias == 0
+
+
+def test_factorisation_held_out(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    got = queries.QUERIES["op1_factorisation"](spark, sf).join(labels, "doc_id").filter("held_out").collect()
+    assert sum(r.predicted == r.quality for r in got) / len(got) > 0.95
+
+
+def test_language_query(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
+    got = queries.QUERIES["op5_language_crf"](spark, sf).join(docs, "doc_id").collect()
+    held = [r for r in got if r.held_out]
+    assert len(got) == 1000 and sum(r.lang == r.lang_pred for r in held) / len(held) > 0.97
+
+
+def test_forward_backward_equals_enumeration():
+    rng = np.random.default_rng(0)
+    field = language_crf.Field(["a", "b", "c"], {}, np.zeros((1, 3)), rng.normal(size=(3, 3)))
+    sizes, e = np.array([4, 1, 3]), rng.normal(size=(8, 3))
+    begins = np.cumsum(sizes) - sizes
+    p, moved = field.posteriors(e, begins, sizes)
+    want, steps = np.zeros_like(e), np.zeros((3, 3))
+    for b, n in zip(begins, sizes):
+        paths = list(itertools.product(range(3), repeat=int(n)))
+        weight = np.exp([sum(e[b + t, s] for t, s in enumerate(x)) + sum(field.transitions[x[t], x[t + 1]] for t in range(n - 1)) for x in paths])
+        for x, w in zip(paths, weight / weight.sum()):
+            for t, s in enumerate(x):
+                want[b + t, s] += w
+                if t:
+                    steps[x[t - 1], s] += w
+    assert np.allclose(p, want) and np.allclose(moved, steps)
+
+
+def test_language_edge_cases(frame):
+    field = language_crf.fit(["the cat and the dog " * 30, "le chat et le chien " * 30] * 4, ["en", "fr"] * 4)
+    rows = [*EDGE, (10, "12 345 ..."), (11, "the dog and the cat"), (12, "le chien\nthe cat the dog the cat")]
+    got = {r.doc_id: r for r in language_crf.predict(frame(rows), field).collect()}
+    assert [got[k].lang_pred for k in (1, 2, 3, 10, 11, 12)] == ["und", "und", "und", "und", "en", "en"]
+    assert all(0 <= r.score <= 1 for r in got.values())
+    assert language_crf.predict(frame([]), field).count() == 0
+    assert {r.lang_pred for r in language_crf.predict(frame([(1, "abc")]), language_crf.fit([], [])).collect()} == {"und"}
+
+
+def plain_edits(item, words):
+    row = [0] * (len(words) + 1)
+    for i, a in enumerate(item, 1):
+        new = [i]
+        for j, b in enumerate(words, 1):
+            new.append(min(row[j - 1] + (a != b), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def test_decontamination_equals_brute_force(spark, frame):
+    rng = random.Random(7)
+    items = [(k, prose(rng, rng.randrange(6, 40))) for k in range(25)] + [(90, "..."), (91, None), (None, "x y z")]
+    rows = [(100 + k, prose(rng, 80)) for k in range(20)]
+    for k in range(150):
+        w = items[k % 25][1].split()
+        for _ in range(rng.randrange(0, max(1, int(0.3 * len(w))))):
+            at, kind = rng.randrange(len(w)), rng.randrange(3)
+            w[at : at + (kind != 1)] = [] if kind == 2 and len(w) > 3 else [prose(rng, 1)]
+        rows.append((1000 + k, " ".join([prose(rng, 20), *w, prose(rng, 20)]).title() + "!"))
+    want = set()
+    for i, text in rows:
+        words = decontaminate.normalised(text).split()
+        for j, item in items[:25]:
+            w = decontaminate.normalised(item).split()
+            if plain_edits(w, words) <= int(0.2 * len(w)):
+                want.add((i, j))
+    table = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame([*rows, *EDGE]), table).collect()}
+    assert got <= want and len(got) >= 0.99 * len(want) and len(want) > 80
+    left = decontaminate.without_leaks(frame([*rows, *EDGE]), table)
+    assert left.columns == frame([]).columns
+    kept = [r.doc_id for r in left.collect()]
+    assert sorted(map(str, kept)) == sorted(str(i) for i, _ in [*rows, *EDGE] if i not in {d for d, _ in got})
+    assert decontaminate.leaks(frame([]), table).count() == 0
+    assert decontaminate.without_leaks(frame(EDGE), table.limit(0)).count() == len(EDGE)
+
+
+def test_licenses(frame):
+    assert licenses.aligned("a b c d e".split(), "x a c q d".split()) == [(0, 1), (2, 2), (3, 4)]
+    notice = licenses.TEMPLATES["mit-permission"]
+    edited = notice.replace("free of charge", "gratis").replace("\n", " ").upper()
+    rows = [(10, f"Head.\n{edited}\nTail."), (11, "Licensed under CC BY-NC 4.0. Text. Licensed under CC BY-NC 4.0."), (12, "the license of this work"), *EDGE]
+    got = licenses.scan(frame(rows)).collect()
+    assert sorted((r.doc_id, r.license) for r in got) == [(10, "mit-permission"), (11, "cc-by-nc-4.0"), (11, "cc-by-nc-4.0")]
+    assert all(r.coverage >= licenses.COVERAGE for r in got)
+    assert licenses.scan(frame([])).count() == 0
+
+
+def test_license_query_finds_every_plain_notice(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    got = {(r.doc_id, r.license) for r in queries.QUERIES["op2_patience_licenses"](spark, SF).collect()}
+    for name, t in licenses.TEMPLATES.items():
+        assert {(d.doc_id, name) for d in docs if t in d.text} <= got
+
+
+def test_lines_edge_cases(frame):
+    rows = [(21, "see page 12 of the book\nown words of one text"), (22, "see page 99 of the book\nother words of two"), *EDGE[:5], (29, "see page 12 of the book\nown words of one text")]
+    out = line_templates.drop_recurring_lines(frame([*rows, (None, "see page 3 of the book")]))
+    got = {r.doc_id: (r.text, r.n_dropped) for r in out.collect()}
+    assert got[None] == ("see page 3 of the book", 0)
+    assert got[22] == ("other words of two", 1) and got[29] == ("own words of one text", 1)
+    assert got[21][1] == 1 and "n_chars" in out.columns and "length" in out.columns
+    shapes = [(k, f"the user {name} has left the room\nline number {name} only") for k, name in enumerate(["anna", "bob", "carl", "dora"])]
+    assert [r.n_dropped for r in line_templates.drop_recurring_lines(frame(shapes)).orderBy("doc_id").collect()] == [0, 1, 1, 1]
+    assert line_templates.drop_recurring_lines(frame([])).count() == 0
+
+
+def test_urls(spark):
+    urls = [
+        (1, "HTTPS://WWW.Example.COM/en/1?x=/a"), (2, "http://a.example.com/en/2#t"), (3, "http://x.net/es/3"), (4, "ftp://net"), (5, None),
+        (6, "no scheme"), (7, "http://x.net?/es/"), (8, "http://com/"), (9, "a://b://c/d"), (1, "HTTPS://WWW.Example.COM/en/1?x=/a"), (10, "http://xcom/"),
+    ]
+    pages = spark.createDataFrame([(i, u, "h") for i, u in urls], "page_id bigint, url string, host string").drop("host")
+    got = {r.page_id: r for r in url_templates.judge(pages, queries.URL_RULES).collect()}
+    assert (got[1].host, got[1].path, got[1].rule, got[1].verdict) == ("www.example.com", "/en/1", "www.example.com/en/", "allow")
+    assert (got[2].rule, got[2].verdict, got[3].rule, got[8].rule) == ("example.com/en/", "block", "net/es/", "com/")
+    assert (got[4].host, got[4].path, got[5].host, got[6].path, got[7].host, got[9].host, got[10].rule) == ("net", "", "", "", "x.net", "b:", None)
+    assert url_templates.judge(pages.limit(0), queries.URL_RULES).count() == 0
+
+
+def test_pipeline_equals_its_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert [k for k, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "near dedup", "decontamination", "packing"]
+    kept = {r.doc_id for r in divergence.judge(docs).filter("kept").collect()}
+    out = {}
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stage(spark, docs, SF).cache()
+        if name != "packing":
+            assert docs.columns == before.columns
+        out[name] = {r.doc_id: r for r in docs.collect()}
+    assert set(out["quality rules"]) == set(out["line dedup"]) == kept
+    classes = jaccard_classes([(i, r.text) for i, r in out["line dedup"].items()], 5, 80)
+    assert set(out["near dedup"]) == {i for i, (_, c) in classes.items() if c == i}
+    leaks = decontaminate.leaks(spark.createDataFrame(list(out["near dedup"].values())), spark.read.parquet(f"{SF}/benchmark.parquet"))
+    assert set(out["decontamination"]) == set(out["near dedup"]) - {r.doc_id for r in leaks.collect()}
+    assert set(out["packing"]) == set(out["decontamination"])
