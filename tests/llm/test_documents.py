@@ -223,7 +223,7 @@ def test_lines_edge_cases(frame):
     assert got[None] == ("see page 3 of the book", 0)
     assert got[22] == ("other words of two", 1) and got[29] == ("own words of one text", 1)
     assert got[21][1] == 1 and "n_chars" in out.columns and "length" in out.columns
-    shapes = [(k, f"the user {name} has left the room\nline number {name} only") for k, name in enumerate(["anna", "bob", "carl", "dora"])]
+    shapes = [(k, f"the user called {name} has left the room\nline number {name} only") for k, name in enumerate(["anna", "bob", "carl", "dora"])]
     assert [r.n_dropped for r in line_templates.drop_recurring_lines(frame(shapes)).orderBy("doc_id").collect()] == [0, 1, 1, 1]
     assert line_templates.drop_recurring_lines(frame([])).count() == 0
 
