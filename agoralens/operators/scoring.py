@@ -33,22 +33,45 @@ from agoralens.session import materialise
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Weighted terms. A term counts once per post, however often it occurs."""
+    """Weighted terms. A term counts once per post, however often it occurs.
+
+    Terms are matched like posts are cleaned: lower case, ASCII only, single
+    blanks; terms that become equal add up, empty ones are rejected. A term
+    counts where no word character continues it, also inside a longer term.
+    """
 
     weights: Mapping[str, float]
     bias: float = 0.0
 
-    def logit(self, text: Column) -> Column:
-        # One regex pass finds all terms; the weights then sum over the few hits.
-        terms = "|".join(re.escape(t) for t in self.weights)
-        hits = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(rf"\b(?:{terms})\b"), F.lit(0)))
+    def __post_init__(self) -> None:
+        if any(not self._plain(t) for t in self.weights):
+            raise ValueError("a term has no ASCII character left to match")
 
-        def weight(hit: Column) -> Column:
-            first, *rest = self.weights.items()
-            start = F.when(hit == first[0], F.lit(first[1]))
-            return reduce(lambda c, item: c.when(hit == item[0], F.lit(item[1])), rest, start)
+    @staticmethod
+    def _plain(term: str) -> str:
+        return " ".join(term.lower().encode("ascii", "ignore").decode().split())
 
-        return F.aggregate(hits, F.lit(float(self.bias)), lambda acc, hit: acc + weight(hit))
+    def logit(self, text: Column) -> Column:
+        terms: dict[str, float] = {}
+        for term, weight in self.weights.items():
+            terms[self._plain(term)] = terms.get(self._plain(term), 0.0) + float(weight)
+        low, total = F.lower(text), F.lit(float(self.bias))
+        words = {t: w for t, w in terms.items() if re.fullmatch(r"\w+", t)}
+        if words:
+            # Words can't overlap: one regex pass finds them all.
+            pattern = rf"\b(?:{'|'.join(map(re.escape, words))})\b"
+            hits = F.array_distinct(F.regexp_extract_all(low, F.lit(pattern), F.lit(0)))
+
+            def weight_of(hit: Column) -> Column:
+                first, *rest = words.items()
+                start = F.when(hit == first[0], F.lit(first[1]))
+                return reduce(lambda c, item: c.when(hit == item[0], F.lit(item[1])), rest, start)
+
+            total = F.aggregate(hits, total, lambda acc, hit: acc + weight_of(hit))
+        for term, weight in terms.items():
+            if term not in words:
+                total = total + F.when(low.rlike(rf"(?<!\w){re.escape(term)}(?!\w)"), F.lit(weight)).otherwise(0.0)
+        return total
 
 
 def logistic_score(logit: Column) -> Column:

@@ -19,16 +19,9 @@ SEED = 42
 MAX_ITER = 10
 
 
-def topic_documents(df: DataFrame, stops: Iterable[str], per: str = "document", text: str = "text") -> DataFrame:
-    """Documents of the model, one array of clean terms per row.
-
-    per="document" takes posts as documents; per="token" takes every token as
-    a document of its own.
-    """
-    terms = without(clean_terms(F.col(text), CLEAN_LONGER_THAN), stops)
-    if per == "token":
-        return df.select(F.explode(terms).alias("term")).select(F.array("term").alias("terms"))
-    return df.select(terms.alias("terms"))
+def topic_documents(df: DataFrame, stops: Iterable[str], text: str = "text") -> DataFrame:
+    """Documents of the model, one array of clean terms per post."""
+    return df.select(without(clean_terms(F.col(text), CLEAN_LONGER_THAN), stops).alias("terms"))
 
 
 def topics(
@@ -37,13 +30,12 @@ def topics(
     terms: int = TOPIC_TERMS,
     seed: int = SEED,
     max_iter: int = MAX_ITER,
-    max_vocabulary: int = 5_000_000,
 ) -> DataFrame:
     """(topic, rank, term, weight): the top terms of each topic.
 
-    LDA keeps a (topics x vocabulary) matrix on the driver, so the vocabulary
-    has to fit there. Its size is counted first; a corpus beyond
-    `max_vocabulary` is refused rather than cut down silently.
+    Every iteration draws as many documents as there are, so that all take
+    part. LDA keeps a (topics x vocabulary) matrix on the driver, so the
+    vocabulary has to fit there.
     """
     spark = documents.sparkSession
     # Written once: the vocabulary and the vectors both read it.
@@ -52,19 +44,17 @@ def topics(
     frequency = occurrences.groupBy("term").agg(F.count("*").alias("df"))
     vocab = materialise(within_bounds(frequency, documents).select("term"))
     size = vocab.count()
-    if size > max_vocabulary:
-        raise ValueError(f"{size} terms exceed max_vocabulary={max_vocabulary}; raise it together with driver memory")
     schema = "topic int, rank int, term string, weight double"
     if size == 0:
         return spark.createDataFrame([], schema)
     # Fitted on the vocabulary, each term once, not on the corpus. Sorted and in
-    # one partition (of at most `max_vocabulary` short rows), so that the terms
+    # one partition (short rows that the driver holds anyway), so that the terms
     # get the same numbers on every run and the seed means something.
     vectoriser = CountVectorizer(inputCol="terms", outputCol="features", vocabSize=size)
     fitted = vectoriser.fit(vocab.orderBy("term").coalesce(1).select(F.array("term").alias("terms")))
     # Every iteration reads the vectors; written, they are not counted again.
     vectors = materialise(fitted.transform(documents).select("features"))
-    model = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online").fit(vectors)
+    model = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online", subsamplingRate=1.0).fit(vectors)
     words = fitted.vocabulary
     # (topics x terms) rows: the report itself.
     report = [

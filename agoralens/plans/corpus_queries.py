@@ -382,6 +382,6 @@ def topics(spark, sf_dir):
 
 @query()
 def topic_terms(spark, sf_dir):
-    """Five terms per topic, on the posts of label 1, every token a document."""
+    """Five terms per topic, on the posts of label 1."""
     posts = by_label(fixtures.corpus(spark, sf_dir), 1)
-    return tp.topics(tp.topic_documents(posts, sql.STOP_WORDS, per="token"), terms=5)
+    return tp.topics(tp.topic_documents(posts, sql.STOP_WORDS), terms=5)

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 # Parameters of the registered queries.
-START_PROCESSED = "2024-01-15"
-START_ENQUEUED = "2024-01-10"
+START_PROCESSED = "2024-01-02"
+START_ENQUEUED = "2024-01-02"
 STOP_WORDS = [
     "avec", "como", "dans", "desde", "durch", "eine", "einen", "elle", "entre", "esta", "este", "from", "have",
     "nicht", "para", "pero", "por", "pour", "sich", "sobre", "that", "this", "todo", "with", "être", "también", "über",

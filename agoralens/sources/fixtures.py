@@ -11,15 +11,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give a scan that comes as fewer partitions than there are cores (one
-    file with one row group) a partition per core. Big tables are left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def bronze_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +23,7 @@ def bronze_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     again a day later. The copies come from one pass (`explode`) instead of a
     union, which would scan and join twice.
     """
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     events = table(spark, sf_dir, "events").select("event_id", "event_type", "ts")
     deliveries = F.when(F.col("doc_id") % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))

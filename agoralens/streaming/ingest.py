@@ -18,7 +18,7 @@ def parse_events(stream: DataFrame, schema: StructType, column: str = "value", o
     with_corrupt = StructType([*schema.fields, StructField(CORRUPT, StringType())])
     event = F.from_json(F.col(column), with_corrupt, {**(options or {}), "columnNameOfCorruptRecord": CORRUPT})
     return stream.select(event.alias("event")).select(
-        "event.*", F.current_timestamp().cast("timestamp_ntz").alias("processed_utc")
+        "event.*", F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).cast("timestamp_ntz").alias("processed_utc")
     )
 
 

@@ -133,6 +133,20 @@ def test_lexicon_counts_a_term_once_and_whole_words_only(spark):
     assert rows[0].prediction_prob == pytest.approx(1 / (1 + 2.718281828459045**-1))
 
 
+def test_lexicon_overlaps_case_and_symbols(spark):
+    def logit(weights, text, bias=0.0):
+        df = spark.createDataFrame([(text,)], "t string")
+        return df.select(Lexicon(weights, bias).logit(F.col("t")).alias("x")).head().x
+
+    terms = {"want": 1.0, "want to die": 4.0, "die": 2.0}
+    assert logit(terms, "i want to die now") == 7.0
+    assert logit(terms, "diet wanted") == 0.0
+    assert logit({"Alone": 1.0, "alone": 0.5, "c++": 2.0, ":(": 4.0}, "ALONE with c++ :(") == 7.5
+    assert logit({}, "x", bias=-1.0) == -1.0
+    with pytest.raises(ValueError):
+        Lexicon({"é": 1.0})
+
+
 @pytest.mark.parametrize("classifier", ["logistic", "gbt"])
 def test_ml_scorer_learns_and_guards(spark, classifier):
     texts = [(f"good fine {words(12)}", 0), (f"awful gloom {words(12)}", 1)] * 30

@@ -124,3 +124,14 @@ def test_ingest_keeps_broken_lines(spark, tmp_path):
         (2, None, None),
     ]
     assert all(r.processed_utc for r in rows)
+
+
+def test_processing_time_is_utc_in_any_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Bogota")
+    try:
+        lines = spark.createDataFrame([("{}",)], "value string")
+        moment = ingest.parse_events(lines, StructType([POSTS["post_id"]])).select(F.col("processed_utc").cast("string")).head()[0]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert abs(dt.datetime.fromisoformat(moment) - dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)) < dt.timedelta(minutes=5)
