@@ -14,6 +14,8 @@ import sys
 from array import array
 from collections.abc import Callable
 
+import numpy as np
+
 #: Pieces in each of the two generations that a worker keeps.
 PIECES = 500_000
 
@@ -37,6 +39,7 @@ def _make(model: str, keep_blank: bool) -> Callable[[list[str]], list[bytes]]:
 
     tokenizer = Tokenizer.from_str(model)
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    mark, mark_id = special[0], tokenizer.token_to_id(special[0])
     recent: dict[str, bytes] = {}
     older: dict[str, bytes] = {}
 
@@ -47,6 +50,17 @@ def _make(model: str, keep_blank: bool) -> Callable[[list[str]], list[bytes]]:
             out += [_little(array("I", e.ids)) for e in found]
         return out
 
+    def apart(new: list[str]) -> list[bytes]:
+        """Ids of each of many short pieces: a special token between two keeps them apart in one call."""
+        out: list[bytes] = []
+        for k in range(0, len(new), 2000):
+            chunk = new[k : k + 2000]
+            ids = np.array(tokenizer.encode_batch_fast([mark.join(chunk)], add_special_tokens=False)[0].ids, dtype="<u4")
+            at = 4 * np.flatnonzero(ids == mark_id)
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip([0, *(at + 4).tolist()], [*at.tolist(), len(data)], strict=True)]
+        return out
+
     def pieces(text: str) -> list[str] | None:
         words = text.split()
         if " ".join(words) != text.replace("\n", " ") or any(s in text for s in special):
@@ -63,9 +77,12 @@ def _make(model: str, keep_blank: bool) -> Callable[[list[str]], list[bytes]]:
             recent, older = {}, recent
         missing = wanted - recent.keys()
         recent.update((w, older[w]) for w in missing & older.keys())
-        parts = {w: _parts(w) for w in missing - recent.keys()}
-        new = list({p for ps in parts.values() for p in ps} - recent.keys())
-        recent.update(zip(new, whole(new)))
+        missing -= recent.keys()
+        parts = {w: _parts(w) for w in missing if w[-1:] in ",." or "\n" in w}
+        new = missing - parts.keys()
+        new.update(p for ps in parts.values() for p in ps)
+        new = list(new - recent.keys())
+        recent.update(zip(new, apart(new), strict=True))
         recent.update((w, b"".join([recent[p] for p in ps])) for w, ps in parts.items() if len(ps) > 1)
 
     def encode(texts: list[str]) -> list[bytes]:

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
@@ -86,7 +87,8 @@ def compress(ids: np.ndarray, end_id: int, base: int) -> Grammar:
         often = np.bincount(bucket, minlength=1 << _BITS)[bucket] >= LEAST
         ends = seq == end_id
         at = np.flatnonzero(often & ~ends[:-1] & ~ends[1:])
-        pairs, which, count = np.unique(key[at], return_inverse=True, return_counts=True)
+        which, pairs = pd.factorize(key[at])
+        count = np.bincount(which, minlength=len(pairs))
         chosen = np.argsort(-count, kind="stable")[:PER_ROUND]
         chosen = chosen[count[chosen] >= LEAST]
         if not len(chosen):
