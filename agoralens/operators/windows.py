@@ -13,10 +13,10 @@ WINDOW_POSTS = 1000
 ROW_BITS = 33
 
 
-def count_window(df: DataFrame, order: list[str], size: int = WINDOW_POSTS, scratch: str | None = None) -> DataFrame:
+def count_window(df: DataFrame, order: list[str], size: int = WINDOW_POSTS, scratch: str | None = None, start: int = 0) -> DataFrame:
     """Number the rows in `order` and put every `size` of them into one window.
 
-    Adds `position` (from 0) and `window_no`. `order` should tell rows apart;
+    Adds `position` (from `start`) and `window_no`. `order` should tell rows apart;
     rows equal in it are numbered in an order of their own.
 
     A global row number in one window would pull all rows into one task.
@@ -57,7 +57,7 @@ def count_window(df: DataFrame, order: list[str], size: int = WINDOW_POSTS, scra
     return (
         ranged.withColumn("_range", in_range)
         .join(offsets, "_range")
-        .withColumn("position", F.col("_before") + row)
+        .withColumn("position", F.col("_before") + row + F.lit(start))
         .withColumn("window_no", F.expr(f"position div {int(size)}"))
         .select(*df.columns, "position", "window_no")
     )
@@ -72,3 +72,9 @@ def window_stats(windowed: DataFrame, time: str = "enqueued_utc") -> DataFrame:
         F.min(time).alias("first_time"),
         F.max(time).alias("last_time"),
     )
+
+
+def merge_window_stats(partials: DataFrame) -> DataFrame:
+    """Statistics of windows of which several partials may exist."""
+    sums = (F.sum(c).alias(c) for c in ("posts", "scored", "prediction_1"))
+    return partials.groupBy("window_no").agg(*sums, F.min("first_time").alias("first_time"), F.max("last_time").alias("last_time"))

@@ -124,7 +124,13 @@ def stream_append_sink(spark, sf_dir):
 @query(f"with {_ELIGIBLE} {WINDOW_STATS.format('eligible')}")
 def stream_count_windows(spark, sf_dir):
     """Runs of 1,000 eligible posts; here one micro-batch takes all files."""
-    return st.read_silver(spark, silver(spark, sf_dir, window=1000), st.WINDOWS).drop("batch_id")
+    return st.read_windows(spark, silver(spark, sf_dir, window=1000))
+
+
+@query(f"with {_ELIGIBLE} select window_no, posts, scored from ({WINDOW_STATS.format('eligible')})")
+def stream_count_windows_batches(spark, sf_dir):
+    """Runs of 1,000 posts across micro-batches of one file each: how many posts a window has doesn't depend on the order of files."""
+    return st.read_windows(spark, silver(spark, sf_dir, max_files=1, window=1000)).select("window_no", "posts", "scored")
 
 
 @query(f"with {_ELIGIBLE} select {MONTHLY} from eligible group by 1, 2")

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from agoralens.functions.text import token_count
@@ -11,13 +10,14 @@ from agoralens.operators import reports
 from agoralens.operators.filters import min_tokens, positives, since
 from agoralens.operators.projections import with_clean_text
 from agoralens.operators.scoring import score_posts
-from agoralens.operators.windows import WINDOW_POSTS, count_window, window_stats
+from agoralens.operators.windows import WINDOW_POSTS, count_window, merge_window_stats, window_stats
 from agoralens.schema import MIN_TOKENS
 
 # Tables the stream writes below its root.
 SCORED = "scored_posts"
 MONTHLY = "monthly_partials"
 WINDOWS = "window_stats"
+WINDOW_ROWS = "window_rows"
 
 
 def eligible_posts(posts: DataFrame, start: str | None = None, n: int = MIN_TOKENS, counter=token_count) -> DataFrame:
@@ -33,6 +33,11 @@ def write_silver(scored: DataFrame, root: str, batch_id: int, fmt: str = "parque
     Every table gets one folder per batch and a replayed batch overwrites its
     own folders, so a restart neither loses nor doubles rows. The aggregates
     read the written scores: the scorer runs for the first write only.
+
+    Windows go on across batches: rows are numbered by batch, then event time,
+    then post. How many rows a batch has is kept, so a batch begins behind the
+    rows of all smaller batch ids, on a replay too. A window that two batches
+    share is a partial in each, merged by `read_windows`.
     """
     spark = scored.sparkSession
 
@@ -44,8 +49,11 @@ def write_silver(scored: DataFrame, root: str, batch_id: int, fmt: str = "parque
     written = spark.read.format(fmt).schema(scored.schema).load(write(scored, SCORED))
     write(reports.monthly_partials(written), MONTHLY)
     if window:
+        write(written.agg(F.count("*").alias("n")), WINDOW_ROWS)
+        counts = read_silver(spark, root, WINDOW_ROWS, fmt)
+        start = counts.filter(F.col("batch_id") < batch_id).agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
         columns = written.select("post_id", "enqueued_utc", "prediction")
-        numbered = count_window(columns, ["enqueued_utc", "post_id"], window, scratch=f"{root}/_window_work")
+        numbered = count_window(columns, ["enqueued_utc", "post_id"], window, f"{root}/_window_work", start)
         write(window_stats(numbered), WINDOWS)
 
 
@@ -90,6 +98,11 @@ def read_monthly(spark: SparkSession, root: str, fmt: str = "parquet") -> DataFr
     return reports.merge_partials(read_silver(spark, root, MONTHLY, fmt))
 
 
+def read_windows(spark: SparkSession, root: str, fmt: str = "parquet") -> DataFrame:
+    """Statistics of the count windows of all batches, one row a window."""
+    return merge_window_stats(read_silver(spark, root, WINDOWS, fmt))
+
+
 # --- memory sink, for tests and demonstrations --------------------------------
 
 

@@ -51,8 +51,8 @@ def scorer(spark):
     return BatchScorer(make), calls
 
 
-def run(spark, lake, model, window=100):
-    posts = stream_table(spark, str(lake / "posts"), POSTS, max_files=2)
+def run(spark, lake, model, window=100, max_files=2):
+    posts = stream_table(spark, str(lake / "posts"), POSTS, max_files=max_files)
     st.run(st.score_stream(posts, model, str(lake / "silver"), str(lake / "checkpoint"), window=window))
 
 
@@ -96,6 +96,26 @@ def test_replayed_batch_overwrites_itself(spark, lake):
     assert same(windows, window_stats(count_window(columns, ["enqueued_utc", "post_id"], 100)))
 
 
+def test_windows_go_on_across_batches(spark, tmp_path):
+    """Four deliveries in time order, each a batch of its own; a window of 70 posts spans them."""
+    for k in range(4):
+        write_posts(spark, str(tmp_path / "posts"), 100 * k, 100, "append")
+        run(spark, tmp_path, scorer(spark)[0], window=70, max_files=None)
+    root = str(tmp_path / "silver")
+    scored = st.read_silver(spark, root, st.SCORED)
+    assert scored.select("batch_id").distinct().count() == 4
+    columns = scored.select("post_id", "enqueued_utc", "prediction")
+    right = window_stats(count_window(columns, ["enqueued_utc", "post_id"], 70))
+    assert same(st.read_windows(spark, root), right)
+    posts = [r.posts for r in right.orderBy("window_no").collect()]
+    assert len(posts) > 2 and set(posts[:-1]) == {70}
+
+    # A batch that is replayed begins where it began.
+    batch = spark.createDataFrame(scored.filter("batch_id = 1").drop("batch_id").collect(), scored.drop("batch_id").schema)
+    st.write_silver(batch, root, 1, window=70)
+    assert same(st.read_windows(spark, root), right)
+
+
 def test_time_bound(spark, lake):
     posts = stream_table(spark, str(lake / "posts"), POSTS)
     name = "bounded_posts"
