@@ -3,7 +3,7 @@
 Texts in which single blanks or line ends separate words are encoded word by
 word, each distinct piece once per worker: the two tokenizers used here cut
 texts before a single blank, so ids of the pieces in order are the ids of the
-text. Any other text (runs of white space, other white space, a special token's
+text. Any other text (runs of white space, other white space, a zero character, a special token's
 string) goes to the tokenizer whole.
 """
 
@@ -63,12 +63,11 @@ def _make(model: str, keep_blank: bool) -> Callable[[list[str]], list[bytes]]:
 
     def pieces(text: str) -> list[str] | None:
         words = text.split()
-        if " ".join(words) != text.replace("\n", " ") or any(s in text for s in special):
+        if " ".join(words) != text.replace("\n", " ") or "\0" in text or any(s in text for s in special):
             return None
         if not keep_blank:
             return words
-        first, *rest = text.split(" ")
-        return [first, *[" " + w for w in rest]]
+        return text.replace(" ", "\0 ").split("\0")
 
     def remember(wanted: set[str]) -> None:
         """Have the ids of all wanted pieces in `recent`."""
