@@ -1,8 +1,9 @@
 """Best-fit packing of token sequences by the sum-of-squares rule.
 
 Each document is put where the sum over gaps of (number of open bins with that
-gap) squared becomes smallest. Tasks pack their own share of the pieces; bins
-that tasks leave unfilled are packed once more among each other.
+gap) squared becomes smallest. Pieces are dealt by length to shares that are
+packed apart, so every share has the lengths of the whole; bins left unfilled
+are packed once more among each other.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from agoralens.llm.common import BATCH_ROWS, arrow_ready
 from agoralens.llm.encode import encoder
+from agoralens.operators.windows import count_window
 from agoralens.session import materialise
 
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -96,46 +98,45 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
 
 
-def _packed(pieces: DataFrame, capacity: int, tasks: int, bin_: str, offset: str, filled: str) -> DataFrame:
-    """Place the rows of each of `tasks` shares, by their column `length`, into bins."""
+def _packed(pieces: DataFrame, capacity: int, per_share: int, bin_: str, offset: str, filled: str) -> DataFrame:
+    """Place the rows, by their column `length`, into bins, about `per_share` rows at a time.
+
+    Of n shares, each takes every n-th row by length. A share with lengths
+    drawn at random would lack partners for many of its pieces.
+    """
     names, added = pieces.columns, [bin_, offset, filled]
     schema = ", ".join(f"{n} {t}" for n, t in [*pieces.dtypes, *((x, "bigint") for x in added)])
+    shares = max(1, -(-pieces.count() // per_share))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        first = TaskContext.get().partitionId() << 40
-        got = list(batches)
-        if not got:
-            return
-        rows = pa.Table.from_batches(got)
-        rows = rows.sort_by([("length", "descending"), *((n, "ascending") for n in names if n != "length")])
+    def place(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.select(names).sort_by([("length", "descending"), *((n, "ascending") for n in names if n != "length")])
         bins = SumOfSquares(capacity)
         places = np.array([bins.add(n) for n in rows["length"].to_pylist()], dtype=np.int64).reshape(-1, 2)
         fill = np.array(bins.fill, dtype=np.int64)[places[:, 0]]
-        for name, values in zip(added, (places[:, 0] + first, places[:, 1], fill)):
+        for name, values in zip(added, (places[:, 0] + (key[0].as_py() << 40), places[:, 1], fill)):
             rows = rows.append_column(name, pa.array(values))
-        yield from rows.to_batches(max_chunksize=50_000)
+        return rows
 
-    return pieces.repartition(tasks, *names).mapInArrow(run, schema)
+    numbered = count_window(pieces, ["length", *(n for n in names if n != "length")])
+    return numbered.groupBy((F.col("position") % shares).alias("share")).applyInArrow(place, schema)
 
 
 def pack(pieces: DataFrame, capacity: int, per_task: int = 250_000) -> DataFrame:
     """Place pieces of 1 to `capacity` tokens: their columns, sequence_id and offset.
 
-    Pieces go to tasks by a hash of their columns, about `per_task` each. Bins
-    that are not full are packed again among those of other tasks, as items of
-    their filled length; what was placed in one moves with it. The result
-    depends only on the rows, not on their order. Tables without rows give no
-    rows; equal rows are placed one by one.
+    Pieces are packed in shares of about `per_task`. Bins that are not full are
+    packed again among those of other shares, as items of their filled length;
+    what was placed in one moves with it. The result depends only on the rows,
+    not on their order. Tables without rows give no rows; equal rows are placed
+    one by one.
     """
     spark = arrow_ready(pieces.sparkSession)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10 * BATCH_ROWS)
     pieces = materialise(pieces)
-    level = materialise(_packed(pieces, capacity, _tasks(pieces, per_task), "bin", "place", "filled"))
+    level = materialise(_packed(pieces, capacity, per_task, "bin", "place", "filled"))
     loose = level.filter(F.col("filled") < capacity).groupBy("bin").agg(F.max("filled").alias("length"))
     loose = materialise(loose)
-    again = _packed(loose, capacity, _tasks(loose, per_task), "sequence", "shift", "filled")
+    again = _packed(loose, capacity, per_task, "sequence", "shift", "filled")
     return level.join(again.select("bin", "sequence", "shift"), "bin", "left").select(
         *pieces.columns,
         F.when(F.col("sequence").isNull(), F.col("bin") * 2).otherwise(F.col("sequence") * 2 + 1).alias("sequence_id"),
@@ -143,10 +144,6 @@ def pack(pieces: DataFrame, capacity: int, per_task: int = 250_000) -> DataFrame
     )
 
 
-def _tasks(rows: DataFrame, per_task: int) -> int:
-    return max(1, -(-rows.count() // per_task))
-
-
 def pack_documents(docs: DataFrame, model: str, end_id: int = 0, capacity: int = 2048) -> DataFrame:
     """Pack documents into sequences of at most `capacity` tokens.
 

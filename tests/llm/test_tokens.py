@@ -140,6 +140,22 @@ def test_many_tasks_leave_few_open_bins(spark):
     assert got.select("sequence_id").distinct().count() <= -(-total // 2048) * 1.01
 
 
+def least_bins(lengths: np.ndarray, capacity: int) -> int:
+    """No packing takes fewer: pieces above half the capacity lie apart, short ones fill what they can of the gaps."""
+    best, big = 0, lengths[2 * lengths > capacity]
+    for t in range(capacity // 2 + 1):
+        paired = big[big <= capacity - t]
+        short = lengths[(lengths >= t) & (2 * lengths <= capacity)].sum()
+        best = max(best, len(big) + max(0, -(-(short - (capacity - paired).sum()) // capacity)))
+    return best
+
+
+def test_shares_together_come_near_the_least_number_of_bins(spark):
+    lengths = spark.range(6000).selectExpr("id doc_id", "cast(0 as int) piece", "0L start", "1 + pmod(xxhash64(id), 2048) length", "0L ids_crc32")
+    got = packing.pack(lengths, 2048, per_task=500).select("sequence_id", "length").collect()
+    assert len({r.sequence_id for r in got}) <= 1.01 * least_bins(np.array([r.length for r in got]), 2048)
+
+
 def test_choice_is_the_least_sum_of_squares():
     rng, bins = np.random.default_rng(0), packing.SumOfSquares(50)
     for n in rng.integers(1, 51, 400).tolist():
