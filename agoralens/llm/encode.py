@@ -40,6 +40,11 @@ def _make(model: str, keep_blank: bool) -> Callable[[list[str]], list[bytes]]:
     tokenizer = Tokenizer.from_str(model)
     special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     mark, mark_id = special[0], tokenizer.token_to_id(special[0])
+    # In line, a blank parts pieces: it begins one, or it is dropped and a token that ends a word ends a piece.
+    separator = "" if keep_blank else " "
+    spells = np.zeros(tokenizer.get_vocab_size(), dtype=np.int64)
+    for token, i in tokenizer.get_vocab().items():
+        spells[i] = len(token) if keep_blank else token.endswith("</w>")
     recent: dict[str, bytes] = {}
     older: dict[str, bytes] = {}
 
@@ -50,15 +55,41 @@ def _make(model: str, keep_blank: bool) -> Callable[[list[str]], list[bytes]]:
             out += [_little(array("I", e.ids)) for e in found]
         return out
 
-    def apart(new: list[str]) -> list[bytes]:
-        """Ids of each of many short pieces: a special token between two keeps them apart in one call."""
-        out: list[bytes] = []
-        for k in range(0, len(new), 2000):
-            chunk = new[k : k + 2000]
-            ids = np.array(tokenizer.encode_batch_fast([mark.join(chunk)], add_special_tokens=False)[0].ids, dtype="<u4")
-            at = 4 * np.flatnonzero(ids == mark_id)
-            data = ids.tobytes()
-            out += [data[a:b] for a, b in zip([0, *(at + 4).tolist()], [*at.tolist(), len(data)], strict=True)]
+    def in_line(chunk: list[str]) -> list[bytes] | None:
+        """Ids of pieces that the tokenizer parts by itself if they stand in line; None if it didn't."""
+        ids = np.array(tokenizer.encode_batch_fast([separator.join(chunk)], add_special_tokens=False)[0].ids, dtype="<u4")
+        if keep_blank:
+            reached = np.cumsum(spells[ids])
+            wanted = np.cumsum([len(p.encode()) for p in chunk])
+            at = np.searchsorted(reached, wanted)
+            if at[-1] >= len(ids) or (reached[at] != wanted).any():
+                return None
+        else:
+            at = np.flatnonzero(spells[ids])
+            if len(at) != len(chunk):
+                return None
+        data, ends = ids.tobytes(), (4 * at + 4).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    def marked(chunk: list[str]) -> list[bytes]:
+        """Ids of any pieces: a special token between two keeps them apart."""
+        ids = np.array(tokenizer.encode_batch_fast([mark.join(chunk)], add_special_tokens=False)[0].ids, dtype="<u4")
+        at = 4 * np.flatnonzero(ids == mark_id)
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip([0, *(at + 4).tolist()], [*at.tolist(), len(data)], strict=True)]
+
+    def apart(new: list[str]) -> dict[str, bytes]:
+        """Ids of each of many short pieces, many in one call."""
+        out: dict[str, bytes] = {}
+        plain = [p for p in new if (p.startswith(" ") if keep_blank else p.isalpha())]
+        odd = list(set(new).difference(plain))
+        for k in range(0, len(plain), 2000):
+            chunk = plain[k : k + 2000]
+            found = in_line(chunk)
+            out.update(zip(chunk, marked(chunk) if found is None else found, strict=True))
+        for k in range(0, len(odd), 2000):
+            chunk = odd[k : k + 2000]
+            out.update(zip(chunk, marked(chunk), strict=True))
         return out
 
     def pieces(text: str) -> list[str] | None:
@@ -80,8 +111,7 @@ def _make(model: str, keep_blank: bool) -> Callable[[list[str]], list[bytes]]:
         parts = {w: _parts(w) for w in missing if w[-1:] in ",." or "\n" in w}
         new = missing - parts.keys()
         new.update(p for ps in parts.values() for p in ps)
-        new = list(new - recent.keys())
-        recent.update(zip(new, apart(new), strict=True))
+        recent.update(apart(list(new - recent.keys())))
         recent.update((w, b"".join([recent[p] for p in ps])) for w, ps in parts.items() if len(ps) > 1)
 
     def encode(texts: list[str]) -> list[bytes]:
@@ -95,6 +125,8 @@ def _make(model: str, keep_blank: bool) -> Callable[[list[str]], list[bytes]]:
 
 def _parts(piece: str) -> list[str]:
     """Cut at line ends and before a last comma or full stop after a letter, where both tokenizers cut."""
+    if "\n" not in piece:
+        return [piece[:-1], piece[-1]] if piece[-1:] in ",." and piece[-2:-1].isalpha() else [piece]
     out = []
     for k, word in enumerate(piece.split("\n")):
         if k:
