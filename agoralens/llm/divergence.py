@@ -2,7 +2,8 @@
 
 A document has a histogram of character classes and one of common words. A
 reference is their mean over the documents of a language. A document is
-rejected if even the closest reference is too far, by Jensen-Shannon distance.
+rejected if even the closest reference is too far, by Jensen-Shannon distance;
+one of a language without a reference isn't measured.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ COMMON_WORDS = (
 
 #: Least characters and words of a text that the histograms may judge, and the greatest distances kept.
 GUARD_CHARS, GUARD_WORDS, CLASS_LIMIT, WORD_LIMIT = 120, 60, 0.25, 0.31
-#: A language has a reference if it has this share of the documents judged; so there are 200 at most.
-LEAST_SHARE = 0.005
+#: A language has a reference if it has so many of the documents that the guards let in. Values of a block of distances.
+LEAST_DOCS, BLOCK = 10, 1 << 21
 
 _COMMON = {w.encode(): k for k, w in enumerate(sorted(set(COMMON_WORDS.split())))}
 _OTHER = len(_COMMON)
@@ -109,6 +110,14 @@ def distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, (divergence(a) + divergence(b)) / 2))
 
 
+def nearest(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Distance of each row of p from the closest row of q, a few rows of q at a time."""
+    near, rows = np.full(len(p), np.inf), max(1, BLOCK // max(1, p.size))
+    for k in range(0, len(q), rows):
+        near = np.minimum(near, distances(p, q[k : k + rows]).min(axis=1))
+    return near
+
+
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, lang, base columns, base_failed and the histograms of every row."""
     arrow_ready(docs.sparkSession)
@@ -149,8 +158,7 @@ def references(rows: DataFrame) -> DataFrame:
     partial = judged.select("lang", "histogram").mapInArrow(run, "lang string, bin int, total double")
     sums = partial.groupBy("lang", "bin").agg(F.sum("total").alias("total"))
     sizes = sums.filter(F.col("bin") == BINS).select("lang", F.col("total").alias("n"))
-    least = sizes.agg((F.sum("n") * LEAST_SHARE).alias("least"))
-    large = sizes.crossJoin(F.broadcast(least)).filter("n >= least").select("lang", "n")  # `least` is one row
+    large = sizes.filter(F.col("n") >= LEAST_DOCS)
     return sums.join(large, "lang").select("lang", "bin", (F.col("total") / F.col("n")).alias("share"))
 
 
@@ -163,15 +171,17 @@ def judge(docs: DataFrame) -> DataFrame:
 
     `docs` needs doc_id, lang and text; other columns are ignored and repeated
     rows are judged each. A null text counts as one without words. A document
-    that fails the base rules isn't kept. One below a guard, or in a table
-    without references (no language given), has null distances and is kept if
-    the base rules keep it.
+    that fails the base rules isn't kept. One below a guard, of a language
+    without a reference, or in a table without references, has null distances
+    and is kept if the base rules keep it. A document without a language is
+    measured against all references.
     """
     rows = materialise(measured(docs))
     table: dict[str, np.ndarray] = {}
-    for r in references(rows).collect():  # at most 200 languages times BINS
+    for r in references(rows).collect():  # languages times BINS
         table.setdefault(r.lang, np.zeros(BINS + 1))[r.bin] = r.share
     known = np.stack([table[k][:BINS] for k in sorted(table)]) if table else np.zeros((0, BINS))
+    named = frozenset(table)
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     schema = (
         "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
@@ -181,13 +191,14 @@ def judge(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             p, k = shares(_counts(batch.column(len(base)))), len(_CLASSES)
+            foreign = np.array([x is not None and x not in named for x in batch.column(len(base) + 1).to_pylist()], dtype=bool)
             found = []
             for part, least, size in ((slice(0, k), GUARD_CHARS, 2), (slice(k, None), GUARD_WORDS, 1)):
-                near = distances(p[:, part], known[:, part]).min(axis=1) if len(known) else np.zeros(len(p))
+                near = nearest(p[:, part], known[:, part])
                 small = batch.column(size).to_numpy() < least
-                found.append(pa.array(near, mask=small | (len(known) == 0)))
+                found.append(pa.array(near, mask=small | foreign | (len(known) == 0)))
             yield pa.record_batch([*batch.columns[: len(base)], *found], [*base, "class_distance", "word_distance"])
 
     far = (F.coalesce("class_distance", F.lit(0.0)) > CLASS_LIMIT) | (F.coalesce("word_distance", F.lit(0.0)) > WORD_LIMIT)
-    judged = rows.select(*base, "histogram").mapInArrow(run, schema)
+    judged = rows.select(*base, "histogram", "lang").mapInArrow(run, schema)
     return judged.withColumn("kept", ~F.col("base_failed") & ~far)

@@ -104,6 +104,24 @@ def test_divergence_distance_and_edge_cases(frame):
     assert divergence.judge(frame([])).count() == 0
 
 
+def test_divergence_of_small_languages(spark):
+    """A language of 0.4 % has its reference, one of a few documents isn't judged by others'."""
+    rng, common = random.Random(4), sorted(divergence._COMMON)
+    listed = lambda: " ".join(rng.choice(common).decode() if rng.random() < 0.26 else prose(rng, 1) for _ in range(80))
+    rows = [(k, listed(), "en") for k in range(2988)] + [(5000 + k, prose(rng, 80), "qq") for k in range(12)]
+    rows += [(6000, prose(rng, 80), "zz"), (6001, prose(rng, 80), None), (6002, "zz " * 80, "zz")]
+    got = {r.doc_id: r for r in divergence.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert all(got[5000 + k].kept and got[5000 + k].word_distance < 0.05 for k in range(12))
+    assert got[6000].kept and got[6000].word_distance is None and got[6000].class_distance is None
+    assert got[6001].word_distance < 0.05 and not got[6002].kept
+
+
+def test_nearest_takes_any_number_of_references(monkeypatch):
+    p, q = np.random.default_rng(0).dirichlet(np.ones(5), 7), np.random.default_rng(1).dirichlet(np.ones(5), 90)
+    monkeypatch.setattr(divergence, "BLOCK", 100)
+    assert np.array_equal(divergence.nearest(p, q), divergence.distances(p, q).min(axis=1))
+
+
 def test_factorisation(spark, frame):
     rng = np.random.default_rng(0)
     m = factorisation.Machine(0.3, rng.normal(size=factorisation.INPUTS), rng.normal(size=(factorisation.INPUTS, 3)))
