@@ -13,14 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from agoralens.llm.common import arrow_ready
+from agoralens.session import materialise
 
-#: Feature buckets, bytes of a word read for n-grams, words of a segment, documents the field is fitted on at most, steps.
+#: Feature buckets, bytes of a word read for n-grams, words of a segment, documents the field is fitted on, steps.
 BUCKETS, WIDTH, SEGMENT, SAMPLE, STEPS = 1 << 16, 24, 64, 800, 30
-#: A lexicon word occurs so often in the sample. Languages with a smaller share of it are left out, so there are 100 at most.
-LEXICON_COUNT, LEAST_SHARE = 4, 0.01
+#: A lexicon word occurs so often in the sample. Documents of each language in it, where SAMPLE in equal parts gives fewer. Values of a block while fitting.
+LEXICON_COUNT, LEAST_EACH, BLOCK = 4, 8, 1 << 24
 
 _STRIP = ".,;:!?\"'()[]{}«»-*#$%&|<>"
 
@@ -94,8 +95,8 @@ class Field:
             out[at] = p / p.sum(axis=1, keepdims=True)
             if t:
                 right = local[at] * back[:n]
-                joint = forward[at - 1][:, :, None] * step[None] * right[:, None, :]
-                moved += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+                left = forward[at - 1]
+                moved += step * ((left / ((left @ step) * right).sum(axis=1, keepdims=True)).T @ right)
                 b = right @ step.T
                 back[:n] = b / b.sum(axis=1, keepdims=True)
         return out, moved
@@ -121,17 +122,16 @@ def _has_letter(word: str) -> bool:
 
 def fit(texts: list[str], langs: list[str]) -> Field:
     """Maximise the likelihood of each document's language on all its words, by Adam over the whole sample."""
-    counts = Counter(langs)
-    languages = sorted(k for k, n in counts.items() if n >= LEAST_SHARE * len(langs))
-    kept = [(t, languages.index(k)) for t, k in zip(texts, langs) if k in languages]
-    words, ids, begins, sizes, of = _indexed([t for t, _ in kept])
+    languages = sorted(set(langs))
+    number = {k: j for j, k in enumerate(languages)}
+    words, ids, begins, sizes, of = _indexed(texts)
     often = Counter(ids.tolist())
     lexicon = {words[k]: j + 1 for j, k in enumerate(k for k, n in sorted(often.items()) if n >= LEXICON_COUNT)}
     n = len(languages)
     field = Field(languages, lexicon, np.zeros((BUCKETS, n)), np.zeros((n, n)))
     if n < 2 or not len(ids):
         return field
-    truth = np.repeat(np.array([y for _, y in kept])[of], sizes)
+    truth = np.repeat(np.array([number[k] for k in langs])[of], sizes)
     table = np.concatenate([features(words[k : k + 20_000], lexicon) for k in range(0, len(words), 20_000)])
     used, place = np.unique(table, return_inverse=True)
     place = place.reshape(table.shape)
@@ -142,10 +142,16 @@ def fit(texts: list[str], langs: list[str]) -> Field:
     mean = {"w": 0.0, "t": 0.0}
     square = {"w": 0.0, "t": 0.0}
     w, total = np.zeros((len(used), n)), len(ids)
+    chains, rows = max(1, BLOCK // (n * SEGMENT)), max(1, BLOCK // (n * table.shape[1]))
     for step in range(1, STEPS + 1):
-        p, moved = field.posteriors(w[place].sum(axis=1)[ids], begins, sizes)
-        p[np.arange(total), truth] -= 1
-        by_word = np.stack([np.bincount(ids, p[:, k], len(words)) for k in range(n)], axis=1)
+        scores = np.concatenate([w[place[k : k + rows]].sum(axis=1) for k in range(0, len(words), rows)])
+        by_word, moved = np.zeros((len(words), n)), np.zeros((n, n))
+        for c in range(0, len(sizes), chains):
+            low, high = begins[c], begins[c] + sizes[c : c + chains].sum()
+            p, steps = field.posteriors(scores[ids[low:high]], begins[c : c + chains] - low, sizes[c : c + chains])
+            p[np.arange(high - low), truth[low:high]] -= 1
+            by_word += np.stack([np.bincount(ids[low:high], p[:, k], len(words)) for k in range(n)], axis=1)
+            moved += steps
         grad = {
             "w": np.stack([np.bincount(place.ravel(), np.repeat(by_word[:, k], place.shape[1]), len(used)) for k in range(n)], axis=1) / total + 1e-6 * w,
             "t": (moved - same) / total + 1e-3 * field.transitions,
@@ -160,12 +166,26 @@ def fit(texts: list[str], langs: list[str]) -> Field:
     return field
 
 
+def sampled(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """lang, doc_id, text of an equal number of documents of each language, the first by a hash of the id.
+
+    Languages with fewer documents give all, so every language with text, lang
+    and id is there. An id repeated in a language gives one text.
+    """
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).dropna()
+    ids = materialise(known.select("lang", "doc_id").distinct())
+    sizes = materialise(ids.groupBy("lang").agg(F.count("*").alias("n")))
+    each = max(LEAST_EACH, sample // max(1, sizes.count()))
+    # so many more than needed are let through that no language falls short; they make the sort small
+    through = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < (4 * each + 64) / F.col("n") * (1 << 40)
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = ids.join(sizes, "lang").filter(through).withColumn("rank", rank).filter(F.col("rank") <= each)
+    return known.join(materialise(chosen.select("lang", "doc_id")), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+
+
 def train(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """Fit on about `sample` documents at most, of those with text and lang, chosen by a hash of the id. Texts are whole."""
-    known = docs.filter("text is not null and lang is not null and doc_id is not null")
-    rate = min(1.0, sample / max(1, known.count()))
-    chosen = known.filter(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 20)) < int(rate * (1 << 20)))
-    rows = sorted(chosen.select("doc_id", "text", "lang").collect(), key=lambda r: (r.doc_id, r.text, r.lang))
+    """Fit on about `sample` documents, as many of each language, LEAST_EACH at least; so more if there are many. Texts are whole."""
+    rows = sorted(sampled(docs, sample).collect(), key=lambda r: (r.doc_id, r.text, r.lang))
     return fit([r.text for r in rows], [r.lang for r in rows])
 
 

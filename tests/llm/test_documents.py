@@ -168,6 +168,28 @@ def test_forward_backward_equals_enumeration():
     assert np.allclose(p, want) and np.allclose(moved, steps)
 
 
+def test_language_of_few_documents_is_learned(spark):
+    rng = random.Random(5)
+    rows = [(k, prose(rng, 30), "aa" if k % 2 else "bb") for k in range(2000)]
+    rows += [(9000 + k, " ".join("zyx" + rng.choice("qwj") * 2 for _ in range(30)), "cc") for k in range(9)] + [(9100, "rare", "dd")] * 3
+    docs = spark.createDataFrame([*rows, (None, "no id", "ee"), (9200, None, "ee")], "doc_id bigint, text string, lang string")
+    drawn = Counter(r.lang for r in language_crf.sampled(docs, 400).collect())
+    assert drawn == {"aa": 100, "bb": 100, "cc": 9, "dd": 1}
+    field = language_crf.train(docs)
+    assert field.languages == ["aa", "bb", "cc", "dd"]
+    got = language_crf.predict(docs.filter("lang = 'cc'"), field).collect()
+    assert [r.lang_pred for r in got] == ["cc"] * 9
+
+
+def test_fit_in_blocks_equals_fit_at_once(monkeypatch):
+    rng = random.Random(6)
+    texts, langs = [prose(rng, 150) for _ in range(12)], ["a", "b", "c"] * 4
+    whole = language_crf.fit(texts, langs)
+    monkeypatch.setattr(language_crf, "BLOCK", 400)
+    parts = language_crf.fit(texts, langs)
+    assert np.allclose(whole.weights, parts.weights, atol=1e-6) and np.allclose(whole.transitions, parts.transitions, atol=1e-6)
+
+
 def test_language_edge_cases(frame):
     field = language_crf.fit(["the cat and the dog " * 30, "le chat et le chien " * 30] * 4, ["en", "fr"] * 4)
     rows = [*EDGE, (10, "12 345 ..."), (11, "the dog and the cat"), (12, "le chien\nthe cat the dog the cat")]
