@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from agoralens.llm.common import arrow_ready
 from agoralens.session import materialise
 
-#: Feature buckets, bytes of a word read for n-grams, words of a segment, documents the field is fitted on, steps.
+#: Feature buckets, bytes of a word that stay one position (longer words are several), positions of a segment, documents the field is fitted on, steps.
 BUCKETS, WIDTH, SEGMENT, SAMPLE, STEPS = 1 << 16, 24, 64, 800, 30
 #: A lexicon word occurs so often in the sample. Documents of each language in it, where SAMPLE in equal parts gives fewer. Values of a block while fitting.
 LEXICON_COUNT, LEAST_EACH, BLOCK = 4, 8, 1 << 24
@@ -26,11 +26,28 @@ LEXICON_COUNT, LEAST_EACH, BLOCK = 4, 8, 1 << 24
 _STRIP = ".,;:!?\"'()[]{}«»-*#$%&|<>"
 
 
+def _runs(word: str) -> list[str]:
+    """The word in consecutive runs of WIDTH bytes at most, cut between characters."""
+    data = word.encode()
+    if len(data) <= WIDTH:
+        return [word]
+    out, at = [], 0
+    while at < len(data):
+        end = min(at + WIDTH, len(data))
+        while end < len(data) and data[end] & 0xC0 == 0x80:
+            end -= 1
+        out.append(data[at:end].decode())
+        at = end
+    return out
+
+
 def segments(text: str) -> list[list[str]]:
-    """Lower-cased words of each line, cut into runs of SEGMENT words at most; each run is a chain of its own."""
+    """Lower-cased words of each line, long ones in runs, cut into SEGMENT of them at most; each cut is a chain of its own."""
     out = []
     for line in text.lower().split("\n"):
         words = [w.strip(_STRIP) for w in line.split()]
+        if max(map(len, words), default=0) > (WIDTH if line.isascii() else WIDTH // 4):
+            words = [r for w in words for r in _runs(w)]
         out += [words[k : k + SEGMENT] for k in range(0, len(words), SEGMENT)]
     return out
 
@@ -194,7 +211,8 @@ def predict(docs: DataFrame, field: Field) -> DataFrame:
 
     `docs` needs doc_id and text; other columns are ignored. A null text, or
     one without letters, is `und` with score 1. The score is the mean posterior
-    of the language over the words with letters. Without learned languages all
+    of the language over the words with letters, a long word counting once for
+    each of its runs. Without learned languages all
     texts are `und` with score 0. Repeated rows are predicted each.
     """
     spark = arrow_ready(docs.sparkSession)

@@ -190,6 +190,18 @@ def test_fit_in_blocks_equals_fit_at_once(monkeypatch):
     assert np.allclose(whole.weights, parts.weights, atol=1e-6) and np.allclose(whole.transitions, parts.transitions, atol=1e-6)
 
 
+def test_language_reads_every_byte_of_long_words(frame):
+    rng = random.Random(8)
+    for word in ("x" * 100, "日本語の文" * 50, "aé日😀" * 30, "short", ""):
+        (chain,) = language_crf.segments(f"one {word} two")
+        assert "".join(chain[1:-1]) == word and all(len(w.encode()) <= language_crf.WIDTH for w in chain)
+    joined = lambda letters: "abcdefgh" * 3 + "".join(rng.choice(letters) for _ in range(400)) + "end"
+    texts = [joined("klm"), joined("uvw")] * 8
+    field = language_crf.fit(texts, ["aa", "bb"] * 8)
+    got = language_crf.predict(frame([(1, joined("klm")), (2, joined("uvw"))]), field).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {1: "aa", 2: "bb"}
+
+
 def test_language_edge_cases(frame):
     field = language_crf.fit(["the cat and the dog " * 30, "le chat et le chien " * 30] * 4, ["en", "fr"] * 4)
     rows = [*EDGE, (10, "12 345 ..."), (11, "the dog and the cat"), (12, "le chien\nthe cat the dog the cat")]
