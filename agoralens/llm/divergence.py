@@ -13,7 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from agoralens.llm.common import SPACES, arrow_ready
 from agoralens.session import materialise
@@ -118,11 +119,13 @@ def nearest(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return near
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, base columns, base_failed and the histograms of every row."""
+def measured(docs: DataFrame, *carried: Column) -> DataFrame:
+    """doc_id, lang, base columns, base_failed and the histograms of every row, and `carried` as they are."""
     arrow_ready(docs.sparkSession)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    schema = "doc_id bigint, lang string, " + ", ".join(f"{n} bigint" for n in names) + ", histogram binary"
+    chosen = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text", *carried)
+    schema = StructType.fromDDL("doc_id bigint, lang string, " + ", ".join(f"{n} bigint" for n in names) + ", histogram binary")
+    schema = StructType([*schema, *chosen.schema[3:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,11 +133,11 @@ def measured(docs: DataFrame) -> DataFrame:
             counts = np.array([base_counts(t) for t in texts], dtype=np.int64).reshape(-1, 5)
             bins = [histograms(t).astype("<u4").tobytes() for t in texts]
             yield pa.record_batch(
-                [batch.column(0), batch.column(1), *(pa.array(c) for c in counts.T), pa.array(bins, pa.binary())],
-                ["doc_id", "lang", *names, "histogram"],
+                [batch.column(0), batch.column(1), *(pa.array(c) for c in counts.T), pa.array(bins, pa.binary()), *batch.columns[3:]],
+                schema.names,
             )
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text").mapInArrow(run, schema)
+    rows = chosen.mapInArrow(run, schema)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return rows.withColumn("base_failed", failed)
 
@@ -177,16 +180,35 @@ def judge(docs: DataFrame) -> DataFrame:
     measured against all references.
     """
     rows = materialise(measured(docs))
+    return _judged(rows, _known(rows))
+
+
+def kept(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` that `judge` keeps, all columns as they are. The verdict stays with its row, so ids may be null or repeated."""
+    known = _known(materialise(measured(docs)))
+    judged = _judged(measured(docs, F.struct(*docs.columns).alias("row")), known, "row")
+    return judged.filter("kept").select("row.*")
+
+
+def _known(rows: DataFrame) -> dict[str, np.ndarray]:
+    """The reference of each language."""
     table: dict[str, np.ndarray] = {}
     for r in references(rows).collect():  # languages times BINS
         table.setdefault(r.lang, np.zeros(BINS + 1))[r.bin] = r.share
-    known = np.stack([table[k][:BINS] for k in sorted(table)]) if table else np.zeros((0, BINS))
+    return {k: v[:BINS] for k, v in table.items()}
+
+
+def _judged(rows: DataFrame, table: dict[str, np.ndarray], *carried: str) -> DataFrame:
+    """The columns of `judge` for measured rows, and `carried` as they are."""
+    known = np.stack([table[k] for k in sorted(table)]) if table else np.zeros((0, BINS))
     named = frozenset(table)
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    schema = (
+    chosen = rows.select(*base, "histogram", "lang", *carried)
+    schema = StructType.fromDDL(
         "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
         "base_failed boolean, class_distance double, word_distance double"
     )
+    schema = StructType([*schema, *chosen.schema[len(base) + 2 :]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,8 +219,8 @@ def judge(docs: DataFrame) -> DataFrame:
                 near = nearest(p[:, part], known[:, part])
                 small = batch.column(size).to_numpy() < least
                 found.append(pa.array(near, mask=small | foreign | (len(known) == 0)))
-            yield pa.record_batch([*batch.columns[: len(base)], *found], [*base, "class_distance", "word_distance"])
+            yield pa.record_batch([*batch.columns[: len(base)], *found, *batch.columns[len(base) + 2 :]], schema.names)
 
     far = (F.coalesce("class_distance", F.lit(0.0)) > CLASS_LIMIT) | (F.coalesce("word_distance", F.lit(0.0)) > WORD_LIMIT)
-    judged = rows.select(*base, "histogram", "lang").mapInArrow(run, schema)
+    judged = chosen.mapInArrow(run, schema)
     return judged.withColumn("kept", ~F.col("base_failed") & ~far)

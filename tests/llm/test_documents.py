@@ -309,3 +309,22 @@ def test_pipeline_equals_its_stages(spark):
     leaks = decontaminate.leaks(spark.createDataFrame(list(out["near dedup"].values())), spark.read.parquet(f"{SF}/benchmark.parquet"))
     assert set(out["decontamination"]) == set(out["near dedup"]) - {r.doc_id for r in leaks.collect()}
     assert set(out["packing"]) == set(out["decontamination"])
+
+
+def test_pipeline_with_null_and_repeated_ids(spark, frame):
+    """No stage loses a row without id, or takes the verdict of a row for another of the same id."""
+    rng = random.Random(9)
+    good = [prose(rng, 100) for _ in range(8)]
+    changed = good[0].rsplit(" ", 1)[0]
+    rows = [(1, good[0]), (None, good[1]), (None, good[2]), (2, good[3]), (2, "too short"), (3, good[4]), (3, good[4]), (4, changed), (4, good[5]), (None, good[6]), (5, good[6]), (None, good[7]), (None, good[7])]
+    docs = frame(rows)
+    left = corpus_pipeline.quality(spark, docs, SF)
+    assert left.schema == docs.schema
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == Counter(r for r in rows if r[1] != "too short")
+    left = corpus_pipeline.line_dedup(spark, left, SF)
+    want = Counter([(1, good[0]), (None, good[1]), (None, good[2]), (2, good[3]), (3, good[4]), (4, good[5]), (5, good[6]), (None, good[7])])
+    left = corpus_pipeline.near_dedup(spark, left, SF)
+    assert left.columns == docs.columns and Counter((r.doc_id, r.text) for r in left.collect()) == want
+    left = corpus_pipeline.decontamination(spark, left, SF)
+    assert Counter((r.doc_id, r.text) for r in left.collect()) == want
+    assert Counter(r.doc_id for r in corpus_pipeline.pack(spark, left, SF).collect()) == Counter(i for i, _ in want)
