@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from agoralens.llm import decontaminate, divergence, factorisation, language_crf, licenses, line_templates as lines, lsh_forest, packing, repair, sql, url_templates as urls
+from agoralens.llm import decontaminate, divergence, factorisation, language_crf, licenses, line_templates as lines, lsh_forest, merkle, onebit, packing, repair, reversed_search, sql, url_templates as urls
 from agoralens.llm.common import table
 from agoralens.session import scratch_path, use_utc
 
@@ -106,3 +106,26 @@ def op7_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+@query(sql.ranked_search(10))
+def op11_reversed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reversed_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+@query(sql.merkle_manifest(merkle.ARITY, levels=10, group_levels=4))
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def leaf(text: Column) -> Column:
+        return merkle.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+
+    text = F.col("text")
+    tampered = F.when(fold(2) == 0, F.replace(text, F.lit("\n"), F.lit(""))).otherwise(text)
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", leaf(text).alias("leaf"), leaf(tampered).alias("tampered"))
+    checked = merkle.verified(merkle.manifest(rows), leaf="tampered")
+    return checked.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("witness")).alias("proof_sha256"), "folded_root", "verified")
+
+
+@query()
+def op13_onebit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return onebit.neighbours(vectors, F.col("vec_id") % 100 == 0, k=10)

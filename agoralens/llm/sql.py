@@ -125,3 +125,88 @@ def url_filter(rules: list[tuple[str, str]], depth: int, children: int, strength
         round(purity, 6) as purity
     from t left join pure using (host, template)
     """
+
+
+# Fixed value: the reflected polynomial of CRC-32; a byte is eight steps.
+CRC32 = """xor(4294967295, list_reduce(
+            [4294967295::bigint] || list_transform(range(1, len(cast(doc_id as varchar)) + 1), lambda i: ascii(cast(doc_id as varchar)[i])::bigint),
+            lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
+def ranked_search(k: int) -> str:
+    terms = f"regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+    return f"""
+    with t as (
+        select doc_id, unnest({terms}) as term from documents
+    ), tf as (
+        select doc_id, term, count(*) as tf from t group by all
+    ), size as (
+        select doc_id, count(*) as n from t group by all
+    ), whole as (
+        select count(*) as docs, cast(sum(n) as bigint) as terms from size
+    ), wanted as (
+        select distinct item_id, term from (select item_id, unnest({terms}) as term from benchmark)
+    ), weight as (
+        select term, cast(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) as bigint) as w
+        from tf, whole where term in (select term from wanted) group by term, docs
+    ), scored as (
+        select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) as bigint) as score
+        from wanted join tf using (term) join weight using (term) join size using (doc_id), whole group by all
+    )
+    select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id) as integer) as rank, doc_id, score
+    from scored where score > 0 qualify rank <= {k}
+    """
+
+
+def merkle_manifest(arity: int, levels: int, group_levels: int) -> str:
+    """For groups of at most arity ** levels rows, and arity ** group_levels groups."""
+
+    def leaf(text: str) -> str:
+        fields = ("doc_id", "source", "lang", "n_chars", text)
+        return "sha256(" + " || ".join(f"coalesce(strlen(cast({f} as varchar)) || ':' || cast({f} as varchar), '-')" for f in fields) + ")"
+
+    def trees(name: str, levels: int) -> str:
+        """From {name}0 (tree, place, h): nodes of each level with what stands before and after them in their run."""
+        steps = []
+        for k in range(levels):
+            steps.append(f"""{name}{k + 1} as (
+        select tree, place // {arity} as place, sha256(string_agg(h, '' order by place)) as h from {name}{k}
+        where tree in (select tree from {name}{k} group by tree having count(*) > 1) group by all
+    ), {name}_run{k} as (
+        select a.tree, a.place, coalesce(string_agg(b.h, '' order by b.place) filter (b.place < a.place), '') as before,
+            coalesce(string_agg(b.h, '' order by b.place) filter (b.place > a.place), '') as after
+        from {name}{k} a join {name}{k} b on a.tree = b.tree and a.place // {arity} = b.place // {arity}
+        where a.tree in (select tree from {name}{k} group by tree having count(*) > 1) group by all
+    )""")
+        return ", ".join(steps)
+
+    def tops(name: str, levels: int) -> str:
+        return " union all ".join(f"select tree, h from {name}{k} where tree in (select tree from {name}{k} group by tree having count(*) = 1)" for k in range(levels + 1))
+
+    folds, last = [], "start"
+    for name, count in (("node", levels), ("top", group_levels)):
+        for k in range(count):
+            on = f"r.tree = {last}.tree and r.place = {last}.position // {arity**k}" if name == "node" else f"r.place = {last}.tree // {arity**k}"
+            folds.append(f"""{name}_fold{k} as (
+        select {last}.* replace (proof || coalesce(before || after, '') as proof, case when before is null then folded else sha256(before || folded || after) end as folded)
+        from {last} left join {name}_run{k} r on {on}
+    )""")
+            last = f"{name}_fold{k}"
+    return f"""
+    with crcs as (
+        select distinct doc_id, {CRC32} as crc from documents
+    ), leaves as (
+        select doc_id, source, {leaf("text")} as leaf,
+            {leaf("case when crc % 2 = 0 then replace(text, chr(10), '') else text end")} as changed
+        from documents left join crcs using (doc_id)
+    ), start as (
+        select *, dense_rank() over (order by source nulls first) - 1 as tree,
+            row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as position, '' as proof, changed as folded
+        from leaves
+    ), node0 as (select tree, position as place, leaf as h from start), {trees("node", levels)}, subroots as ({tops("node", levels)}),
+    top0 as (select 0 as tree, tree as place, h from subroots), {trees("top", group_levels)}, roots as ({tops("top", group_levels)}),
+    {", ".join(folds)}
+    select doc_id, leaf, subroots.h as subroot, roots.h as root, sha256(proof) as proof_sha256, folded as folded_root, folded = roots.h as verified
+    from {last} join subroots using (tree), roots
+    """
+
