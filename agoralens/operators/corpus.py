@@ -200,23 +200,3 @@ def within_bounds(frequency: DataFrame, documents: DataFrame, min_df: int = MIN_
 
 def vocabulary(df: DataFrame, stops: DataFrame, text: str = "text", min_df: int = MIN_DF, max_df: float = MAX_DF) -> DataFrame:
     return within_bounds(document_frequency(df, stops, text), df, min_df, max_df)
-
-
-def term_counts(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Long (doc_id, term, tf) of the clean terms, stop words included."""
-    terms = df.select(key, F.explode(clean_terms(F.col(text), CLEAN_LONGER_THAN)).alias("term"))
-    return terms.groupBy(key, "term").agg(F.count("*").alias("tf"))
-
-
-def term_matrix(df: DataFrame, stops: DataFrame, text: str = "text", min_df: int = MIN_DF, max_df: float = MAX_DF) -> DataFrame:
-    """Long (doc_id, term, tf) over the vocabulary.
-
-    The counts are written first, so that the texts are read once, and both
-    the vocabulary and the matrix come from them. A vocabulary too big to
-    broadcast is joined by shuffle, where adaptive execution splits the
-    partitions of very common terms.
-    """
-    counts = materialise(term_counts(df, text))
-    frequency = remove_stop_words(counts.groupBy("term").agg(F.count("*").alias("df")), stops, "term")
-    vocab = materialise(within_bounds(frequency, df, min_df, max_df).select("term"))
-    return counts.join(vocab, "term", "left_semi").select("doc_id", "term", "tf")

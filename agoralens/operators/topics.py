@@ -1,65 +1,144 @@
-"""Topic model over clean tokens."""
+"""Topic model: latent Dirichlet allocation by variational Bayes over all documents.
+
+The topic-term parameters are a table, a row a term, and stay one: an iteration
+joins them to blocks of documents, each block fits its documents, and what the
+blocks say of a term is added up by term. The driver holds one number a topic.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import uuid
+from collections.abc import Callable
 
-from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
 
-from agoralens.functions.text import clean_terms, without
-from agoralens.operators.corpus import CLEAN_LONGER_THAN, within_bounds
-from agoralens.session import materialise
+from agoralens.operators import terms as tm
+from agoralens.session import materialise, scratch_path, ship_package
 
-# Topics, terms shown per topic, random seed, iterations.
+# Topics, terms shown per topic, random seed, iterations, inner
+# iterations of a document, and the change at which these stop.
 TOPICS = 5
 TOPIC_TERMS = 10
 SEED = 42
 MAX_ITER = 10
+DOCUMENT_ITER = 100
+TOLERANCE = 1e-3
+
+#: Documents of a block.
+BLOCK = 1024
+
+
+def digamma(x: np.ndarray) -> np.ndarray:
+    """Six steps up, then the asymptotic series."""
+    y = x + 6
+    square = 1 / (y * y)
+    series = np.log(y) - 0.5 / y - square * (1 / 12 - square * (1 / 120 - square * (1 / 252 - square / 240)))
+    return series - sum(1 / (x + i) for i in range(6))
+
+
+def expected(parameters: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Exponential of the expected logarithm of shares with Dirichlet parameters."""
+    return np.exp(digamma(parameters) - digamma(totals))
+
+
+def document_step(starts: np.ndarray, at: np.ndarray, tf: np.ndarray, beta: np.ndarray, prior: float) -> np.ndarray:
+    """What the documents say of each row of `beta`, a matrix (terms, topics).
+
+    Document d has the terms at[starts[d]:starts[d + 1]], none has no term. All
+    documents are fitted at once, until the slowest one stands.
+    """
+    sizes = np.diff(np.r_[starts, len(at)])
+    doc, rows = np.repeat(np.arange(len(starts)), sizes), beta[at]
+    gamma = np.ones((len(starts), beta.shape[1]))
+    for _ in range(DOCUMENT_ITER):
+        theta = expected(gamma, gamma.sum(axis=1, keepdims=True))
+        share = tf / (np.einsum("ij,ij->i", theta[doc], rows) + 1e-100)
+        before, gamma = gamma, prior + theta * np.add.reduceat(rows * share[:, None], starts)
+        if np.abs(gamma - before).mean(axis=1).max() < TOLERANCE:
+            break
+    theta = expected(gamma, gamma.sum(axis=1, keepdims=True))
+    share = tf / (np.einsum("ij,ij->i", theta[doc], rows) + 1e-100)
+    said = theta[doc] * share[:, None]
+    return beta * np.stack([np.bincount(at, said[:, k], len(beta)) for k in range(beta.shape[1])], axis=1)
+
+
+def start(numbered: DataFrame, k: int, seed: int) -> DataFrame:
+    """(id, l0 ...): parameters near 1, which depend on the term and the seed only."""
+
+    def uniform(topic: int, draw: int):
+        low = F.xxhash64("term", F.lit(seed), F.lit(topic), F.lit(draw)).bitwiseAND(F.lit((1 << 52) - 1))
+        return (low + 1) / float((1 << 52) + 1)
+
+    normal = [F.sqrt(-2 * F.log(uniform(t, 0))) * F.cos(2 * np.pi * uniform(t, 1)) for t in range(k)]
+    return numbered.select("id", *(F.greatest(1 + 0.1 * n, F.lit(0.01)).alias(f"l{t}") for t, n in enumerate(normal)))
+
+
+def fit(vectors: DataFrame, numbered: DataFrame, k: int = TOPICS, seed: int = SEED, max_iter: int = MAX_ITER, key: str = "doc_id") -> DataFrame:
+    """(id, l0 ... l{k-1}): the parameters of each term after `max_iter` rounds over all documents.
+
+    Documents are dealt to blocks and written in buckets of blocks, so a round
+    moves only the parameters: to each block those of its terms, and back sums.
+    """
+    spark = ship_package(vectors.sparkSession)
+    columns, prior = [f"l{t}" for t in range(k)], 1.0 / k
+    n_blocks = max(1, -(-vectors.count() // BLOCK))
+    block = F.pmod(F.xxhash64(key), F.lit(n_blocks)).alias("block")
+    table = f"agoralens_blocks_{uuid.uuid4().hex}"
+    buckets = min(n_blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    writer = vectors.select(block, "ids", "tfs").write.bucketBy(buckets, "block").sortBy("block")
+    writer.option("path", scratch_path(spark, "blocks")).saveAsTable(table)
+    try:
+        documents = spark.table(table)
+        needed = materialise(documents.select("block", F.explode("ids").alias("id")).distinct())
+        state = materialise(start(numbered, k, seed))
+        for _ in range(max_iter):
+            totals = np.array(state.agg(*(F.sum(c) for c in columns)).head())
+
+            slices = needed.join(state, "id").select("block", "id", *columns)
+            schema = "id bigint, " + ", ".join(f"{c} double" for c in columns)
+            parts = documents.groupBy("block").cogroup(slices.groupBy("block")).applyInArrow(_step(columns, totals, prior), schema)
+            state = materialise(parts.groupBy("id").agg(*((F.sum(c) + F.lit(prior)).alias(c) for c in columns)))
+        return state
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+def _step(columns: list[str], totals: np.ndarray, prior: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A round of one block: its documents, and the parameters of their terms."""
+
+    def step(docs: pa.Table, sent: pa.Table) -> pa.Table:
+        ids, order = np.unique(sent["id"].to_numpy(), return_index=True)
+        parameters = np.stack([sent[c].to_numpy() for c in columns], axis=1)[order]
+        lists, counts = docs["ids"].combine_chunks(), docs["tfs"].combine_chunks()
+        sizes = lists.value_lengths().to_numpy()
+        at, tf = np.searchsorted(ids, lists.flatten().to_numpy()), counts.flatten().to_numpy().astype(np.float64)
+        said = document_step(np.cumsum(sizes) - sizes, at, tf, expected(parameters, totals), prior)
+        return pa.table({"id": ids, **{c: said[:, t] for t, c in enumerate(columns)}})
+
+    return step
 
 
-def topic_documents(df: DataFrame, stops: Iterable[str], text: str = "text") -> DataFrame:
-    """Documents of the model, one array of clean terms per post."""
-    return df.select(without(clean_terms(F.col(text), CLEAN_LONGER_THAN), stops).alias("terms"))
+def top_terms(state: DataFrame, numbered: DataFrame, terms: int = TOPIC_TERMS) -> DataFrame:
+    """(topic, rank, term, weight): the terms with the largest share of each topic; ties by the term's number."""
+    columns = [c for c in state.columns if c != "id"]
+    totals = state.agg(*(F.sum(c).alias(c) for c in columns)).head()
+    shares = F.array(*(F.col(c) / F.lit(totals[c]) for c in columns))
+    by_weight = Window.partitionBy("topic").orderBy(F.desc("weight"), "id")
+    ranked = state.select("id", F.posexplode(shares).alias("topic", "weight")).withColumn("rank", F.row_number().over(by_weight) - 1)
+    top = ranked.filter(F.col("rank") < terms)
+    return top.join(numbered.select("id", "term"), "id").select("topic", "rank", "term", "weight")
 
 
-def topics(
-    documents: DataFrame,
-    k: int = TOPICS,
-    terms: int = TOPIC_TERMS,
-    seed: int = SEED,
-    max_iter: int = MAX_ITER,
-) -> DataFrame:
-    """(topic, rank, term, weight): the top terms of each topic.
+def topics(rows: DataFrame, documents: DataFrame, k: int = TOPICS, terms: int = TOPIC_TERMS, seed: int = SEED, max_iter: int = MAX_ITER, key: str = "doc_id") -> DataFrame:
+    """(topic, rank, term, weight) of documents given as counted rows (key, counts).
 
-    Every iteration draws as many documents as there are, so that all take
-    part. LDA keeps a (topics x vocabulary) matrix on the driver, so the
-    vocabulary has to fit there.
+    The vocabulary takes the usual bounds on document frequency. A corpus
+    without a vocabulary has no topics.
     """
-    spark = documents.sparkSession
-    # Written once: the vocabulary and the vectors both read it.
-    documents = materialise(documents)
-    occurrences = documents.select(F.explode(F.array_distinct("terms")).alias("term"))
-    frequency = occurrences.groupBy("term").agg(F.count("*").alias("df"))
-    vocab = materialise(within_bounds(frequency, documents).select("term"))
-    size = vocab.count()
-    schema = "topic int, rank int, term string, weight double"
-    if size == 0:
-        return spark.createDataFrame([], schema)
-    # Fitted on the vocabulary, each term once, not on the corpus. Sorted and in
-    # one partition (short rows that the driver holds anyway), so that the terms
-    # get the same numbers on every run and the seed means something.
-    vectoriser = CountVectorizer(inputCol="terms", outputCol="features", vocabSize=size)
-    fitted = vectoriser.fit(vocab.orderBy("term").coalesce(1).select(F.array("term").alias("terms")))
-    # Every iteration reads the vectors; written, they are not counted again.
-    vectors = materialise(fitted.transform(documents).select("features"))
-    model = LDA(k=k, seed=seed, maxIter=max_iter, optimizer="online", subsamplingRate=1.0).fit(vectors)
-    words = fitted.vocabulary
-    # (topics x terms) rows: the report itself.
-    report = [
-        (row.topic, rank, words[index], weight)
-        for row in model.describeTopics(terms).collect()
-        for rank, (index, weight) in enumerate(zip(row.termIndices, row.termWeights))
-    ]
-    return spark.createDataFrame(report, schema)
+    numbered = tm.dictionary(tm.vocabulary_of(rows, documents))
+    if numbered.isEmpty():
+        return rows.sparkSession.createDataFrame([], "topic int, rank int, term string, weight double")
+    vectors = materialise(tm.vectors(rows, numbered, key))
+    return top_terms(fit(vectors, numbered, k, seed, max_iter, key), numbered, terms)
