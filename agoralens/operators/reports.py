@@ -65,6 +65,12 @@ def monthly_partials(df: DataFrame) -> DataFrame:
     )
 
 
+def add_partials(partials: DataFrame) -> DataFrame:
+    """Partials of several batches as partials of one."""
+    parts = ("post_count", "total_token_count", "counted_posts", "prediction_1")
+    return partials.groupBy("month", "subreddit").agg(*(F.sum(c).alias(c) for c in parts))
+
+
 def merge_partials(partials: DataFrame) -> DataFrame:
     """Combine the partials of all batches; no scored row is read again."""
     return partials.groupBy("month", "subreddit").agg(
