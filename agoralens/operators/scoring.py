@@ -3,7 +3,7 @@
 A post is scored only if it has more than `min_tokens` tokens, and exactly
 once. Three kinds of scorer:
 
-* `Lexicon`: weighted terms, one built-in expression;
+* `Lexicon`: weighted terms, one built-in expression; `LexiconTable`: very many of them;
 * a fitted Spark ML `PipelineModel`;
 * `BatchScorer`: the caller's function from a list of texts to a list of
   scores, for models that live outside Spark.
@@ -11,10 +11,10 @@ once. Three kinds of scorer:
 
 from __future__ import annotations
 
-import queue
 import re
-import threading
+import string
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -26,6 +26,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from agoralens.functions.text import parse_reply, tokenize
+from agoralens.operators.calls import Caller
 from agoralens.operators.projections import guarded
 from agoralens.schema import ERROR_PREDICTION, ERROR_PROBABILITY, MIN_TOKENS, SCORE
 from agoralens.session import materialise
@@ -74,6 +75,69 @@ class Lexicon:
         return total
 
 
+@dataclass(frozen=True)
+class LexiconTable:
+    """A lexicon too large for one expression: a table (term, weight), with phrases and overlapping terms.
+
+    Equal to `Lexicon` on the same terms. An automaton of all terms, built once a
+    task, finds those of a text in one pass over it, however many there are. It is
+    broadcast, so the table may have MOST_TERMS rows at most.
+    """
+
+    terms: DataFrame
+    bias: float = 0.0
+
+    def weights(self) -> dict[str, float]:
+        rows = self.terms.select("term", "weight").limit(MOST_TERMS + 1).collect()
+        if len(rows) > MOST_TERMS:
+            raise ValueError(f"more than {MOST_TERMS} terms; score with several tables and add up the logits")
+        weights: dict[str, float] = {}
+        for term, weight in rows:
+            if not (plain := Lexicon._plain(term)):
+                raise ValueError("a term has no ASCII character left to match")
+            weights[plain] = weights.get(plain, 0.0) + float(weight)
+        return weights
+
+    def logit(self, text: Column) -> Column:
+        spark = self.terms.sparkSession
+        shared, bias = spark.sparkContext.broadcast(self.weights()), float(self.bias)
+
+        @F.pandas_udf("double")
+        def logits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            find = _finder(shared.value)
+            for texts in batches:
+                yield texts.map(lambda t: None if t is None else bias + sum(w for _, w in sorted(find(t)))).astype("Float64")
+
+        return logits(F.lower(text))
+
+
+#: Terms of a lexicon table; some hundred bytes each in a worker.
+MOST_TERMS = 1_000_000
+
+
+def _finder(weights: Mapping[str, float]) -> Callable[[str], set[tuple[str, float]]]:
+    """A function from a text to the terms that stand in it, with no word character before or behind."""
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for item in weights.items():
+        automaton.add_word(item[0], item)
+    automaton.make_automaton()
+
+    def find(text: str) -> set[tuple[str, float]]:
+        found = set()
+        for end, item in automaton.iter(text) if weights else ():
+            before, after = text[end - len(item[0]) : end - len(item[0]) + 1] if end >= len(item[0]) else "", text[end + 1 : end + 2]
+            if not (before in WORD_CHARS and before or after in WORD_CHARS and after):
+                found.add(item)
+        return found
+
+    return find
+
+
+WORD_CHARS = frozenset(string.ascii_letters + string.digits + "_")
+
+
 def logistic_score(logit: Column) -> Column:
     """Predicted class and the probability of that class. Give it a column,
     not the expression behind it, which would be computed for each use."""
@@ -91,8 +155,9 @@ class BatchScorer:
     `make` builds the function once per task (open the client there). The
     function returns, per text, a pair (class, probability) or, with
     `reply=True`, a JSON reply that is checked by `parse_reply`. If a batch
-    keeps failing, its texts are tried one by one, so that only the posts that
-    really fail carry the error score.
+    keeps failing, it is halved until only the posts that really fail carry the
+    error score. An endpoint that is down gets few calls, with growing pauses
+    (see `calls.Caller`); posts that come meanwhile carry the error score too.
     """
 
     make: Callable[[], Callable[[list[str]], Sequence]]
@@ -101,11 +166,15 @@ class BatchScorer:
     # Three retries, 120 seconds per call.
     max_retries: int = 3
     timeout: float = 120.0
+    #: Seconds before the first retry, the longest pause, and failures in a row after which the endpoint counts as down.
+    pause: float = 0.2
+    longest_pause: float = 30.0
+    breaker: int = 12
 
 
 def score_posts(
     df: DataFrame,
-    scorer: Lexicon | PipelineModel | BatchScorer,
+    scorer: Lexicon | LexiconTable | PipelineModel | BatchScorer,
     min_tokens: int = MIN_TOKENS,
     parallelism: int | None = None,
 ) -> DataFrame:
@@ -117,8 +186,11 @@ def score_posts(
     and so does the sampling pass of a global sort.
     """
     eligible = F.col("token_count") > min_tokens
-    if isinstance(scorer, Lexicon):
-        logit = guarded(eligible, scorer.logit(F.col("user_posting")))
+    if isinstance(scorer, (Lexicon, LexiconTable)):
+        text = F.col("user_posting")
+        if isinstance(scorer, LexiconTable):
+            text = guarded(eligible, text)  # a guard around a Python function would not keep short posts from it
+        logit = guarded(eligible, scorer.logit(text))
         scored = df.withColumn("_logit", logit).withColumn("model_output", logistic_score(F.col("_logit"))).drop("_logit")
     elif isinstance(scorer, BatchScorer):
         if parallelism:
@@ -154,23 +226,23 @@ def _batch_udf(scorer: BatchScorer):
 
         @F.pandas_udf("string")
         def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            call = scorer.make()
-            for texts in batches:
-                yield _spread(texts, _score_texts(call, texts.dropna().tolist(), scorer))
+            with _caller(scorer) as caller:
+                for texts in batches:
+                    yield _spread(texts, _score_texts(caller, texts.dropna().tolist(), scorer))
 
         return ask.asNondeterministic()
 
     @F.pandas_udf(SCORE)
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        call = scorer.make()
-        for texts in batches:
-            pairs = _spread(texts, _score_texts(call, texts.dropna().tolist(), scorer))
-            yield pd.DataFrame(
-                {
-                    "prediction": pd.Series([p and p[0] for p in pairs], dtype="Int32"),
-                    "prediction_prob": pd.Series([p and p[1] for p in pairs], dtype="Float64"),
-                }
-            )
+        with _caller(scorer) as caller:
+            for texts in batches:
+                pairs = _spread(texts, _score_texts(caller, texts.dropna().tolist(), scorer))
+                yield pd.DataFrame(
+                    {
+                        "prediction": pd.Series([p and p[0] for p in pairs], dtype="Int32"),
+                        "prediction_prob": pd.Series([p and p[1] for p in pairs], dtype="Float64"),
+                    }
+                )
 
     return score.asNondeterministic()
 
@@ -181,39 +253,22 @@ def _spread(texts: pd.Series, scores: list) -> pd.Series:
     return pd.Series([next(found) if ok else None for ok in texts.notna()], dtype=object)
 
 
-def _score_texts(call, texts: list[str], scorer: BatchScorer) -> list:
+def _score_texts(caller: Caller, texts: list[str], scorer: BatchScorer) -> list:
     check = str if scorer.reply else _valid_pair
     error = "" if scorer.reply else (ERROR_PREDICTION, ERROR_PROBABILITY)
     scores = []
     for i in range(0, len(texts), scorer.batch_size):
-        batch = texts[i : i + scorer.batch_size]
-        result = _try_call(call, batch, scorer)
-        if result is None and len(batch) > 1:
-            alone = (_try_call(call, [text], scorer) for text in batch)
-            result = [one[0] if one else None for one in alone]
-        result = result or [None] * len(batch)
-        scores.extend(error if score is None else check(score) for score in result)
-    return scores
-
-
-def _try_call(call, batch: list[str], scorer: BatchScorer) -> list | None:
-    for _ in range(1 + scorer.max_retries):
-        box: queue.Queue = queue.Queue(1)
-
-        def run(box=box):
-            try:
-                box.put(list(call(batch)))
-            except Exception:
-                box.put(None)
-
-        threading.Thread(target=run, daemon=True).start()
-        try:
-            result = box.get(timeout=scorer.timeout)
-        except queue.Empty:
-            continue
-        if result is not None and len(result) == len(batch):
-            return result
-    return None
+        scores += caller.score(texts[i : i + scorer.batch_size])
+    return [error if score is None else check(score) for score in scores]
+
+
+@contextmanager
+def _caller(scorer: BatchScorer) -> Iterator[Caller]:
+    caller = Caller(scorer.make(), scorer.max_retries, scorer.timeout, scorer.pause, scorer.longest_pause, scorer.breaker)
+    try:
+        yield caller
+    finally:
+        caller.close()
 
 
 def _valid_pair(pair) -> tuple[int, float]:

@@ -1,3 +1,4 @@
+import random
 import time
 
 import pytest
@@ -5,7 +6,7 @@ from pyspark.sql import functions as F
 
 from agoralens.operators.filters import min_tokens, positives
 from agoralens.operators.projections import with_clean_text
-from agoralens.operators.scoring import BatchScorer, Lexicon, score_posts, train_scorer
+from agoralens.operators.scoring import BatchScorer, Lexicon, LexiconTable, score_posts, train_scorer
 from agoralens.session import materialise
 
 
@@ -164,3 +165,30 @@ def test_batch_scorer_scans_once(spark, plan_of, tmp_path):
     make, _ = counting(spark)
     plan = plan_of(score_posts(with_clean_text(spark.read.parquet(str(tmp_path / "p"))), BatchScorer(make)))
     assert plan.count("FileScan") == 1 and plan.count("ArrowEvalPython") == 1
+
+
+def test_lexicon_table_equals_the_lexicon(spark):
+    """Overlapping phrases, terms inside others, symbols, terms that become equal."""
+    rng = random.Random(1)
+    base = ["alone", "want", "to", "die", "sad", "c++", ":(", "a_b", "x", "no more", "want to", "want to die", "Want  To Die", "é sad"]
+    terms = {t: float(k + 1) / 4 for k, t in enumerate(base)}
+    while len(terms) < 1000:
+        terms[" ".join(rng.choice(["w%d" % k for k in range(60)]) for _ in range(rng.randrange(1, 4)))] = rng.choice([-1.0, 0.5, 2.0])
+    pool = [*base, *("w%d" % k for k in range(60)), "wanting", "x9", "no", "more"]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randrange(12, 40))) for _ in range(150)] + [None, "short", "SAD alone. " * 20]
+    df = posts(spark, texts)
+    table = spark.createDataFrame(list(terms.items()), "term string, weight double")
+    want, got = (collected(score_posts(df, s)) for s in (Lexicon(terms, -1.0), LexiconTable(table, -1.0)))
+    assert [r.prediction for r in got] == [r.prediction for r in want]
+    assert [r.prediction_prob for r in got] == pytest.approx([r.prediction_prob for r in want])
+
+
+def test_lexicon_of_a_hundred_thousand_terms(spark):
+    table = spark.range(100_000).selectExpr("concat('t', id, ' u', id % 7) term", "0.5D weight")
+    df = posts(spark, [f"t{k} u{k % 7} u{k % 7} " + words(12) for k in range(0, 100_000, 5000)] + ["t5 u6 " + words(12)])
+    rows = collected(score_posts(df, LexiconTable(table, bias=0.25)))
+    assert [r.prediction_prob for r in rows] == pytest.approx([1 / (1 + 2.718281828459045**-0.75)] * 20 + [1 / (1 + 2.718281828459045**-0.25)])
+    none = collected(score_posts(df, LexiconTable(table.limit(0), bias=-1.0)))
+    assert {r.prediction for r in none} == {0}
+    with pytest.raises(ValueError):
+        score_posts(df, LexiconTable(spark.createDataFrame([("é", 1.0)], "term string, weight double")))
