@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from agoralens.functions import text as tx
-from agoralens.operators import corpus as co, profile, topics as tp
+from agoralens.operators import corpus as co, profile, terms as tm, topics as tp
 from agoralens.operators.filters import by_label
 from agoralens.plans import sql
 from agoralens.plans.registry import query, rounded
@@ -367,21 +367,123 @@ def vocabulary_size(spark, sf_dir):
     return co.vocabulary(fixtures.documents(spark, sf_dir), stops(spark)).agg(F.count("*").alias("terms"))
 
 
+_MATRIX = f"""{_VOCABULARY}, matrix as (
+  select doc_id, token as term, count(*) as tf from clean where token in (select term from vocab) group by doc_id, token
+)"""
+
+
+@query(f"{_MATRIX} select doc_id, term, cast(tf as integer) as tf from matrix")
+def term_matrix(spark, sf_dir):
+    return tm.term_matrix(fixtures.documents(spark, sf_dir), sql.STOP_WORDS)
+
+
 @query(
-    f"""{_VOCABULARY} select doc_id, token as term, count(*) as tf from clean
-    where token in (select term from vocab) group by doc_id, token"""
+    f"""{_MATRIX}, dict as (select term, row_number() over (order by term) - 1 as id from vocab)
+    select doc_id, string_agg(id || ':' || tf, ' ' order by id) as vector from matrix join dict using (term) group by doc_id"""
 )
-def term_matrix(spark, sf_dir):
-    return co.term_matrix(fixtures.documents(spark, sf_dir), stops(spark))
+def term_vectors(spark, sf_dir):
+    """Sparse rows over a dictionary with dense numbers, shown as text."""
+    docs = fixtures.documents(spark, sf_dir)
+    rows = materialise(tm.clean_rows(docs, sql.STOP_WORDS))
+    vectors = tm.vectors(rows, tm.dictionary(tm.vocabulary_of(rows, docs)))
+    return vectors.select("doc_id", F.array_join(F.zip_with("ids", "tfs", lambda i, n: F.concat_ws(":", i, n)), " ").alias("vector"))
+
+
+def stemmed_rows(posts: DataFrame) -> DataFrame:
+    """Counted stems of the lemmas of the clean terms of each post."""
+    rows = materialise(tm.clean_rows(posts, sql.STOP_WORDS))
+    tokens = materialise(tm.distinct_tokens(rows))
+    closure = materialise(co.lemma_closure(materialise(_dictionary(tokens))))
+    return materialise(tm.map_terms(rows, materialise(tm.stem_mapping(tokens, closure))))
+
+
+def _stem_rows_sql() -> str:
+    """Terms of the positive posts as stems, of each post how often."""
+    steps, source = [], "mapped"
+    for i, (pos, suffix) in enumerate(SUFFIXES.items()):
+        steps.append(
+            f"d{i} as (select distinct token, regexp_replace(token, '{suffix}$', '') as lemma from mine where ends_with(token, '{suffix}')), "
+            f"m{i} as (select s.own, coalesce(d.lemma, s.token) as token from {source} s left join d{i} d on d.token = s.token)"
+        )
+        source = f"m{i}"
+    return f"""with {sql.CORPUS}, {sql.CLEAN_TOKENS}, mine as (
+  select * from clean where doc_id in (select doc_id from corpus where label = 1)
+), mapped as (select distinct token as own, token from mine), {", ".join(steps)},
+stem_of as (select own, {_stem_sql('token')} as term from {source}),
+stem_rows as (select doc_id, term, count(*) as tf from mine join stem_of on own = token where length(term) > 2 group by all),
+stem_vocab as (
+  select term, count(*) as df from stem_rows group by term
+  having count(*) >= 2 and count(*) <= 0.95 * (select count(*) from corpus where label = 1)
+)"""
+
+
+@query(f"{_stem_rows_sql()} select doc_id, term, cast(tf as integer) as tf from stem_rows where term in (select term from stem_vocab)")
+def term_matrix_stem(spark, sf_dir):
+    """The matrix of the posts of label 1, over stems of lemmas."""
+    posts = by_label(fixtures.corpus(spark, sf_dir), 1)
+    rows = stemmed_rows(posts)
+    return tm.long_matrix(rows, materialise(tm.vocabulary_of(rows, posts)))
+
+
+@query(f"{_stem_rows_sql()} select count(*) as terms from stem_vocab")
+def vocabulary_size_stem(spark, sf_dir):
+    posts = by_label(fixtures.corpus(spark, sf_dir), 1)
+    return tm.vocabulary_of(stemmed_rows(posts), posts).agg(F.count("*").alias("terms"))
+
+
+@query(f"{_CLEAN} select cast(sum(n) as bigint) as tokens, count(*) as distinct_tokens from counts")
+def clean_sizes(spark, sf_dir):
+    """Sizes of the bag of clean tokens."""
+    return co.corpus_sizes(clean_counts(spark, sf_dir))
+
+
+def _all_topics(spark, sf_dir) -> DataFrame:
+    docs = fixtures.documents(spark, sf_dir)
+    return tp.topics(materialise(tm.clean_rows(docs, sql.STOP_WORDS)), docs)
+
+
+def _stem_topics(spark, sf_dir, terms: int) -> DataFrame:
+    posts = by_label(fixtures.corpus(spark, sf_dir), 1)
+    return tp.topics(stemmed_rows(posts), posts, terms=terms)
 
 
 @query()
 def topics(spark, sf_dir):
-    return tp.topics(tp.topic_documents(fixtures.documents(spark, sf_dir), sql.STOP_WORDS))
+    """Ten clean terms per topic, on all posts."""
+    return _all_topics(spark, sf_dir)
 
 
 @query()
 def topic_terms(spark, sf_dir):
-    """Five terms per topic, on the posts of label 1."""
+    """Five stems per topic, on the posts of label 1."""
+    return _stem_topics(spark, sf_dir, 5)
+
+
+@query()
+def topic_terms_ten(spark, sf_dir):
+    return _stem_topics(spark, sf_dir, 10)
+
+
+def _determined(report: DataFrame, vocab: DataFrame) -> DataFrame:
+    """What is certain of topics: ranks, that weights fall and stay below 1, and that terms differ and come from the vocabulary."""
+    report = materialise(report)
+    in_order, by_term = Window.partitionBy("topic").orderBy("rank"), Window.partitionBy("topic", "term")
+    known = report.join(vocab.select("term", F.lit(True).alias("known")), "term", "left")
+    falls = F.coalesce(F.col("weight") <= F.lag("weight").over(in_order), F.lit(True)) & F.col("weight").between(0, 1)
+    return known.select("topic", "rank", falls.alias("falls"), (F.count("*").over(by_term) == 1).alias("differs"), F.coalesce("known", F.lit(False)).alias("known"))
+
+
+def _determined_sql(vocab: str, terms: int) -> str:
+    return f"""select cast(t as integer) as topic, cast(r as integer) as rank, true as falls, true as differs, true as known
+    from range(5) a(t), range({terms}) b(r) where r < (select count(*) from {vocab})"""
+
+
+@query(f"{_VOCABULARY} {_determined_sql('vocab', 10)}")
+def topics_determined(spark, sf_dir):
+    return _determined(_all_topics(spark, sf_dir), co.vocabulary(fixtures.documents(spark, sf_dir), stops(spark)))
+
+
+@query(f"{_stem_rows_sql()} {_determined_sql('stem_vocab', 5)}")
+def topic_terms_determined(spark, sf_dir):
     posts = by_label(fixtures.corpus(spark, sf_dir), 1)
-    return tp.topics(tp.topic_documents(posts, sql.STOP_WORDS), terms=5)
+    return _determined(_stem_topics(spark, sf_dir, 5), tm.vocabulary_of(stemmed_rows(posts), posts))

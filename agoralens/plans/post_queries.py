@@ -4,32 +4,54 @@ from __future__ import annotations
 
 from functools import lru_cache
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType
 
 from agoralens.functions import text as tx
 from agoralens.functions.time import day_bucket, month_bucket
-from agoralens.operators import dedup, filters, projections as pr, reports, scoring, windows
+from agoralens.operators import dedup, filters, models, projections as pr, reports, scoring, sketches, windows
 from agoralens.plans import jobs, sql
 from agoralens.plans.registry import query, rounded
 from agoralens.session import materialise, scratch_path
-from agoralens.sources import fixtures, lake
+from agoralens.sources import files, fixtures, lake
 
 LEXICON = scoring.Lexicon(sql.LEXICON, sql.LEXICON_BIAS)
 ORDER = ["enqueued_utc", "post_id"]
 
 
-@lru_cache
-def _lake_root(application: str, sf_dir: str) -> str:
-    """The posts, written once per session as the bronze table of a lake."""
-    spark = SparkSession.active()
-    root = scratch_path(spark, "lake")
+def once_for_tables(*tables: str):
+    """What a function makes of these tables, made once a session and again when one of them has changed."""
+
+    def wrap(function):
+        @lru_cache
+        def made(application: str, sf_dir: str, stamps: tuple):
+            return function(SparkSession.active(), sf_dir)
+
+        def call(spark: SparkSession, sf_dir: str):
+            stamps = tuple(files.stamps(spark, f"{sf_dir}/{t}.parquet") for t in tables)
+            return made(spark.sparkContext.applicationId, sf_dir, stamps)
+
+        return call
+
+    return wrap
+
+
+@once_for_tables("documents", "orders", "events")
+def lake_root(spark: SparkSession, sf_dir: str) -> str:
+    """The posts, written as the bronze table of a lake."""
+    root = scratch_path(spark, "lake", lasting=True)
     fixtures.posts(spark, sf_dir).write.mode("overwrite").parquet(lake.zone_path("bronze", "posts", root))
     return root
 
 
-def lake_root(spark: SparkSession, sf_dir: str) -> str:
-    return _lake_root(spark.sparkContext.applicationId, sf_dir)
+@once_for_tables("documents", "labels")
+def stored_models(spark: SparkSession, sf_dir: str) -> str:
+    """Scorers of both kinds, fitted on the labelled corpus and stored."""
+    root = scratch_path(spark, "models", lasting=True)
+    for name in ("logistic", "gbt"):
+        models.save_model(scoring.train_scorer(fixtures.corpus(spark, sf_dir), classifier=name), root, name)
+    return root
 
 
 def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -432,6 +454,14 @@ def score_posts_lexicon(spark, sf_dir):
     return rounded(result, "prediction_prob")
 
 
+@query(f"with {sql.SCORED} select post_id, enqueued_utc, prediction, prediction_prob from scored")
+def score_posts_lexicon_table(spark, sf_dir):
+    """The lexicon as a table, found by an automaton."""
+    table = spark.createDataFrame(list(sql.LEXICON.items()), "term string, weight double")
+    result = scoring.score_posts(counted(spark, sf_dir), scoring.LexiconTable(table, sql.LEXICON_BIAS))
+    return rounded(result.select(*ORDER, "prediction", "prediction_prob"), "prediction_prob")
+
+
 def _vowel_scorer():
     """Stand-in for a remote model: positive if more than a tenth of the text is the letter e."""
     return lambda texts: [(int(t.count("e") * 10 > len(t)), 0.75) for t in texts]
@@ -465,3 +495,75 @@ def score_posts_ml(spark, sf_dir):
     model = scoring.train_scorer(fixtures.corpus(spark, sf_dir))
     result = scoring.score_posts(counted(spark, sf_dir), model)
     return result.select(*ORDER, "token_count", F.col("prediction").cast(IntegerType()), "prediction_prob")
+
+
+def _stored_scores(spark, sf_dir, name: str) -> DataFrame:
+    """Scores of a model that was fitted and stored before, here only loaded."""
+    model = models.load_model(spark, stored_models(spark, sf_dir), name)
+    result = scoring.score_posts(counted(spark, sf_dir), model)
+    return result.select(*ORDER, "token_count", F.col("prediction").cast(IntegerType()), "prediction_prob")
+
+
+# What is certain of a fitted model's scores, beside which posts have one. Another fit and a stored model must agree.
+_DETERMINED = f"""with {sql.COUNTED} select post_id, enqueued_utc, token_count > 10 as scored, true as in_domain, true as same from counted"""
+
+
+def _determined(scores: DataFrame, again: DataFrame) -> DataFrame:
+    other = again.select(*ORDER, F.col("prediction").alias("_prediction"), F.col("prediction_prob").alias("_prob"))
+    joined = scores.join(other, ORDER)
+    in_domain = F.col("prediction").isin(0, 1) & F.col("prediction_prob").between(0.5, 1)
+    same = F.col("prediction").eqNullSafe(F.col("_prediction")) & (F.abs(F.col("prediction_prob") - F.col("_prob")) < 1e-9)
+    return joined.select(*ORDER, F.col("prediction").isNotNull().alias("scored"), F.coalesce(in_domain, F.lit(True)).alias("in_domain"), F.coalesce(same, F.lit(True)).alias("same"))
+
+
+@query(_DETERMINED)
+def score_posts_stored(spark, sf_dir):
+    """Posts scored with a stored logistic model, beside the scores of one that is fitted on the spot."""
+    fitted = scoring.train_scorer(fixtures.corpus(spark, sf_dir))
+    return _determined(_stored_scores(spark, sf_dir, "logistic"), scoring.score_posts(counted(spark, sf_dir), fitted))
+
+
+@query(_DETERMINED)
+def score_posts_gbt(spark, sf_dir):
+    """Posts scored with stored boosted trees, beside the scores of the same version loaded anew."""
+    again = PipelineModel.load(f"{stored_models(spark, sf_dir)}/gbt/v000001")
+    return _determined(_stored_scores(spark, sf_dir, "gbt"), scoring.score_posts(counted(spark, sf_dir), again))
+
+
+@query()
+def score_posts_gbt_rows(spark, sf_dir):
+    """The scores themselves."""
+    return _stored_scores(spark, sf_dir, "gbt")
+
+
+# --- summaries that are stored and merged --------------------------------------------------
+
+_PROBABILITIES = [0.25, 0.5, 0.75, 0.99]
+
+
+@query(f"with {sql.POSTS} select subreddit, p, true as within from (select distinct subreddit from posts), (select unnest({_PROBABILITIES}::double[]) as p)")
+def length_quantiles_sketched(spark, sf_dir):
+    """Quantiles of post lengths by community from sketches stored by month, each with whether its true rank is within the bound."""
+    posts = counted(spark, sf_dir).select("subreddit", month_bucket(F.col("post_date")).alias("month"), "token_count")
+    posts = materialise(posts)
+    stored = materialise(sketches.quantile_partials(posts, "token_count", ["month", "subreddit"]))
+    found = materialise(sketches.sketched_quantiles(sketches.merge_quantiles(stored, ["subreddit"]), _PROBABILITIES))
+    counts = posts.groupBy("subreddit", "token_count").count()
+    below, upto = F.sum(F.when(F.col("token_count") < F.col("quantile"), F.col("count"))), F.sum(F.when(F.col("token_count") <= F.col("quantile"), F.col("count")))
+    ranks = found.join(counts, "subreddit").groupBy("subreddit", "p").agg(below.alias("below"), upto.alias("upto"), F.sum("count").alias("n"))
+    slack = sketches.RANK_ERROR * F.col("n") + 1
+    within = (F.coalesce("below", F.lit(0)) <= F.col("p") * F.col("n") + slack) & (F.coalesce("upto", F.lit(0)) >= F.col("p") * F.col("n") - slack)
+    return ranks.select("subreddit", "p", within.alias("within"))
+
+
+@query(f"with {sql.TOKENS_OF_POSTS} select subreddit, count(distinct token) as distinct_tokens, true as within from post_tokens group by subreddit")
+def distinct_tokens_sketched(spark, sf_dir):
+    """Distinct tokens by community, with whether the merged sketches of its months estimate them within their error."""
+    posts = fixtures.posts(spark, sf_dir)
+    tokens = posts.select("subreddit", month_bucket(F.col("post_date")).alias("month"), F.explode(F.array_distinct(tx.tokenize(F.col("user_posting")))).alias("token"))
+    tokens = materialise(tokens.groupBy("subreddit", "month", "token").count())
+    stored = materialise(sketches.distinct_partials(tokens, "token", ["subreddit", "month"]))
+    exact = tokens.select("subreddit", "token").distinct().groupBy("subreddit").agg(F.count("*").alias("distinct_tokens"))
+    joined = exact.join(sketches.merge_distinct(stored, ["subreddit"]), "subreddit")
+    within = F.abs(F.col("estimate") - F.col("distinct_tokens")) <= sketches.HLL_ERROR * F.col("distinct_tokens") + 1
+    return joined.select("subreddit", "distinct_tokens", within.alias("within"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from agoralens.session import ship_package, use_utc
+from agoralens.session import scratch_scope, ship_package, use_utc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,7 +21,9 @@ def query(sql: str | None = None, name: str | None = None):
         key = name or function.__name__
 
         def call(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return function(ship_package(use_utc(spark)), sf_dir)
+            # What a query writes on its way is gone when it returns; what its result reads stays.
+            with scratch_scope(ship_package(use_utc(spark))) as scope:
+                return scope.keep(function(spark, sf_dir))
 
         call.__name__, call.__doc__ = key, function.__doc__
         QUERIES[key] = call

@@ -28,6 +28,7 @@ LEXICON = {
 }
 LEXICON_BIAS = -0.5
 
+# The patterns and the accent table that the meaning of the operators demands.
 COUNT_PATTERN = r"\p{L}+|\p{N}{1,3}|[^\s\p{L}\p{N}]+"
 WORD_PATTERN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
 
@@ -117,3 +118,5 @@ CLEAN_TOKENS = f"""{NORMAL}, clean as (
   select doc_id, pos, token from normal
   where token not in {stop_list()} and regexp_full_match(token, '[A-Za-z]+') and length(token) > 3
 )"""
+
+TOKENS_OF_POSTS = f"{POSTS}, post_tokens as (select *, unnest({words('user_posting')}) as token from posts)"
