@@ -23,6 +23,8 @@ ORDERS, DEPTH, LEAST, NEIGHBOURS = 24, 10, 5, 4
 
 _SIZE = ORDERS * LEAST
 _FACTORS = np.random.default_rng(6).integers(0, 2**63, _SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Rows of a block of a bucket.
+BUCKET = 2048
 #: 64-bit words of the bits that a set's shingles set.
 BIT_WORDS = 16
 #: Bits kept of a shingle's hash; the others number the texts of a batch while it is sorted.
@@ -37,8 +39,10 @@ def shingle_sets(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarra
     as its one shingle; null, or no words: none.
     """
     hashes, of = word_hashes([(t or "").encode().lower() for t in texts])
-    if len(texts) >= 1 << 14:
-        raise ValueError("at most 16,383 texts at a time")
+    if len(texts) >= 1 << 14:  # the number of the text takes 14 bits
+        parts = [shingle_sets(texts[k : k + 10_000], n) for k in range(0, len(texts), 10_000)]
+        ends = np.cumsum([0, *(len(v) for v, _ in parts)])
+        return np.concatenate([v for v, _ in parts]), np.concatenate([e[: None if k == len(parts) - 1 else -1] + ends[k] for k, (_, e) in enumerate(parts)])
     grams, gram_of = gram_hashes(hashes, of, n)
     words = np.bincount(of, minlength=len(texts))
     short = np.flatnonzero((words > 0) & (words < n))
@@ -124,20 +128,20 @@ def neighbours(sets: DataFrame, ratio: float) -> DataFrame:
             order = rows["tree"].to_numpy()
             ids, sizes = rows["doc_id"].to_numpy(), rows["n_shingles"].to_numpy()
             keys = np.frombuffer(b"".join(rows["prefix"].to_pylist()), dtype=">u2").reshape(-1, DEPTH)
-            a, b, common, goes_on = [], [], [], np.zeros(len(ids), dtype=bool)
-            for d in range(1, NEIGHBOURS + 2):
-                if len(ids) <= d:
-                    break
+            goes_on, d = np.zeros(len(ids), dtype=bool), NEIGHBOURS + 1
+            if len(ids) > d:
+                goes_on[d:] = (keys[d:, :LEAST] == keys[:-d, :LEAST]).all(axis=1) & (order[d:] == order[:-d])
+                goes_on[:-d] |= goes_on[d:].copy()
+            a, b, common = [], [], []
+            for d in range(1, min(NEIGHBOURS, len(ids) - 1) + 1):
                 differ = keys[d:] != keys[:-d]
                 lcp = np.where(differ.any(axis=1), differ.argmax(axis=1), DEPTH)
                 near = (lcp >= LEAST) & (order[d:] == order[:-d])
-                if d > NEIGHBOURS:
-                    goes_on[:-d] |= near
-                    goes_on[d:] |= near
-                    break
                 new = np.arange(len(near)) + d >= known
                 low, high = np.minimum(sizes[d:], sizes[:-d]), np.maximum(sizes[d:], sizes[:-d])
                 pick = near & new & (low >= ratio * high)
+                if d > 1:  # where both go on, the rarest shingles find what adjacent documents don't link
+                    pick &= ~(goes_on[d:] & goes_on[:-d])
                 a.append(np.minimum(ids[:-d], ids[d:])[pick])
                 b.append(np.maximum(ids[:-d], ids[d:])[pick])
                 common.append(lcp[pick])
@@ -232,7 +236,9 @@ def rare_pairs(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     Two sets that similar share a shingle among the rarest
     size - ceil(percent * size / 100) + 1 of each. Shingles held by one
     component only come first in that order and can't join two components.
-    Of the pairs that meet, sizes and bits rule out most.
+    Documents meet in the buckets of these shingles, where a task compares them
+    and puts out only the pairs that sizes and bits don't rule out. A large bucket
+    is cut into blocks, so that a task holds 2 * BUCKET rows at most.
     """
     held = sets.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     flat = held.select("doc_id", "root", F.explode("shingles").alias("shingle"))
@@ -244,9 +250,55 @@ def rare_pairs(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     take = F.greatest(F.lit(0), (lead - (F.col("size") - F.size("s"))).cast("int"))
     rare = listed.select("doc_id", "root", "size", "bits", F.explode(F.slice("s", F.lit(1), take)).alias("e"))
     rare = materialise(rare.select("doc_id", "root", "size", "bits", "e.shingle"))
-    other = rare.select("shingle", *(F.col(c).alias(f"{c}_2") for c in ("doc_id", "root", "size", "bits")))
-    met = rare.join(other, "shingle").filter((F.col("root") < F.col("root_2")) & _may_reach(percent, "size", "size_2", "bits", "bits_2"))
-    return met.select(F.least("doc_id", "doc_id_2").alias("a"), F.greatest("doc_id", "doc_id_2").alias("b")).distinct()
+    met = rare.groupBy("shingle").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    blocks = F.expr(f"int((n + {BUCKET - 1}) div {BUCKET})")
+    buckets = materialise(met.select("shingle", blocks.alias("blocks")))
+    # A shingle of several blocks has a cell for each two of them, and each row goes to the cells of its block.
+    own = rare.join(buckets, "shingle").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    cells = own.select("shingle", "block", "doc_id", "root", "size", "bits", other)
+    cells = cells.select("shingle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "root", "size", "bits")
+    dealt = cells.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
+    return dealt.mapInArrow(_meeting(percent), "a bigint, b bigint").distinct()
+
+
+def _meeting(percent: int):
+    """Pairs of rows of one cell that sizes and bits don't rule out, in two components and, in a cell of two blocks, of both."""
+
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        cell = np.stack([rows[c].to_numpy() for c in ("shingle", "i", "j")])
+        block, ids, root, size = (rows[c].to_numpy() for c in ("block", "doc_id", "root", "size"))
+        one = cell[1] == cell[2]
+        bits = rows["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BIT_WORDS)
+        edges = np.flatnonzero(np.r_[True, (cell[:, 1:] != cell[:, :-1]).any(axis=0), True])
+        end = np.repeat(edges[1:], np.diff(edges))
+        at, found = np.arange(len(ids)), []
+        for d in range(1, int(np.diff(edges).max(initial=0))):
+            at = at[at + d < end[at]]
+            x, y = at, at + d
+            near = (root[x] != root[y]) & (one[x] | (block[x] != block[y]))
+            near &= 100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])
+            x, y = x[near], y[near]
+            unlike = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+            close = (100 + percent) * unlike <= (100 - percent) * (size[x] + size[y]).astype(np.int64)
+            found.append(np.stack([ids[x[close]], ids[y[close]]]))
+        a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.int64)
+        return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
+            cell = np.stack([rows[c].to_numpy() for c in ("shingle", "i", "j")])
+            differ = np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0))
+            last = int(differ[-1]) + 1 if len(differ) else 0
+            if last:
+                yield pairs(rows.slice(0, last))
+            rest = rows.slice(last)
+        if rest is not None and len(rest):
+            yield pairs(rest)
+
+    return run
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
