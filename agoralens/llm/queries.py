@@ -86,7 +86,7 @@ def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query(sql.url_filter(URL_RULES, urls.DEPTH, urls.CHILDREN, urls.STRENGTH, urls.ALIKE, urls.PURITY))
+@query(sql.url_filter(URL_RULES, 4, urls.CHILDREN, urls.LEAST, urls.STRENGTH, urls.ALIKE, urls.PURITY))
 def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
 

@@ -52,21 +52,38 @@ def line_dedup(words: int, leading: int, variants: int, agree: float, source: st
             array_to_string(words, ' ') as own
         from w where len(words) >= {words}
     ), own as (
-        select own, leaf, min(text) <> max(text) as recurs, min((doc_id, pos)) as first from p group by all
+        select own, leaf, any_value(words) as words, min(text) as low, max(text) as high, min((doc_id, pos)) as first from p group by own, leaf
     ), wide as (
-        select leaf, count(distinct own) as variants, min(text) <> max(text) as recurs, min((doc_id, pos)) as first from p group by 1
-        having count(distinct own) >= {variants} and min(text) <> max(text)
+        select leaf from own group by leaf having count(*) >= {variants} and min(low) <> max(high)
+    ), forms as (
+        select * from own semi join wide using (leaf)
     ), places as (
-        select leaf, len(words) as n, unnest(words) as word, generate_subscripts(words, 1) as k from p semi join wide using (leaf)
-    ), same as (
-        select leaf, n, k, min(word) = max(word) as same from places group by all
-    ), general as (
-        select leaf from same group by leaf, n having sum(same::int) - {leading} >= {agree} * (n - {leading})
+        select leaf, unnest(words[{leading + 1}:]) as word, unnest(range({leading + 1}, len(words) + 1)) as k from forms
+    ), loose as (
+        select leaf, list(k) as loose from (
+            select leaf, k, max(n) as top, sum(n) as n from (select leaf, k, word, count(*) as n from places group by all) group by all
+        ) where 2 * top < n group by leaf
+    ), masks as (
+        select f.*, {1 - agree} * (len(words) - {leading}) + 1e-9 as room,
+            list_filter(range({leading + 1}, len(words) + 1), lambda i: words[i] <> '<*>') as ones,
+            list_filter(coalesce(loose, []), lambda i: words[i] <> '<*>') as few
+        from forms f left join loose using (leaf)
+    ), keys as (
+        select own, leaf, low, high, first, unnest(
+            case when room >= 1 then list_transform(ones, lambda k: {{'k': k, 'key': array_to_string(list_transform(words, lambda w, i: case when i = k then '<*>' else w end), ' ')}}) else [] end
+            || case when len(few) > 1 and len(few) <= room then [{{'k': 2147483647, 'key': array_to_string(list_transform(words, lambda w, i: case when list_contains(few, i) then '<*>' else w end), ' ')}}] else [] end, recursive := true
+        ) from masks
+    ), masked as (
+        select leaf, key, count(*) as variants from keys group by all having count(*) >= {variants} and min(low) <> max(high)
+    ), ranked as (
+        select own, leaf, key, first, row_number() over (partition by own, leaf order by variants desc, k) as r from keys join masked using (leaf, key)
+    ), chosen as (
+        select own, leaf, min(first) over (partition by leaf, key) as first from ranked where r = 1
+    ), recurring as (
+        select own, leaf, first from chosen
+        union all select own, leaf, first from own anti join chosen using (own, leaf) where low <> high
     ), gone as (
-        select p.doc_id, p.pos from p join wide using (leaf) semi join general using (leaf) where (p.doc_id, p.pos) <> wide.first
-        union
-        select p.doc_id, p.pos from p anti join general using (leaf) join own using (own, leaf)
-        where own.recurs and (p.doc_id, p.pos) <> own.first
+        select p.doc_id, p.pos from p join recurring using (own, leaf) where (p.doc_id, p.pos) <> recurring.first
     )
     select d.doc_id, coalesce(any_value(k.rest), case when any_value(d.text) is not null then '' end) as text,
         cast(coalesce(len(string_split(any_value(d.text), chr(10))), 0) as bigint) as n_lines,
@@ -78,52 +95,65 @@ def line_dedup(words: int, leading: int, variants: int, agree: float, source: st
     """
 
 
-def url_filter(rules: list[tuple[str, str]], depth: int, children: int, strength: float, alike: float, purity: float) -> str:
+def url_filter(rules: list[tuple[str, str]], levels: int, children: int, least: int, strength: float, alike: float, purity: float, source: str = "pages") -> str:
+    """For paths of at most `levels` segments."""
     case = []
     for verdict, rule in sorted(rules, key=lambda r: -len(r[1])):
         at, _, start = rule.partition("/")
         case.append(((rule, verdict), f"when (host = '{at}' or ends_with(host, '.{at}')) and starts_with(path, '/{start}') then"))
     rule_case = "case " + " ".join(f"{c} '{r[0]}'" for r, c in case) + " end"
     verdict_case = "case " + " ".join(f"{c} '{r[1]}'" for r, c in case) + " end"
-    levels = ", ".join(
-        f"case when len(segs) < {k} then '' when regexp_matches(segs[{k}], '[0-9]') then '*' else segs[{k}] end as level_{k}"
-        for k in range(1, depth + 1)
-    )
-    steps, last = [], "r0"
-    for k in range(1, depth + 1):
-        branch = ", ".join(["host", *(f"level_{j}" for j in range(1, k))])
-        steps.append(
-            f"""r{k} as (
-        select {last}.* replace (case when c.children > {children} and level_{k} <> '' then '*' else level_{k} end as level_{k})
-        from {last} left join (select {branch}, count(distinct level_{k}) as children from {last} group by all) c using ({branch})
-    )"""
-        )
-        last = f"r{k}"
-    template = " || ".join(f"'/' || level_{k}" for k in range(1, depth + 1))
+
+    def smoothed(k: str, n: str, towards: str) -> str:
+        return f"({k} + {strength} * {towards}) / ({n} + {strength})"
+
+    steps, closed = [], []
+    for x in range(levels + 1):
+        goes_on = f"len(segs) > {x} and paths >= {least}"
+        closed.append(f"select host, path, template || case when len(segs) > {x} then '/**' else '' end as template, purity from r{x} where not ({goes_on})")
+        if x == levels:
+            break
+        steps.append(f"""c{x} as (
+        select *, case when regexp_matches(segs[{x + 1}], '[0-9]') then '*' else segs[{x + 1}] end as child from r{x} where {goes_on}
+    ), d{x} as (
+        select * replace (case when (select count(distinct b.child) from c{x} b where b.host = a.host and b.template = a.template) > {children} then '*' else child end as child) from c{x} a
+    ), g{x} as (
+        select host, template, child, sum(n) as n, sum(k) as k, count(*) as paths, max(purity) as above from d{x} group by all
+    ), k{x} as (
+        select *, sum(n) over kin as kin_n, sum(k) over kin as kin_k from g{x} window kin as (partition by host, template)
+    ), a{x} as (
+        select *, not coalesce(n > 0 and kin_n > n and abs(k / n - (kin_k - k) / (kin_n - n))
+            > {alike} * sqrt((kin_k / kin_n) * (1 - kin_k / kin_n) * (1 / n + 1 / (kin_n - n))), false) as alike from k{x}
+    ), p{x} as (
+        select host, template, child, paths, above,
+            case when alike then sum(case when alike then n else 0 end) over kin else n end as pn,
+            case when alike then sum(case when alike then k else 0 end) over kin else k end as pk
+        from a{x} window kin as (partition by host, template)
+    ), r{x + 1} as (
+        select d.host, d.path, d.n, d.k, d.segs, d.template || '/' || d.child as template, p.paths, {smoothed("p.pk", "p.pn", "p.above")} as purity
+        from d{x} d join p{x} p using (host, template, child)
+    )""")
     return f"""
     with u as (
         select page_id,
             coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
             coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path
-        from pages
+        from {source}
     ), s as (
-        select *, {rule_case} as rule, {verdict_case} as ruled, list_filter(string_split(path, '/'), lambda x: x <> '') as segs from u
+        select host, path, count(*) as pages, {rule_case} as rule, {verdict_case} as ruled, list_filter(string_split(path, '/'), lambda x: x <> '') as segs
+        from u group by host, path
+    ), l as (
+        select *, case when ruled is not null then pages else 0 end as n, case when ruled = 'block' then pages else 0 end as k from s
+    ), h as (
+        select host, sum(n) as n, sum(k) as k, count(*) as paths from l group by host
+    ), prior as (
+        select {smoothed("coalesce(sum(k), 0)", "coalesce(sum(n), 0)", "0.5")} as prior from l
     ), r0 as (
-        select page_id, host, path, rule, ruled, {levels} from s
-    ), {", ".join(steps)}, t as (
-        select *, {template} as template, case when ruled is not null then (ruled = 'block')::int end as bad from {last}
-    ), c as (
-        select host, template, count(*) as n, sum(bad) as k from t where bad is not null group by all
-    ), kin as (
-        select *, sum(n) over (partition by host) as kn, sum(k) over (partition by host) as kk from c
-    ), pure as (
-        select host, template, case when abs(k / n - kk / kn) <= {alike} * sqrt((kk / kn) * (1 - kk / kn) / n)
-            then (kk + {strength} * prior) / (kn + {strength}) else (k + {strength} * prior) / (n + {strength}) end as purity
-        from kin, (select avg(bad) as prior from t where bad is not null)
-    )
+        select l.host, path, l.n, l.k, segs, '' as template, paths, {smoothed("h.k", "h.n", "prior")} as purity from l join h using (host), prior
+    ), {", ".join(steps)}, found as ({" union all ".join(closed)})
     select page_id, host, path, rule, coalesce(ruled, case when purity >= {purity} then 'block' else 'allow' end) as verdict, template,
         round(purity, 6) as purity
-    from t left join pure using (host, template)
+    from u join s using (host, path) join found using (host, path)
     """
 
 
