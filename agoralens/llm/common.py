@@ -75,6 +75,21 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(text_ends, starts, side="right")
 
 
+_NEAR, _FAR = (np.multiply.accumulate(np.append(np.uint64(1), np.full(n - 1, f, dtype=np.uint64))) for n, f in ((1 << 16, _BASE), (1 << 12, pow(_BASE, 1 << 16, 2**64))))
+
+
+def run_hashes(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes, runs standing in line; it depends on the run's bytes alone. No run is empty."""
+    if not len(lengths):
+        return np.zeros(0, np.uint64)
+    first = np.cumsum(lengths) - lengths
+    at = np.arange(len(data)) - np.repeat(first, lengths)
+    value = _BYTE_CODES[data] * _NEAR[at & 0xFFFF]
+    if lengths.max() > 0xFFFF:
+        value *= _FAR[at >> 16 & 0xFFF]
+    return mix(np.add.reduceat(value, first))
+
+
 def gram_hashes(hashes: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of `n` words within each text, and the number of the text."""
     if len(hashes) < n:

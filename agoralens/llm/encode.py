@@ -1,9 +1,9 @@
 """Token ids of whole texts by a public tokenizer, fast enough for large tables.
 
 Texts in which single blanks or line ends separate words are encoded word by
-word, each distinct piece once per worker: the two tokenizers used here cut
+word, recent pieces from a table of the worker: the two tokenizers used here cut
 texts before a single blank, so ids of the pieces in order are the ids of the
-text. Any other text (runs of white space, other white space, a zero character, a special token's
+text. Pieces are cut, looked up and put in line as arrays, known by a 64-bit hash. Any other text (runs of white space, other white space, a zero character, a special token's
 string) goes to the tokenizer whole.
 """
 
@@ -13,11 +13,18 @@ import os
 import sys
 from array import array
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 
-#: Pieces in each of the two generations that a worker keeps.
-PIECES = 500_000
+from agoralens.llm.common import mix, run_hashes
+
+#: Pieces that a worker keeps, ids of pieces after which it begins anew, and characters that are cut at once.
+SLOT_BITS = 21
+SLOTS, IDS, AT_ONCE = 1 << SLOT_BITS, 1 << 23, 2 << 20
+
+#: Tells a piece with a blank before from one without.
+_LED = np.uint64(0xD1B54A32D192ED03)
 
 _encoders: dict[str, Callable] = {}
 
@@ -45,13 +52,12 @@ def _make(model: str, keep_blank: bool) -> Callable[[list[str]], list[bytes]]:
     spells = np.zeros(tokenizer.get_vocab_size(), dtype=np.int64)
     for token, i in tokenizer.get_vocab().items():
         spells[i] = len(token) if keep_blank else token.endswith("</w>")
-    recent: dict[str, bytes] = {}
-    older: dict[str, bytes] = {}
+    table = Table()
 
     def whole(texts: list[str]) -> list[bytes]:
         out = []
-        for k in range(0, len(texts), 2000):
-            found = tokenizer.encode_batch_fast(texts[k : k + 2000], add_special_tokens=False)
+        for group in _groups(texts):
+            found = tokenizer.encode_batch_fast(group, add_special_tokens=False)
             out += [_little(array("I", e.ids)) for e in found]
         return out
 
@@ -92,50 +98,110 @@ def _make(model: str, keep_blank: bool) -> Callable[[list[str]], list[bytes]]:
             out.update(zip(chunk, marked(chunk), strict=True))
         return out
 
-    def pieces(text: str) -> list[str] | None:
-        words = text.split()
-        if " ".join(words) != text.replace("\n", " ") or "\0" in text or any(s in text for s in special):
-            return None
-        if not keep_blank:
-            return words
-        return text.replace(" ", "\0 ").split("\0")
-
-    def remember(wanted: set[str]) -> None:
-        """Have the ids of all wanted pieces in `recent`."""
-        nonlocal recent, older
-        if len(recent) + len(wanted) > PIECES:
-            recent, older = {}, recent
-        missing = wanted - recent.keys()
-        recent.update((w, older[w]) for w in missing & older.keys())
-        missing -= recent.keys()
-        parts = {w: _parts(w) for w in missing if w[-1:] in ",." or "\n" in w}
-        new = missing - parts.keys()
-        new.update(p for ps in parts.values() for p in ps)
-        recent.update(apart(list(new - recent.keys())))
-        recent.update((w, b"".join([recent[p] for p in ps])) for w, ps in parts.items() if len(ps) > 1)
+    def in_pieces(text: str) -> bool:
+        return " ".join(text.split()) == text.replace("\n", " ") and "\0" not in text and not any(s in text for s in special)
+
+    def short(texts: list[str]) -> list[bytes]:
+        """Ids of texts piece by piece."""
+        raw = [t.encode() for t in texts]
+        cut = _cut(raw, keep_blank)
+        offset, length = table.find(cut, lambda new: list(map(apart(new).__getitem__, new)))
+        text_of = np.searchsorted(np.cumsum([len(t) + 1 for t in raw]), cut.starts, side="right")
+        ends = np.cumsum(np.bincount(text_of, length, len(texts)).astype(np.int64)) * 4
+        before = np.cumsum(length) - length
+        data = table.ids[np.repeat(offset - before, length) + np.arange(length.sum())].tobytes()
+        return [data[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
     def encode(texts: list[str]) -> list[bytes]:
-        cut = [pieces(t) for t in texts]
-        remember({w for c in cut if c for w in c})
-        rest = iter(whole([t for t, c in zip(texts, cut) if c is None]))
-        return [next(rest) if c is None else b"".join(map(recent.__getitem__, c)) for c in cut]
+        fine = [in_pieces(t) for t in texts]
+        by_piece, rest = [t for t, f in zip(texts, fine) if f], [t for t, f in zip(texts, fine) if not f]
+        found = [x for group in _groups(by_piece) for x in short(group)]
+        done, other = iter(found), iter(whole(rest))
+        return [next(done) if f else next(other) for f in fine]
 
     return encode
 
 
-def _parts(piece: str) -> list[str]:
-    """Cut at line ends and before a last comma or full stop after a letter, where both tokenizers cut."""
-    if "\n" not in piece:
-        return [piece[:-1], piece[-1]] if piece[-1:] in ",." and piece[-2:-1].isalpha() else [piece]
-    out = []
-    for k, word in enumerate(piece.split("\n")):
-        if k:
-            out.append("\n")
-        if len(word) > 1 and word[-1] in ",." and word[-2].isalpha():
-            out += [word[:-1], word[-1]]
-        else:
-            out.append(word)
-    return out
+def _groups(texts: list[str]) -> list[list[str]]:
+    """Runs of texts of about AT_ONCE characters together; a longer text stands alone."""
+    groups, held = [], 0
+    for t in texts:
+        if not groups or held + len(t) > AT_ONCE:
+            groups.append([])
+            held = 0
+        groups[-1].append(t)
+        held += len(t)
+    return groups
+
+
+@dataclass
+class Pieces:
+    """Pieces of some bytes, in order: where they start, their lengths, their hashes, and whether a blank comes before."""
+
+    data: bytes
+    starts: np.ndarray
+    lengths: np.ndarray
+    hashes: np.ndarray
+    blank: np.ndarray
+
+    def text(self, k: int) -> str:
+        a = int(self.starts[k])
+        return " " * bool(self.blank[k]) + self.data[a : a + int(self.lengths[k])].decode()
+
+
+def _cut(texts: list[bytes], keep_blank: bool) -> Pieces:
+    """Cut texts where both tokenizers do: at blanks, at line ends, which are pieces, and before a last comma or full stop after a letter."""
+    data = b"\n".join(texts)
+    a = np.frombuffer(data, dtype=np.uint8)
+    between = np.cumsum([len(t) + 1 for t in texts[:-1]], dtype=np.int64) - 1
+    blank, line = a == 32, a == 10
+    edge = np.flatnonzero(np.diff(~(line | blank), prepend=False, append=False))
+    starts, ends = edge[0::2], edge[1::2]
+    last, before = a[ends - 1], a[np.maximum(ends - 2, 0)] | 32
+    point = (ends - starts > 1) & ((last == 44) | (last == 46)) & (before >= 97) & (before <= 122)
+    mark, left_out = line, blank.copy()
+    mark[between], left_out[between] = False, True
+    mark[starts] = mark[ends[point] - 1] = True
+    at = np.flatnonzero(mark)
+    dropped = np.concatenate([[0], np.cumsum(left_out)])
+    stop = np.append(at[1:], len(a))[: len(at)]
+    lengths = stop - at - (dropped[stop] - dropped[at])
+    led = (at > 0) & blank[np.maximum(at - 1, 0)] if keep_blank and len(at) else np.zeros(len(at), dtype=bool)
+    hashes = mix(run_hashes(a[~left_out], lengths) + led.astype(np.uint64) * _LED)
+    return Pieces(data, at, lengths, hashes, led)
+
+
+class Table:
+    """Ids of recent pieces: SLOTS places by hash, and room for IDS ids, so its memory is bounded whatever is encoded."""
+
+    def __init__(self):
+        self.reset()
+
+    def reset(self) -> None:
+        self.keys, self.at, self.size = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+        self.ids, self.used = np.zeros(1 << 16, dtype="<u4"), 0
+
+    def find(self, cut: Pieces, encode: Callable[[list[str]], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each piece begin in `ids`, and how many there are. What isn't held is encoded, each piece once."""
+        if self.used > IDS:
+            self.reset()
+        slot = (cut.hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        offset, length = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
+        missing = np.flatnonzero(self.keys[slot] != cut.hashes)
+        if len(missing):
+            keys, first, which = np.unique(cut.hashes[missing], return_index=True, return_inverse=True)
+            encoded = encode([cut.text(k) for k in missing[first]])
+            sizes = np.array([len(e) // 4 for e in encoded], dtype=np.int64)
+            new = np.frombuffer(b"".join(encoded), dtype="<u4")
+            begins = self.used + np.cumsum(sizes) - sizes
+            if self.used + len(new) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(new)), dtype="<u4")])
+            self.ids[self.used : self.used + len(new)] = new
+            self.used += len(new)
+            offset[missing], length[missing] = begins[which], sizes[which]
+            into = slot[missing[first]]
+            self.keys[into], self.at[into], self.size[into] = keys, begins, sizes
+        return offset, length
 
 
 def _little(ids: array) -> bytes:

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from agoralens.llm.common import BATCH_ROWS, arrow_ready
+from agoralens.llm.common import arrow_ready
 from agoralens.llm.encode import encoder
 from agoralens.operators.windows import count_window
 from agoralens.session import materialise
@@ -130,8 +130,7 @@ def pack(pieces: DataFrame, capacity: int, per_task: int = 250_000) -> DataFrame
     not on their order. Tables without rows give no rows; equal rows are placed
     one by one.
     """
-    spark = arrow_ready(pieces.sparkSession)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10 * BATCH_ROWS)
+    arrow_ready(pieces.sparkSession)
     pieces = materialise(pieces)
     level = materialise(_packed(pieces, capacity, per_task, "bin", "place", "filled"))
     loose = level.filter(F.col("filled") < capacity).groupBy("bin").agg(F.max("filled").alias("length"))

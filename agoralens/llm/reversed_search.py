@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from agoralens.llm.common import run_hashes
 from agoralens.session import materialise, ship_package
 
 # A term's characters, the weight's scale, and the constants of saturation.
@@ -32,23 +33,6 @@ _BITMAP_BITS = 20
 _IN_TERM = np.zeros(256, dtype=bool)
 _IN_TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _OUTSIDE = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
-_CODES = np.random.default_rng(11).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FACTOR = 0x9E3779B97F4A7C15
-
-
-def _powers(factor: int, n: int) -> np.ndarray:
-    steps = np.full(n, factor, dtype=np.uint64)
-    steps[0] = 1
-    return np.multiply.accumulate(steps)
-
-
-_NEAR, _FAR = _powers(_FACTOR, 1 << 16), _powers(pow(_FACTOR, 1 << 16, 2**64), 1 << 12)
-
-
-def lowered(text: str) -> bytes:
-    """UTF-8 with A-Z, and nothing else, in lower case."""
-    return text.encode().lower()
-
 
 def cut(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, length and 64-bit hash of the terms in lower-cased UTF-8; a hash depends on the term alone."""
@@ -56,15 +40,7 @@ def cut(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = _IN_TERM[a]
     edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
     starts, lengths = edge[0::2], edge[1::2] - edge[0::2]
-    if not len(starts):
-        return starts, lengths, np.zeros(0, np.uint64)
-    first = np.cumsum(lengths) - lengths
-    at = np.arange(lengths.sum()) - np.repeat(first, lengths)
-    value = _CODES[a[inside]] * _NEAR[at & 0xFFFF]
-    if lengths.max() > 0xFFFF:
-        value *= _FAR[at >> 16 & 0xFFF]
-    h = np.add.reduceat(value, first)
-    return starts, lengths, (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return starts, lengths, run_hashes(a[inside], lengths)
 
 
 def segments(data: bytes) -> Iterator[tuple[int, bytes]]:

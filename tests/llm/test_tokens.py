@@ -5,11 +5,12 @@ from collections import defaultdict
 from functools import cache
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from agoralens.llm import packing, queries, repair
+from agoralens.llm import encode, packing, queries, repair
 from agoralens.llm.encode import encoder
 
 SF = "/root/testdata/sf0.001"
@@ -47,6 +48,20 @@ def test_encoder_property(text):
         assert np.frombuffer(got[0], "<u4").tolist() == plain(name, [text])[0]
 
 
+@pytest.mark.parametrize("name, keep", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_encoder_on_given_texts_with_a_small_table(monkeypatch, name, keep):
+    """Pieces push each other out of a table of 64 places, and it begins anew; many calls; texts of several groups."""
+    monkeypatch.setattr(encode, "SLOT_BITS", 6)
+    monkeypatch.setattr(encode, "SLOTS", 64)
+    monkeypatch.setattr(encode, "IDS", 3000)
+    monkeypatch.setattr(encode, "AT_ONCE", 5000)
+    texts = [t for t in pq.read_table(f"{SF}/documents.parquet")["text"].to_pylist() if t][:60] + ["", "\n", "x" * 70_000 + " y", "a\n\nb", ""]
+    got = encode._make(queries.tokenizer_file(name), keep)
+    for texts in (texts, texts[::-1]):
+        assert [np.frombuffer(g, "<u4").tolist() for g in got(texts)] == plain(name, texts)
+    assert got([]) == []
+
+
 def expected_repair(rows):
     out, start = [], 0
     for i, ids in sorted(zip((r[0] for r in rows), plain("word_bpe_49k.json", [r[1] or "" for r in rows]))):
@@ -132,14 +147,6 @@ def test_packing_edge_cases(spark, frame):
     assert packing.pack_documents(frame([]), model).count() == 0
 
 
-def test_many_tasks_leave_few_open_bins(spark):
-    lengths = spark.range(6000).selectExpr("id doc_id", "cast(0 as int) piece", "0L start", "1 + pmod(xxhash64(id), 2048) length", "0L ids_crc32")
-    got = packing.pack(lengths, 2048, per_task=500)
-    total = lengths.selectExpr("sum(length)").head()[0]
-    assert got.count() == 6000
-    assert got.select("sequence_id").distinct().count() <= -(-total // 2048) * 1.01
-
-
 def least_bins(lengths: np.ndarray, capacity: int) -> int:
     """No packing takes fewer: pieces above half the capacity lie apart, short ones fill what they can of the gaps."""
     best, big = 0, lengths[2 * lengths > capacity]
@@ -150,9 +157,10 @@ def least_bins(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
-def test_shares_together_come_near_the_least_number_of_bins(spark):
+def test_many_tasks_leave_few_open_bins(spark):
     lengths = spark.range(6000).selectExpr("id doc_id", "cast(0 as int) piece", "0L start", "1 + pmod(xxhash64(id), 2048) length", "0L ids_crc32")
     got = packing.pack(lengths, 2048, per_task=500).select("sequence_id", "length").collect()
+    assert len(got) == 6000
     assert len({r.sequence_id for r in got}) <= 1.01 * least_bins(np.array([r.length for r in got]), 2048)
 
 
