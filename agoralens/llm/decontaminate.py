@@ -2,10 +2,11 @@
 
 Texts are words; an item is found in a document if a run of words there is
 within `tolerance` times the item's words of edits (insert, delete, replace).
-With that many edits some run of words of the item stays whole, so such runs
-anchor item-sized windows. Windows and items are embedded by random walks that
-turn edit distance into Hamming distance; repeated bit sampling over the
-embeddings gives candidates, and an exact edit distance confirms them.
+Random walks that read words turn edit distance into Hamming distance: after an
+edit, two walks over the same words soon read in step again. A walk starts at
+every word of a document and of an item; the words that it puts out at sampled
+steps are a key, and equal keys of any of several walks make the item-sized
+window that lies so a candidate. An exact edit distance confirms candidates.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from agoralens.llm.common import arrow_ready, gram_hashes, mix, word_hashes
 
-#: Share of an item's words that may be edited, walks, samplings of a walk, positions of a sampling, longest anchor, words of a block of items.
-TOLERANCE, WALKS, SAMPLINGS, POSITIONS, ANCHOR, BLOCK_WORDS = 0.2, 6, 8, 2, 4, 200_000
+#: Share of an item's words that may be edited, walks, words of a block of items.
+TOLERANCE, WALKS, BLOCK_WORDS = 0.2, 6, 200_000
+#: Of an item some run of words stays whole, for sure; for runs of 1, 2, 3, and 4 or more words: the steps of a walk that
+#: are sampled. A walk moves on at every other step, so its last sample is about where such a run ends.
+SAMPLED = {1: (0,), 2: (0, 1, 2), 3: (0, 2, 3, 4, 6), 4: (0, 2, 4, 7, 9)}
 
-_rng = np.random.default_rng(3)
-_SAMPLED = _rng.random((WALKS, SAMPLINGS * POSITIONS))
-_PAD, _OUTSIDE = np.uint64(0), np.uint64(1)
+_OUTSIDE = np.uint64(1)
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _BITMAP_BITS = 20
 
 #: Letters lower-cased, other ASCII than letters and digits as blanks.
@@ -41,22 +44,22 @@ def _coins(walk: int, step: int, symbols: np.ndarray) -> np.ndarray:
     return ((symbols ^ seed) * (seed | np.uint64(1))) >> np.uint64(63)
 
 
-def embeddings(words: np.ndarray, starts: np.ndarray, stops: np.ndarray, sizes: np.ndarray, walk: int) -> np.ndarray:
-    """Sampled outputs of the CGK walk over words[start : start + size], which end early at `stops`.
+def keys(words: np.ndarray, ends: np.ndarray, walk: int, classes: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each class the key of the walk from every word, and whether its samples lie before `ends`, the text's end.
 
-    A walk of 3 * size steps puts out the word at its pointer (a pad beyond the
-    window) and moves on if the word's coin of that step says so. Samples are
-    taken at fixed shares of the walk.
+    A CGK walk puts out the word at its pointer, and moves on if the word's coin
+    of that step says so.
     """
-    end = np.minimum(starts + sizes, stops)
-    at, length = starts.copy(), 3 * sizes
-    when = (_SAMPLED[walk][None, :] * length[:, None]).astype(np.int64)
-    out = np.zeros(when.shape, dtype=np.uint64)
-    for step in range(int(length.max(initial=0))):
-        symbol = np.where(at < end, words[np.minimum(at, len(words) - 1)], _PAD)
-        row, column = np.nonzero(when == step)
-        out[row, column] = symbol[row]
-        at += _coins(walk, step, symbol).astype(np.int64)
+    at = np.arange(len(words))
+    out, key = {}, {c: np.full(len(words), c, dtype=np.uint64) for c in classes}
+    for step in range(1 + max(SAMPLED[c][-1] for c in classes)):
+        symbol = words[np.minimum(at, len(words) - 1)]
+        for c in classes:
+            if step in SAMPLED[c]:
+                key[c] = key[c] * _FACTOR + symbol
+                if step == SAMPLED[c][-1]:
+                    out[c] = mix(key[c]), at < ends
+        at = at + _coins(walk, step, symbol).astype(np.int64)
     return out
 
 
@@ -82,52 +85,38 @@ def edits(words: np.ndarray, lows: np.ndarray, highs: np.ndarray, items: list[np
 
 @dataclass
 class Block:
-    """Items of one pass over the documents, with their anchors and embeddings."""
+    """Items of one pass over the documents. `tables`: of a walk and class a bitmap of the keys, the keys in order, item and place of each."""
 
     ids: list[int]
     words: np.ndarray
     begins: np.ndarray
     sizes: np.ndarray
     allowed: np.ndarray
-    anchors: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
-    keys: list[np.ndarray]
-
-    def candidates(self, words: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of windows and items that anchors align; a start may lie before its text."""
-        starts, items = [], []
-        for n, (bitmap, grams, item, offset) in self.anchors.items():
-            found, _ = gram_hashes(words, of, n)
-            place = np.flatnonzero(of[: len(of) - n + 1] == of[n - 1 :]) if len(of) >= n else np.zeros(0, np.int64)
-            maybe = bitmap[found >> np.uint64(64 - _BITMAP_BITS)]
-            found, place = found[maybe], place[maybe]
-            low, high = np.searchsorted(grams, found), np.searchsorted(grams, found, side="right")
-            count = high - low
-            k = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
-            starts.append(np.repeat(place, count) - offset[k])
-            items.append(item[k])
-        if not starts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        starts, items = np.concatenate(starts), np.concatenate(items)
-        pairs = np.unique(np.stack([starts, items]), axis=1) if len(starts) else np.stack([starts, items])
+    tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+    def candidates(self, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of windows and items that share a key; a start may lie before its text."""
+        classes = sorted({c for _, c in self.tables})
+        starts, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for walk in range(WALKS if len(words) and classes else 0):
+            for c, (key, inside) in keys(words, ends, walk, classes).items():
+                bitmap, known, item, offset = self.tables[walk, c]
+                place = np.flatnonzero(inside & bitmap[key >> np.uint64(64 - _BITMAP_BITS)])
+                key = key[place]
+                low, high = np.searchsorted(known, key), np.searchsorted(known, key, side="right")
+                count = high - low
+                k = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+                starts.append(np.repeat(place, count) - offset[k])
+                items.append(item[k])
+        pairs = np.unique(np.stack([np.concatenate(starts), np.concatenate(items)]), axis=1)
         return pairs[0], pairs[1]
 
     def found(self, words: np.ndarray, of: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Text number, item, first word of the window within the text, edits: the best of each text and item."""
         first = np.searchsorted(of, np.arange(texts + 1))
         out = []
-        for start, item, text in self._by_text(words, of, first):
-            near = np.zeros(len(start), dtype=bool)
-            size, allowed = self.sizes[item], self.allowed[item]
-            low, high = np.maximum(start, first[text]), first[text + 1]
-            for walk in range(WALKS):
-                rest = np.flatnonzero(~near)
-                if not len(rest):
-                    break
-                e = embeddings(words, low[rest], high[rest], size[rest], walk)
-                same = (e == self.keys[walk][item[rest]]).reshape(len(rest), SAMPLINGS, POSITIONS).all(axis=2).any(axis=1)
-                near[rest[same]] = True
-            start, item, text, low = start[near], item[near], text[near], low[near]
-            size, allowed = self.sizes[item], self.allowed[item]
+        for start, item, text in self._by_text(words, first, first[of + 1]):
+            size, allowed, low = self.sizes[item], self.allowed[item], np.maximum(start, first[text])
             begin = np.maximum(start - allowed, first[text])
             end = np.minimum(np.maximum(start, first[text]) + size + allowed, first[text + 1])
             cost = edits(words, begin, end, [self.words[self.begins[i] : self.begins[i] + self.sizes[i]] for i in item])
@@ -139,10 +128,10 @@ class Block:
         best[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])
         return tuple(rows[:, best])
 
-    def _by_text(self, words: np.ndarray, of: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Candidate windows in groups of bounded size. Anchors lie in the text that the window is cut from."""
-        starts, items = self.candidates(words, of)
-        # a start before its text's first word still belongs to the text of its anchor, which is the one after
+    def _by_text(self, words: np.ndarray, first: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Candidate windows in groups of bounded size. Keys lie in the text that the window is cut from."""
+        starts, items = self.candidates(words, ends)
+        # a start before its text's first word still belongs to the text of its key, which is the one after
         text = np.searchsorted(first, np.maximum(starts, 0), side="right") - 1
         owner = np.minimum(np.searchsorted(first, np.maximum(starts + self.allowed[items], 0), side="right") - 1, len(first) - 2)
         for s, i, t in ((starts, items, text), (starts[owner > text], items[owner > text], owner[owner > text])):
@@ -160,19 +149,18 @@ def block(items: list[tuple[int, str]], tolerance: float) -> Block:
     ids, sizes = [i for i, _ in hashed], np.array([len(w) for _, w in hashed], dtype=np.int64)
     words = np.concatenate([w for _, w in hashed]) if hashed else np.zeros(0, np.uint64)
     allowed, begins = (tolerance * sizes).astype(np.int64), np.cumsum(sizes) - sizes
-    whole = np.minimum(ANCHOR, -(-(sizes - allowed) // (allowed + 1)))
-    anchors = {}
-    for n in sorted(set(whole.tolist())):
-        chosen = [(k, hashed[k][1]) for k in range(len(hashed)) if whole[k] == n]
-        grams = [gram_hashes(w, np.zeros(len(w), np.int64), n)[0] for _, w in chosen]
-        item = np.repeat([k for k, _ in chosen], [len(g) for g in grams])
-        offset, grams = np.concatenate([np.arange(len(g)) for g in grams]), np.concatenate(grams)
-        order = np.argsort(grams, kind="stable")
-        bitmap = np.zeros(1 << _BITMAP_BITS, dtype=bool)
-        bitmap[grams >> np.uint64(64 - _BITMAP_BITS)] = True
-        anchors[n] = bitmap, grams[order], item[order], offset[order]
-    keys = [embeddings(words, begins, begins + sizes, sizes, w) for w in range(WALKS)] if hashed else []
-    return Block(ids, words, begins, sizes, allowed, anchors, keys)
+    # Few edits leave few runs, so the keys of an item of few words read less: of one without edits, none reads beyond it.
+    whole = np.minimum.reduce([-(-(sizes - allowed) // (allowed + 1)), np.minimum(2 + allowed, max(SAMPLED)), np.maximum(1, sizes - 1)])
+    item, offset = np.repeat(np.arange(len(ids)), sizes), np.arange(len(words)) - np.repeat(begins, sizes)
+    tables = {}
+    for walk in range(WALKS if len(words) else 0):
+        for c, (key, inside) in keys(words, np.repeat(begins + sizes, sizes), walk, sorted(set(whole.tolist()))).items():
+            chosen = np.flatnonzero(inside & (whole[item] == c))
+            chosen = chosen[np.argsort(key[chosen], kind="stable")]
+            bitmap = np.zeros(1 << _BITMAP_BITS, dtype=bool)
+            bitmap[key[chosen] >> np.uint64(64 - _BITMAP_BITS)] = True
+            tables[walk, c] = bitmap, key[chosen], item[chosen], offset[chosen]
+    return Block(ids, words, begins, sizes, allowed, tables)
 
 
 def blocks(items: DataFrame, tolerance: float = TOLERANCE) -> Iterator[Block]:
