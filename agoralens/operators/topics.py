@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Observation, Window, functions as F
 
 from agoralens.operators import terms as tm
 from agoralens.session import materialise, scratch_path, ship_package
@@ -92,19 +92,24 @@ def fit(vectors: DataFrame, numbered: DataFrame, k: int = TOPICS, seed: int = SE
     try:
         documents = spark.table(table)
         needed = materialise(documents.select("block", F.explode("ids").alias("id")).distinct())
-        state = materialise(start(numbered, k, seed))
+        state, totals = _written(start(numbered, k, seed), columns)
         for _ in range(max_iter):
-            totals = np.array(state.agg(*(F.sum(c) for c in columns)).head())
-
             slices = needed.join(state, "id").select("block", "id", *columns)
             schema = "id bigint, " + ", ".join(f"{c} double" for c in columns)
             parts = documents.groupBy("block").cogroup(slices.groupBy("block")).applyInArrow(_step(columns, totals, prior), schema)
-            state = materialise(parts.groupBy("id").agg(*((F.sum(c) + F.lit(prior)).alias(c) for c in columns)))
+            state, totals = _written(parts.groupBy("id").agg(*((F.sum(c) + F.lit(prior)).alias(c) for c in columns)), columns)
         return state
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
+def _written(state: DataFrame, columns: list[str]) -> tuple[DataFrame, np.ndarray]:
+    """The parameters, written, and their sums, which the same job observes."""
+    seen = Observation()
+    written = materialise(state.observe(seen, *(F.sum(c).alias(c) for c in columns)))
+    return written, np.array([seen.get[c] for c in columns])
+
+
 def _step(columns: list[str], totals: np.ndarray, prior: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
     """A round of one block: its documents, and the parameters of their terms."""
 

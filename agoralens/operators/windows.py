@@ -13,7 +13,9 @@ WINDOW_POSTS = 1000
 ROW_BITS = 33
 
 
-def count_window(df: DataFrame, order: list[str], size: int = WINDOW_POSTS, scratch: str | None = None, start: int = 0) -> DataFrame:
+def count_window(
+    df: DataFrame, order: list[str], size: int = WINDOW_POSTS, scratch: str | None = None, start: int = 0, ranges: int | None = None
+) -> DataFrame:
     """Number the rows in `order` and put every `size` of them into one window.
 
     Adds `position` (from `start`) and `window_no`. `order` should tell rows apart;
@@ -27,13 +29,15 @@ def count_window(df: DataFrame, order: list[str], size: int = WINDOW_POSTS, scra
     id ends the sort key, so that a value held by very many rows is spread over
     several ranges.
 
+    `ranges` is how many there are; by default as many as shuffles have partitions.
+
     `scratch` is a folder of the caller for the two written frames; a stream
     passes one, so that its batches reuse it. If `df` calls a scorer, write it
     first: the sampling reads it once more.
     """
     spark = df.sparkSession
     scratch = scratch or scratch_path(spark, "count-window")
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [*order, "_id"]
     # After the sort, the id holds the partition in its upper 31 bits and the
     # row within the partition in its lower 33.

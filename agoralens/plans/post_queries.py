@@ -490,13 +490,6 @@ def score_posts_reply(spark, sf_dir):
     return scoring.score_posts(counted(spark, sf_dir), scorer).select(*ORDER, "prediction", "prediction_prob")
 
 
-@query()
-def score_posts_ml(spark, sf_dir):
-    model = scoring.train_scorer(fixtures.corpus(spark, sf_dir))
-    result = scoring.score_posts(counted(spark, sf_dir), model)
-    return result.select(*ORDER, "token_count", F.col("prediction").cast(IntegerType()), "prediction_prob")
-
-
 def _stored_scores(spark, sf_dir, name: str) -> DataFrame:
     """Scores of a model that was fitted and stored before, here only loaded."""
     model = models.load_model(spark, stored_models(spark, sf_dir), name)
@@ -504,6 +497,12 @@ def _stored_scores(spark, sf_dir, name: str) -> DataFrame:
     return result.select(*ORDER, "token_count", F.col("prediction").cast(IntegerType()), "prediction_prob")
 
 
+@query()
+def score_posts_ml(spark, sf_dir):
+    """Scores of logistic regression, which is fitted once a session."""
+    return _stored_scores(spark, sf_dir, "logistic")
+
+
 # What is certain of a fitted model's scores, beside which posts have one. Another fit and a stored model must agree.
 _DETERMINED = f"""with {sql.COUNTED} select post_id, enqueued_utc, token_count > 10 as scored, true as in_domain, true as same from counted"""
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
-from functools import lru_cache
+from functools import lru_cache, wraps
 from pathlib import Path
 from zipfile import ZipFile
 
@@ -109,6 +109,17 @@ def scratch_scope(spark: SparkSession) -> Iterator[Scope]:
             outer.paths += kept
 
 
+def scoped(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A function from a frame to a frame whose scratch ends with it, but for what its result reads."""
+
+    @wraps(function)
+    def call(df: DataFrame, *args, **named) -> DataFrame:
+        with scratch_scope(df.sparkSession) as scope:
+            return scope.keep(function(df, *args, **named))
+
+    return call
+
+
 def input_files(df: DataFrame) -> list[str]:
     """Files that a frame reads, in subqueries too."""
     dataset = df.sparkSession._jvm.org.apache.spark.sql.classic.Dataset

@@ -73,19 +73,24 @@ def preview(df: DataFrame, keys: list[str], n: int = 20) -> DataFrame:
 # --- catalog ----------------------------------------------------------------
 
 
+def quoted(name: str) -> str:
+    """A dotted name with every part in quotes."""
+    return ".".join("`" + part.replace("`", "``") + "`" for part in name.split("."))
+
+
 def create_schema(spark: SparkSession, name: str, location: str | None = None) -> None:
-    where = f" LOCATION '{location}'" if location else ""
-    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {name}{where}")
+    where = " LOCATION '" + location.replace("\\", "\\\\").replace("'", "\\'") + "'" if location else ""
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS {quoted(name)}{where}")
 
 
 def publish_table(df: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:
     """Overwrite a managed table, for tools that read the catalog."""
-    df.write.format(fmt).mode("overwrite").saveAsTable(name)
-    return df.sparkSession.table(name)
+    df.write.format(fmt).mode("overwrite").saveAsTable(quoted(name))
+    return df.sparkSession.table(quoted(name))
 
 
 def drop_table(spark: SparkSession, name: str) -> None:
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"DROP TABLE IF EXISTS {quoted(name)}")
 
 
 # --- streams ----------------------------------------------------------------

@@ -27,6 +27,12 @@ def test_equal_rows_are_spread_over_ranges(spark, tmp_path):
     assert len(ranges) == 8 and max(r["count"] for r in ranges) < 6_000
 
 
+def test_number_of_ranges(spark, tmp_path):
+    found = count_window(spark.range(1000).select(F.col("id").alias("t")), ["t"], scratch=str(tmp_path), ranges=3)
+    assert sorted(r.position for r in found.collect()) == list(range(1000))
+    assert spark.read.parquet(str(tmp_path / "ranged")).select(F.shiftright("_id", 33)).distinct().count() <= 3
+
+
 def test_stats_and_empty_input(spark):
     df = spark.range(25).select(F.col("id").alias("enqueued_utc"), (F.col("id") % 2).alias("prediction"))
     stats = window_stats(count_window(df, ["enqueued_utc"], 10)).orderBy("window_no").collect()
