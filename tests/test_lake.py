@@ -74,9 +74,9 @@ def test_cluster_needs_a_shared_folder():
 
 
 def test_catalog_names_are_quoted(spark, tmp_path):
-    schema = "odd-name x"
+    schema = "2024_select"
     lake.create_schema(spark, schema, str(tmp_path / "it's here"))
-    assert lake.publish_table(spark.range(3), f"{schema}.a table").count() == 3
-    lake.drop_table(spark, f"{schema}.a table")
+    assert lake.publish_table(spark.range(3), f"{schema}.from").count() == 3
+    lake.drop_table(spark, f"{schema}.from")
     assert spark.sql(f"SHOW TABLES IN {lake.quoted(schema)}").count() == 0
     spark.sql(f"DROP SCHEMA {lake.quoted(schema)} CASCADE")
