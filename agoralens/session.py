@@ -61,7 +61,7 @@ def scratch_path(spark: SparkSession, name: str, lasting: bool = False) -> str:
 
     It belongs to the scope it is made in, see `scratch_scope`, unless it is lasting.
     """
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}" + "-lasting" * lasting
     if not lasting and (scope := _scope.get()) is not None:
         scope.paths.append(path)
     return path
@@ -129,7 +129,7 @@ def input_files(df: DataFrame) -> list[str]:
 
 
 def release(df: DataFrame) -> None:
-    """Delete the scratch folders that a frame reads, once it is written and done with."""
+    """Delete the scratch folders that a frame reads, once it is written and done with. Lasting ones stay."""
     spark = df.sparkSession
     top = f"{shared_dir(spark).split(':', 1)[-1].rstrip('/')}/".replace("//", "/")
     found = {m[0] for f in input_files(df) if (m := re.match(rf".*?{re.escape(top)}[^/]+-[0-9a-f]{{32}}(?=/)", f))}

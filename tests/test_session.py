@@ -38,6 +38,13 @@ def test_scope_keeps_what_a_subquery_reads(spark):
     release(result)
 
 
+def test_lasting_paths_outlast_scopes_and_release(spark):
+    with scratch_scope(spark) as scope:
+        df = scope.keep(materialise(spark.range(3), scratch_path(spark, "lake", lasting=True)))
+    release(df)
+    assert df.count() == 3
+
+
 def test_inner_scope_hands_on(spark):
     before = shared(spark)
     with scratch_scope(spark):
