@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from agoralens.llm.common import arrow_ready, gram_hashes, mix, word_hashes
-from agoralens.session import materialise
+from agoralens.session import materialise, scoped
 
 #: Orders, values compared in an order, least common prefix of candidates, neighbours looked at.
 ORDERS, DEPTH, LEAST, NEIGHBOURS = 24, 10, 5, 4
@@ -172,7 +172,10 @@ def neighbours(sets: DataFrame, ratio: float) -> DataFrame:
 
 
 def shingle_rows(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """doc_id, its distinct shingles, for the documents in `ids` only."""
+    """doc_id, its distinct shingles, for the documents in `ids` only, each id once.
+
+    Texts are shuffled, not the sets, which are larger. `ids` grows with the documents, so it is never broadcast.
+    """
     arrow_ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,8 +184,8 @@ def shingle_rows(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(values.view(np.int64)))
             yield pa.record_batch([batch.column(0), lists], ["doc_id", "shingles"])
 
-    wanted = docs.select(F.col("doc_id").cast("long"), "text").join(ids.select("doc_id"), "doc_id", "left_semi")
-    return wanted.mapInArrow(run, "doc_id bigint, shingles array<bigint>")
+    wanted = docs.select(F.col("doc_id").cast("long"), "text").join(ids.select("doc_id").hint("merge"), "doc_id", "left_semi")
+    return wanted.dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id bigint, shingles array<bigint>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -194,6 +197,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * either).select("a", "b")
 
 
+@scoped
 def components(links: DataFrame) -> DataFrame:
     """doc_id, root (smallest id reachable) of every document that has a link.
 
@@ -258,7 +262,7 @@ def rare_pairs(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     cells = own.select("shingle", "block", "doc_id", "root", "size", "bits", other)
     cells = cells.select("shingle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "root", "size", "bits")
-    dealt = cells.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
+    dealt = cells.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "root")
     return dealt.mapInArrow(_meeting(percent), "a bigint, b bigint").distinct()
 
 
@@ -272,11 +276,16 @@ def _meeting(percent: int):
         bits = rows["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BIT_WORDS)
         edges = np.flatnonzero(np.r_[True, (cell[:, 1:] != cell[:, :-1]).any(axis=0), True])
         end = np.repeat(edges[1:], np.diff(edges))
+        # Rows of a component stand together, so each row is compared with those behind its component.
+        runs = np.flatnonzero(np.r_[True, (cell[:, 1:] != cell[:, :-1]).any(axis=0) | (root[1:] != root[:-1]), True])
+        behind = np.repeat(runs[1:], np.diff(runs))
         at, found = np.arange(len(ids)), []
-        for d in range(1, int(np.diff(edges).max(initial=0))):
-            at = at[at + d < end[at]]
-            x, y = at, at + d
-            near = (root[x] != root[y]) & (one[x] | (block[x] != block[y]))
+        for d in range(int(np.diff(edges).max(initial=0))):
+            at = at[behind[at] + d < end[at]]
+            if not len(at):
+                break
+            x, y = at, behind[at] + d
+            near = one[x] | (block[x] != block[y])
             near &= 100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])
             x, y = x[near], y[near]
             unlike = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
@@ -301,6 +310,7 @@ def _meeting(percent: int):
     return run
 
 
+@scoped
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
@@ -321,7 +331,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     pairs = materialise(possible(pairs, sets, percent))
     open_ = materialise(found.filter("b is null").select(F.col("a").alias("doc_id")).distinct())
     ids = pairs.select("a").union(pairs.select("b")).union(open_).distinct()
-    shingles = materialise(shingle_rows(docs, ids.withColumnRenamed("a", "doc_id"), n).dropDuplicates(["doc_id"]))
+    shingles = materialise(shingle_rows(docs, ids.withColumnRenamed("a", "doc_id"), n))
     ends = F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))
     best = pairs.select("common", F.explode(ends).alias("e")).groupBy("e.v").agg(F.max_by("e.w", F.struct("common", F.xxhash64("e.w"))).alias("w"))
     links = materialise(confirmed(best.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct(), shingles, percent))
