@@ -44,19 +44,24 @@ def _mean(value: str) -> Column:
     return F.sum(F.col(value).cast("double") * F.col("n")) / F.sum("n")
 
 
-def _std(value: str) -> Column:
-    """Sample standard deviation; null for a single row."""
-    v, n = F.col(value).cast("double"), F.col("n")
+def _centred(hist: DataFrame, value: str) -> DataFrame:
+    """The histogram with `_off`, how far a value lies from the mean of all: sums of its squares don't cancel where values are large."""
+    return hist.withColumn("_off", F.col(value).cast("double") - hist.agg(_mean(value)).scalar())
+
+
+def _std() -> Column:
+    """Sample standard deviation of a centred histogram; null for a single row."""
+    v, n = F.col("_off"), F.col("n")
     total, squares = F.sum(v * n), F.sum(v * v * n)
     rest = F.greatest(squares - total * total / F.sum("n"), F.lit(0.0))
     return F.sqrt(F.try_divide(rest, F.sum("n") - 1))
 
 
 def describe(hist: DataFrame, value: str) -> DataFrame:
-    return hist.agg(
+    return _centred(hist, value).agg(
         F.sum("n").alias("count"),
         _mean(value).alias("mean"),
-        _std(value).alias("std"),
+        _std().alias("std"),
         F.min(value).alias("min"),
         quantile(value, 0.25).alias("q25"),
         quantile(value, 0.5).alias("q50"),
@@ -159,7 +164,7 @@ def density(hist: DataFrame, value: str, label: str, points: int = 51, cut: floa
     the label's share of all rows. Labels without spread have no curve. The
     work is (distinct values) x (grid points), whatever the number of rows.
     """
-    per_label = hist.groupBy(label).agg(F.sum("n").alias("size"), _std(value).alias("std"))
+    per_label = _centred(hist, value).groupBy(label).agg(F.sum("n").alias("size"), _std().alias("std"))
     # Scalar subqueries: one number each, so nothing is joined.
     overall = hist.agg(quantile(value, cut).alias("top"), F.sum("n").alias("rows"))
     step = F.explode(F.sequence(F.lit(0), F.lit(points - 1)))

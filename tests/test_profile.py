@@ -78,3 +78,10 @@ def test_approximate_quartiles(lengths):
     row = profile.approx_quartiles(lengths, "n_tokens", "label").filter("label = 0").first()
     group = pandas(lengths).query("label == 0")["n_tokens"]
     assert (row.q1, row.q3) == pytest.approx((group.quantile(0.25), group.quantile(0.75)), abs=1)
+
+
+def test_deviation_of_large_values(spark):
+    """The spread is tiny beside the values: sums of squares would lose it."""
+    df = spark.createDataFrame([(float(10**9 + k % 3),) for k in range(300)], "v double")
+    row = profile.describe(profile.histogram(df, "v"), "v").head()
+    assert row["std"] == pytest.approx((200 / 299) ** 0.5, rel=1e-9)
