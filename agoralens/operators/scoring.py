@@ -29,7 +29,7 @@ from agoralens.functions.text import parse_reply, tokenize
 from agoralens.operators.calls import Caller
 from agoralens.operators.projections import guarded
 from agoralens.schema import ERROR_PREDICTION, ERROR_PROBABILITY, MIN_TOKENS, SCORE
-from agoralens.session import materialise
+from agoralens.session import materialise, scratch_path
 
 
 @dataclass(frozen=True)
@@ -309,7 +309,11 @@ def train_scorer(
     # Written once: the fit reads the term frequencies many times.
     vectors = materialise(hashing.transform(rows).select("_tf", "label"))
     fitted = Pipeline(stages=[IDF(inputCol="_tf", outputCol="features"), head]).fit(vectors)
-    return PipelineModel([hashing, *fitted.stages])
+    # Stored and loaded again: a model fresh from its fit holds a summary of the training, and with it the
+    # session, so tasks can't be sent the model once something in the session (an observation, say) isn't serialisable.
+    path = scratch_path(labelled.sparkSession, "fitted")
+    PipelineModel([hashing, *fitted.stages]).write().save(path)
+    return PipelineModel.load(path)
 
 
 def _ml_score(df: DataFrame, model: PipelineModel, eligible: Column) -> DataFrame:

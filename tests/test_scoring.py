@@ -2,7 +2,7 @@ import random
 import time
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from agoralens.operators.filters import min_tokens, positives
 from agoralens.operators.projections import with_clean_text
@@ -192,3 +192,13 @@ def test_lexicon_of_a_hundred_thousand_terms(spark):
     assert {r.prediction for r in none} == {0}
     with pytest.raises(ValueError):
         score_posts(df, LexiconTable(spark.createDataFrame([("é", 1.0)], "term string, weight double")))
+
+
+def test_fitted_scorer_works_in_a_session_that_has_observed(spark):
+    """A model must not carry the session into its tasks."""
+    seen = Observation()
+    assert spark.range(5).observe(seen, F.count("*").alias("n")).count() == seen.get["n"] == 5
+    texts = [(f"good fine {words(12)}", 0), (f"awful gloom {words(12)}", 1)] * 20
+    model = train_scorer(spark.createDataFrame(texts, "text string, label int"), features=1 << 10)
+    rows = collected(score_posts(posts(spark, [t for t, _ in texts[:2]]), model))
+    assert [r.prediction for r in rows] == [0, 1]
