@@ -8,7 +8,7 @@ blocks say of a term is added up by term. The driver holds one number a topic.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,8 @@ TOLERANCE = 1e-3
 
 #: Documents of a block.
 BLOCK = 1024
+#: Terms of a batch of a block's documents: its matrices stay in a core's cache.
+BATCH = 1 << 14
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
@@ -43,25 +45,52 @@ def expected(parameters: np.ndarray, totals: np.ndarray) -> np.ndarray:
     return np.exp(digamma(parameters) - digamma(totals))
 
 
+def batches(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Documents of similar numbers of terms: no row of a batch is filled up by more than a quarter and four terms."""
+    order, first = np.argsort(sizes, kind="stable"), 0
+    while first < len(order):
+        widest = min(sizes[order[first]] * 1.25 + 4, max(BATCH, sizes[order[first]]))
+        last = first + 1
+        while last < len(order) and sizes[order[last]] <= widest and sizes[order[last]] * (last + 1 - first) <= BATCH:
+            last += 1
+        yield order[first:last]
+        first = last
+
+
 def document_step(starts: np.ndarray, at: np.ndarray, tf: np.ndarray, beta: np.ndarray, prior: float) -> np.ndarray:
     """What the documents say of each row of `beta`, a matrix (terms, topics).
 
     Document d has the terms at[starts[d]:starts[d + 1]], none has no term. All
-    documents are fitted at once, until the slowest one stands.
+    documents are fitted at once, until the slowest one stands. A round goes over
+    batches of dense matrices (documents, topics, terms), filled up with counts of 0.
     """
     sizes = np.diff(np.r_[starts, len(at)])
-    doc, rows = np.repeat(np.arange(len(starts)), sizes), beta[at]
+    parts = []
+    for docs in batches(sizes):
+        column = np.arange(sizes[docs].max())
+        inside = column < sizes[docs][:, None]
+        entries = np.where(inside, starts[docs][:, None] + column, 0)
+        rows = np.ascontiguousarray(beta[at[entries]].transpose(0, 2, 1))
+        parts.append((docs, at[entries], rows, np.where(inside, tf[entries], 0.0)))
+
+    def shares(theta: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return counts / (np.matmul(theta[:, None, :], rows)[:, 0] + 1e-100)
+
     gamma = np.ones((len(starts), beta.shape[1]))
     for _ in range(DOCUMENT_ITER):
-        theta = expected(gamma, gamma.sum(axis=1, keepdims=True))
-        share = tf / (np.einsum("ij,ij->i", theta[doc], rows) + 1e-100)
-        before, gamma = gamma, prior + theta * np.add.reduceat(rows * share[:, None], starts)
+        theta, heard = expected(gamma, gamma.sum(axis=1, keepdims=True)), np.empty_like(gamma)
+        for docs, _, rows, counts in parts:
+            heard[docs] = np.matmul(rows, shares(theta[docs], rows, counts)[:, :, None])[:, :, 0]
+        before, gamma = gamma, prior + theta * heard
         if np.abs(gamma - before).mean(axis=1).max() < TOLERANCE:
             break
-    theta = expected(gamma, gamma.sum(axis=1, keepdims=True))
-    share = tf / (np.einsum("ij,ij->i", theta[doc], rows) + 1e-100)
-    said = theta[doc] * share[:, None]
-    return beta * np.stack([np.bincount(at, said[:, k], len(beta)) for k in range(beta.shape[1])], axis=1)
+    theta, said = expected(gamma, gamma.sum(axis=1, keepdims=True)), np.zeros_like(beta)
+    for docs, terms, rows, counts in parts:
+        share = shares(theta[docs], rows, counts)
+        ids, places = np.unique(terms, return_inverse=True)
+        for k in range(beta.shape[1]):
+            said[ids, k] += np.bincount(places.ravel(), (theta[docs, k][:, None] * share).ravel(), len(ids))
+    return beta * said
 
 
 def start(numbered: DataFrame, k: int, seed: int) -> DataFrame:

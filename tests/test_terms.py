@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -120,3 +121,28 @@ def test_digamma():
 
     slope = [(lgamma(a + b) - lgamma(a - b)) / (2 * b) for a, b in zip(x, h)]
     assert tp.digamma(x) == pytest.approx(slope, rel=1e-5)
+
+
+def test_a_block_is_fitted_in_batches_that_stay_small(monkeypatch):
+    """Documents of one to 3,000 terms give what they give one by one in a flat pass, within little more memory than their terms take."""
+    rng = np.random.default_rng(5)
+    sizes = np.r_[1, 1, 2, 3000, 700, rng.integers(1, 400, 300)]
+    at = np.concatenate([rng.choice(4000, n, replace=False) for n in sizes])
+    tf, starts = rng.integers(1, 6, len(at)).astype(float), np.cumsum(sizes) - sizes
+    beta = tp.expected(rng.gamma(1, 1, (4000, 5)) + 0.01, np.full(5, 4000.0))
+    assert sorted(np.concatenate(list(tp.batches(sizes)))) == list(range(len(sizes)))
+    monkeypatch.setattr(tp, "DOCUMENT_ITER", 3)
+    gamma, doc = np.ones((len(sizes), 5)), np.repeat(np.arange(len(sizes)), sizes)
+    for n in range(4):
+        theta = tp.expected(gamma, gamma.sum(axis=1, keepdims=True))
+        phi = theta[doc] * beta[at]
+        phi *= (tf / phi.sum(axis=1))[:, None]
+        gamma = 0.2 + np.add.reduceat(phi, starts)
+    want = np.zeros_like(beta)
+    np.add.at(want, at, phi)
+    tracemalloc.start()
+    got = tp.document_step(starts, at, tf, beta, 0.2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got, want, rtol=1e-9)
+    assert peak < 110 * len(at)
