@@ -284,6 +284,10 @@ def _valid_pair(pair) -> tuple[int, float]:
 # --- Spark ML scorer --------------------------------------------------------
 
 
+#: Rows of a task that fits a scorer; trees hold some 120 kB of a row.
+TRAINING_ROWS = 4096
+
+
 def train_scorer(
     labelled: DataFrame,
     text: str = "text",
@@ -308,6 +312,9 @@ def train_scorer(
     rows = labelled.select(tokenize(F.col(text)).alias("_tokens"), F.col(label).cast("double").alias("label")).dropna()
     # Written once: the fit reads the term frequencies many times.
     vectors = materialise(hashing.transform(rows).select("_tf", "label"))
+    # How they were written says nothing of how many rows a task gets to read in every round of the fit.
+    if (parts := -(-vectors.count() // TRAINING_ROWS)) > 1:
+        vectors = vectors.repartition(max(parts, labelled.sparkSession.sparkContext.defaultParallelism))
     fitted = Pipeline(stages=[IDF(inputCol="_tf", outputCol="features"), head]).fit(vectors)
     # Stored and loaded again: a model fresh from its fit holds a summary of the training, and with it the
     # session, so tasks can't be sent the model once something in the session (an observation, say) isn't serialisable.

@@ -4,6 +4,7 @@ import time
 import pytest
 from pyspark.sql import Observation, functions as F
 
+from agoralens.operators import scoring
 from agoralens.operators.filters import min_tokens, positives
 from agoralens.operators.projections import with_clean_text
 from agoralens.operators.scoring import BatchScorer, Lexicon, LexiconTable, score_posts, train_scorer
@@ -202,3 +203,17 @@ def test_fitted_scorer_works_in_a_session_that_has_observed(spark):
     model = train_scorer(spark.createDataFrame(texts, "text string, label int"), features=1 << 10)
     rows = collected(score_posts(posts(spark, [t for t, _ in texts[:2]]), model))
     assert [r.prediction for r in rows] == [0, 1]
+
+
+@pytest.mark.parametrize("classifier", ["logistic", "gbt"])
+def test_a_task_of_a_fit_reads_a_bounded_number_of_rows(spark, monkeypatch, classifier):
+    """However the rows lie in files: here all in one."""
+    seen, fit = [], scoring.Pipeline.fit
+    monkeypatch.setattr(scoring, "TRAINING_ROWS", 8)
+    monkeypatch.setattr(scoring.Pipeline, "fit", lambda self, rows: seen.extend(rows.groupBy(F.spark_partition_id()).count().collect()) or fit(self, rows))
+    texts = [(f"good fine {words(12)}", 0), (f"awful gloom {words(12)}", 1)] * 40
+    labelled = spark.createDataFrame(texts, "text string, label int").coalesce(1)
+    model = train_scorer(labelled, classifier=classifier, features=1 << 10)
+    assert sum(r["count"] for r in seen) == 80 and max(r["count"] for r in seen) <= 9
+    rows = collected(score_posts(posts(spark, [t for t, _ in texts[:2]]), model))
+    assert [r.prediction for r in rows] == [0, 1]
