@@ -155,3 +155,16 @@ def test_processing_time_is_utc_in_any_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert abs(dt.datetime.fromisoformat(moment) - dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)) < dt.timedelta(minutes=5)
+
+
+def test_a_batch_of_one_file_is_shared_by_all_cores(spark, tmp_path, monkeypatch):
+    """Before, a file was a task; and a batch of few posts was numbered in as many ranges as shuffles have partitions."""
+    seen, real = [], st.count_window
+    monkeypatch.setattr(st, "count_window", lambda *args: seen.append(args[5:]) or real(*args))
+    write_posts(spark, str(tmp_path / "many"), 0, 300)
+    spark.read.parquet(str(tmp_path / "many")).coalesce(1).write.parquet(str(tmp_path / "posts"))
+    run(spark, tmp_path, scorer(spark)[0], max_files=1)
+    found = st.read_silver(spark, str(tmp_path / "silver"), st.SCORED)
+    shares = [r["count"] for r in found.groupBy(F.input_file_name()).count().collect()]
+    assert len(shares) == spark.sparkContext.defaultParallelism and max(shares) < 2 * sum(shares) / len(shares)
+    assert seen == [(1,)]
