@@ -27,8 +27,10 @@ TOLERANCE, WALKS, BLOCK_WORDS = 0.2, 6, 200_000
 SAMPLED = {1: (0,), 2: (0, 1, 2), 3: (0, 2, 3, 4, 6), 4: (0, 2, 4, 7, 9)}
 
 _OUTSIDE = np.uint64(1)
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+_FACTOR, _ODD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 _BITMAP_BITS = 20
+#: Bits of the hash by which a block knows which words its items have.
+_WORD_BITS = 22
 
 #: Letters lower-cased, other ASCII than letters and digits as blanks.
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -83,9 +85,15 @@ def edits(words: np.ndarray, lows: np.ndarray, highs: np.ndarray, items: list[np
     return best
 
 
+def _place(words: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """A hash of word and item, of _WORD_BITS bits."""
+    return ((words ^ (items.astype(np.uint64) * _FACTOR)) * _ODD) >> np.uint64(64 - _WORD_BITS)
+
+
 @dataclass
 class Block:
-    """Items of one pass over the documents. `tables`: of a walk and class a bitmap of the keys, the keys in order, item and place of each."""
+    """Items of one pass over the documents. `tables`: of a walk and class a bitmap of the keys, the keys in order, item and place of each.
+    `holds`: a bitmap of items and their words."""
 
     ids: list[int]
     words: np.ndarray
@@ -93,6 +101,16 @@ class Block:
     sizes: np.ndarray
     allowed: np.ndarray
     tables: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    holds: np.ndarray
+
+    def possible(self, words: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Whether words[begin:end] has so many words of the item that the others may be edits: each of an item's words
+        that stays is a word there."""
+        n = np.maximum(end - begin, 0)
+        before = np.cumsum(n) - n
+        at = np.repeat(begin - before, n) + np.arange(n.sum())
+        hits = np.concatenate([[0], np.cumsum(self.holds[_place(words[at], np.repeat(item, n))])])
+        return hits[before + n] - hits[before] >= self.sizes[item] - self.allowed[item]
 
     def candidates(self, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts of windows and items that share a key; a start may lie before its text."""
@@ -119,6 +137,8 @@ class Block:
             size, allowed, low = self.sizes[item], self.allowed[item], np.maximum(start, first[text])
             begin = np.maximum(start - allowed, first[text])
             end = np.minimum(np.maximum(start, first[text]) + size + allowed, first[text + 1])
+            may = self.possible(words, begin, end, item)
+            item, text, allowed, low, begin, end = (x[may] for x in (item, text, allowed, low, begin, end))
             cost = edits(words, begin, end, [self.words[self.begins[i] : self.begins[i] + self.sizes[i]] for i in item])
             good = cost <= allowed
             out.append(np.stack([text, item, low - first[text], cost.astype(np.int64)])[:, good])
@@ -160,7 +180,9 @@ def block(items: list[tuple[int, str]], tolerance: float) -> Block:
             bitmap = np.zeros(1 << _BITMAP_BITS, dtype=bool)
             bitmap[key[chosen] >> np.uint64(64 - _BITMAP_BITS)] = True
             tables[walk, c] = bitmap, key[chosen], item[chosen], offset[chosen]
-    return Block(ids, words, begins, sizes, allowed, tables)
+    holds = np.zeros(1 << _WORD_BITS, dtype=bool)
+    holds[_place(words, item)] = True
+    return Block(ids, words, begins, sizes, allowed, tables, holds)
 
 
 def blocks(items: DataFrame, tolerance: float = TOLERANCE) -> Iterator[Block]:

@@ -75,3 +75,24 @@ def test_keys_are_those_of_a_plain_walk():
                 assert got[c][1][k] == (last < ends[k])
                 read[k] = tuple(out)
             assert len(set(zip(read.values(), got[c][0].tolist()))) == len(set(read.values())) == len(set(got[c][0].tolist()))
+
+
+def test_windows_that_lack_words_are_not_aligned(monkeypatch):
+    """A window with a run of an item's words, but not enough of the others, can't be an item; the best windows stay the same."""
+    rng = random.Random(7)
+    item = [f"w{k}" for k in range(40)]
+    texts = [" ".join([f"x{rng.randrange(500)}" for _ in range(30)] + item[k : k + 10] + [f"y{rng.randrange(500)}" for _ in range(60)]) for k in range(30)]
+    near = item.copy()
+    near[3], near[20:22] = "other", ["w21", "w20"]
+    texts += [" ".join(["a", "b", *near, "c"]), " ".join(item[5:37])]
+    block, aligned, real = dc.block([(9, " ".join(item))], 0.2), [], dc.edits
+    monkeypatch.setattr(dc, "edits", lambda words, lows, highs, items: aligned.append(len(lows)) or real(words, lows, highs, items))
+    rows = [tuple(int(x) for x in r) for r in zip(*dc._searched(texts, block), strict=True)]
+    assert [(t, cost) for t, _, _, cost in rows] == [(30, 3), (31, 8)]
+    assert len(block.candidates(*dc_words(texts))[0]) > 2 * sum(aligned)
+
+
+def dc_words(texts):
+    """The words of the texts, and for each where its text ends."""
+    words, of = dc.word_hashes([dc.normalised(t) for t in texts])
+    return words, np.searchsorted(of, np.arange(len(texts) + 1))[of + 1]
