@@ -284,7 +284,7 @@ def _valid_pair(pair) -> tuple[int, float]:
 # --- Spark ML scorer --------------------------------------------------------
 
 
-#: Rows of a task that fits a scorer; trees hold some 120 kB of a row.
+#: Rows of a task that fits a scorer; trees hold some 50 kB of a row.
 TRAINING_ROWS = 4096
 
 
