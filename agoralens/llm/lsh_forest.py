@@ -4,12 +4,13 @@ A signature is sorted under several orders, each starting at other values.
 Documents next to each other in an order share its longest prefixes, so the
 prefix depth adapts to how dense a region is. Candidates are confirmed on full
 shingle sets. Where a region is denser than the neighbours looked at, its
-documents are compared by their rarest shingles, which loses no link.
+documents that share rare shingles are compared on full sets inside tasks, which
+loses no link.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,8 @@ ORDERS, DEPTH, LEAST, NEIGHBOURS = 24, 10, 5, 4
 
 _SIZE = ORDERS * LEAST
 _FACTORS = np.random.default_rng(6).integers(0, 2**63, _SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Rows of a block of a bucket.
-BUCKET = 2048
+#: Rows of a block of a bucket, and shingles where sets are compared.
+BUCKET, BLOCK_SHINGLES = 2048, 1 << 20
 #: 64-bit words of the bits that a set's shingles set.
 BIT_WORDS = 16
 #: Bits kept of a shingle's hash; the others number the texts of a batch while it is sorted.
@@ -234,80 +235,166 @@ def across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return joined.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
-def rare_pairs(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Every pair of `sets` in two components that can reach the similarity.
+def rare_links(sets: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of `sets` that join all components which any link of theirs joins.
 
     Two sets that similar share a shingle among the rarest
     size - ceil(percent * size / 100) + 1 of each. Shingles held by one
     component only come first in that order and can't join two components.
-    Documents meet in the buckets of these shingles, where a task compares them
-    and puts out only the pairs that sizes and bits don't rule out. A large bucket
-    is cut into blocks, so that a task holds 2 * BUCKET rows at most.
+    Documents meet in the buckets of these shingles. What sizes and bits don't
+    rule out there connects components to clumps, and the documents of a clump
+    are compared on their sets. A task puts out fewer rows than it reads in both
+    steps, however many pairs it compares: those that connect what isn't yet.
     """
-    held = sets.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    held = materialise(sets.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id")).withColumn("size", F.size("shingles")))
     flat = held.select("doc_id", "root", F.explode("shingles").alias("shingle"))
     shared = flat.groupBy("shingle").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high"))
     shared = shared.filter("low <> high").select("shingle", "df")
     listed = flat.join(shared, "shingle").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("s"))
-    listed = held.select("doc_id", "root", F.size("shingles").alias("size"), "bits").join(listed, "doc_id")
+    listed = held.select("doc_id", "root", "size", "bits").join(listed, "doc_id")
     lead = F.col("size") - F.ceil(F.lit(percent) * F.col("size") / 100) + 1
     take = F.greatest(F.lit(0), (lead - (F.col("size") - F.size("s"))).cast("int"))
     rare = listed.select("doc_id", "root", "size", "bits", F.explode(F.slice("s", F.lit(1), take)).alias("e"))
-    rare = materialise(rare.select("doc_id", "root", "size", "bits", "e.shingle"))
-    met = rare.groupBy("shingle").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    blocks = F.expr(f"int((n + {BUCKET - 1}) div {BUCKET})")
-    buckets = materialise(met.select("shingle", blocks.alias("blocks")))
-    # A shingle of several blocks has a cell for each two of them, and each row goes to the cells of its block.
-    own = rare.join(buckets, "shingle").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    cells = own.select("shingle", "block", "doc_id", "root", "size", "bits", other)
-    cells = cells.select("shingle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "root", "size", "bits")
-    dealt = cells.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "root")
-    return dealt.mapInArrow(_meeting(percent), "a bigint, b bigint").distinct()
+    rare = materialise(rare.select("doc_id", "root", "size", "bits", F.col("e.shingle").alias("bucket")))
+    met = rare.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
+    met = materialise(met.select("bucket", _blocks(F.col("n"), BUCKET).alias("blocks")))
+    possible_ = _dealt(rare.join(met, "bucket")).mapInArrow(_meeting(percent), "a bigint, b bigint").distinct()
+    clumps = components(possible_).select(F.col("doc_id").alias("root"), F.col("root").alias("bucket"))
+    members = materialise(held.join(clumps, "root").select("doc_id", "root", "size", "bits", "bucket", "shingles"))
+    large = members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("total"))
+    large = large.select("bucket", F.greatest(_blocks(F.col("n"), BUCKET), _blocks(F.col("total"), BLOCK_SHINGLES)).alias("blocks"))
+    return _dealt(members.join(large, "bucket")).mapInArrow(_linked(percent), "a bigint, b bigint")
+
+
+def _blocks(n: Column, most: int) -> Column:
+    return F.ceil(n / most).cast("int")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The cells of `rows`, each whole in one partition and sorted by root.
+
+    A bucket of several blocks has a cell for each two of them, and each row goes to the cells of its block.
+    """
+    own = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int"))
+    cells = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
+    return cells.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "root")
+
+
+def _cells(rows: pa.Table) -> np.ndarray:
+    return np.stack([rows[c].to_numpy() for c in ("bucket", "i", "j")])
+
+
+def _words(rows: pa.Table) -> np.ndarray:
+    return rows["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BIT_WORDS)
+
+
+def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = np.sort(np.array(found, dtype=np.int64).reshape(-1, 2), axis=1).T
+    return pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
+
+
+def _whole_cells(links: Callable[[pa.Table], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`links` of the rows that follow each other, cells never cut."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
+            cell = _cells(rows)
+            differ = np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0))
+            last = int(differ[-1]) + 1 if len(differ) else 0
+            if last:
+                yield links(rows.slice(0, last))
+            rest = rows.slice(last)
+        if rest is not None and len(rest):
+            yield links(rest)
+
+    return run
 
 
 def _meeting(percent: int):
-    """Pairs of rows of one cell that sizes and bits don't rule out, in two components and, in a cell of two blocks, of both."""
+    """Pairs of components that connect, cell by cell, all components with rows that sizes and bits don't rule out; in a cell of two blocks, rows of both."""
 
-    def pairs(rows: pa.Table) -> pa.RecordBatch:
-        cell = np.stack([rows[c].to_numpy() for c in ("shingle", "i", "j")])
-        block, ids, root, size = (rows[c].to_numpy() for c in ("block", "doc_id", "root", "size"))
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        cell, bits = _cells(rows), _words(rows)
+        block, root, size = (rows[c].to_numpy() for c in ("block", "root", "size"))
         one = cell[1] == cell[2]
-        bits = rows["bits"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BIT_WORDS)
         edges = np.flatnonzero(np.r_[True, (cell[:, 1:] != cell[:, :-1]).any(axis=0), True])
         end = np.repeat(edges[1:], np.diff(edges))
         # Rows of a component stand together, so each row is compared with those behind its component.
         runs = np.flatnonzero(np.r_[True, (cell[:, 1:] != cell[:, :-1]).any(axis=0) | (root[1:] != root[:-1]), True])
         behind = np.repeat(runs[1:], np.diff(runs))
-        at, found = np.arange(len(ids)), []
+        above = np.repeat(runs[:-1], np.diff(runs))  # a row that this one is connected with, in the end the first of all
+        at, found = np.arange(len(root)), []
         for d in range(int(np.diff(edges).max(initial=0))):
             at = at[behind[at] + d < end[at]]
             if not len(at):
                 break
             x, y = at, behind[at] + d
-            near = one[x] | (block[x] != block[y])
+            near = (above[x] != above[y]) & (one[x] | (block[x] != block[y]))
             near &= 100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])
             x, y = x[near], y[near]
             unlike = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
-            close = (100 + percent) * unlike <= (100 - percent) * (size[x] + size[y]).astype(np.int64)
-            found.append(np.stack([ids[x[close]], ids[y[close]]]))
-        a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), dtype=np.int64)
-        return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            rows = pa.Table.from_batches([batch] if rest is None else [*rest.to_batches(), batch])
-            cell = np.stack([rows[c].to_numpy() for c in ("shingle", "i", "j")])
-            differ = np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0))
-            last = int(differ[-1]) + 1 if len(differ) else 0
-            if last:
-                yield pairs(rows.slice(0, last))
-            rest = rows.slice(last)
-        if rest is not None and len(rest):
-            yield pairs(rest)
+            close = (100 + percent) * unlike <= (100 - percent) * (size[x].astype(np.int64) + size[y])
+            before = len(found)
+            for p, q in zip(x[close].tolist(), y[close].tolist()):
+                tops = []
+                for v in (p, q):
+                    while above[v] != v:
+                        v = above[v]
+                    tops.append(v)
+                if tops[0] != tops[1]:
+                    above[max(tops)] = min(tops)
+                    found.append((root[p], root[q]))
+            while len(found) > before and (above[above] != above).any():
+                above = above[above]
+        return _links(found)
+
+    return _whole_cells(links)
+
+
+def _linked(percent: int):
+    """Links, by full sets, that connect all documents of a cell which its links connect; in a cell of two blocks, links between both."""
+
+    def cell_links(rows: pa.Table) -> list[tuple[int, int]]:
+        bits = _words(rows)
+        block, ids, root, size = (rows[c].to_numpy() for c in ("block", "doc_id", "root", "size"))
+        lists = rows["shingles"].combine_chunks()
+        flat = lists.flatten().to_numpy()
+        begin = np.r_[0, np.cumsum(size, dtype=np.int64)]
+        of = np.unique(flat, return_inverse=True)[1]
+        held = np.zeros(of.max(initial=0) + 1, dtype=bool)
+        two, label, found = rows["i"][0] != rows["j"][0], np.unique(root, return_inverse=True)[1], []
+        for x in range(len(ids) - 1):
+            y = np.arange(x + 1, len(ids))
+            near = label[y] != label[x]
+            if two:
+                near &= block[y] != block[x]
+            y = y[near & (100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x]))]
+            unlike = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64)
+            y = y[(100 + percent) * unlike <= (100 - percent) * (size[y].astype(np.int64) + size[x])]
+            held[of[begin[x] : begin[x + 1]]] = True
+            for part in np.split(y, np.flatnonzero(np.diff(np.cumsum(size[y], dtype=np.int64) // BLOCK_SHINGLES)) + 1):
+                if not len(part):
+                    continue
+                n = size[part].astype(np.int64)
+                first = np.cumsum(n) - n
+                at = np.arange(n.sum()) + np.repeat(begin[part] - first, n)
+                both = np.add.reduceat(held[of[at]], first, dtype=np.int64)
+                for z in part[100 * both >= percent * (n + size[x] - both)].tolist():
+                    if label[z] != label[x]:
+                        label[label == label[z]] = label[x]
+                        found.append((ids[x], ids[z]))
+            held[of[begin[x] : begin[x + 1]]] = False
+        return found
+
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        cell = _cells(rows)
+        edges = np.flatnonzero(np.r_[True, (cell[:, 1:] != cell[:, :-1]).any(axis=0), True])
+        return _links([pair for p, q in zip(edges[:-1].tolist(), edges[1:].tolist()) for pair in cell_links(rows.slice(p, q - p))])
 
-    return run
+    return _whole_cells(links)
 
 
 @scoped
@@ -338,8 +425,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     roots = components(links)
     links = materialise(links.union(confirmed(across(pairs, roots), shingles, percent)))
     roots = components(links)
-    rest = rare_pairs(shingles.join(open_, "doc_id", "left_semi").join(sets.select("doc_id", "bits"), "doc_id"), roots, percent)
-    roots = components(links.union(confirmed(rest, shingles, percent)))
+    rest = rare_links(shingles.join(open_, "doc_id", "left_semi").join(sets.select("doc_id", "bits"), "doc_id"), roots, percent)
+    roots = components(links.union(rest))
     named = sets.select("set_1", "set_2", "doc_id").join(roots, "doc_id", "left")
     named = named.select("set_1", "set_2", F.coalesce("root", "doc_id").alias("root"))
     member = prints.join(named, ["set_1", "set_2"], "left").withColumn(

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -328,3 +329,33 @@ def test_pipeline_with_null_and_repeated_ids(spark, frame):
     left = corpus_pipeline.decontamination(spark, left, SF)
     assert Counter((r.doc_id, r.text) for r in left.collect()) == want
     assert Counter(r.doc_id for r in corpus_pipeline.pack(spark, left, SF).collect()) == Counter(i for i, _ in want)
+
+
+def test_tasks_put_out_fewer_rows_than_they_read():
+    """Not each pair of a dense bucket: what connects it. Here all rows look alike, but no two sets are similar enough."""
+    n, words = 300, lsh_forest.BIT_WORDS
+    sets = [[*range(70), *range(1000 + 30 * k, 1030 + 30 * k)] for k in range(n)]
+    columns = {"bucket": [7] * n, "i": [0] * n, "j": [0] * n, "block": [0] * n, "doc_id": range(n), "root": range(n), "size": [100] * n, "bits": [[0] * words] * n, "shingles": sets}
+    batch = pa.RecordBatch.from_pydict({c: pa.array(v) for c, v in columns.items()})
+    met = list(lsh_forest._meeting(80)(iter([batch.slice(0, 100), batch.slice(100)])))
+    assert sum(b.num_rows for b in met) == n - 1 and {x for b in met for c in b.columns for x in c.to_pylist()} == set(range(n))
+    assert sum(b.num_rows for b in lsh_forest._linked(80)(iter([batch]))) == 0
+    assert sum(b.num_rows for b in lsh_forest._linked(50)(iter([batch]))) == n - 1
+
+
+@pytest.mark.parametrize("rows_of_block", [7, 2048])
+def test_dense_group_in_blocks_equals_brute_force(frame, monkeypatch, rows_of_block):
+    """Many pairs just below the threshold and some above, in buckets and clumps of several blocks."""
+    monkeypatch.setattr(lsh_forest, "BUCKET", rows_of_block)
+    rng = random.Random(12)
+    base = [rng.choice(WORDS) + rng.choice(WORDS) + str(k) for k in range(80)]
+    rows = []
+    for k in range(90):
+        words = base.copy()
+        for at in rng.sample(range(80), rng.randrange(1, 5)):
+            words[at] = f"x{rng.randrange(30)}"
+        rows.append((k, " ".join(words)))
+    want = jaccard_classes(rows, 2, 80)
+    assert 5 < len({root for _, root in want.values()}) < 80
+    got = lsh_forest.near_duplicates(frame(rows), 2, 80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
