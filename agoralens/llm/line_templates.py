@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from agoralens.session import materialise
+from agoralens.session import materialise, scoped
 
 #: Words of a line that may be dropped, leading words, different lines of a template, least share of the other positions that isn't masked.
 LEAST_WORDS, LEADING, VARIANTS, AGREE = 4, 3, 3, 0.7
@@ -96,9 +96,10 @@ def templates(forms: DataFrame) -> DataFrame:
     return best.select("leaf", "own", "key").join(best.groupBy("leaf", "key").agg(F.min("first").alias("first")), ["leaf", "key"]).select("leaf", "own", "first")
 
 
+@scoped
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, of, pos of the lines to drop. The texts are parsed once."""
-    lines = materialise(parsed(docs))
+    """doc_id, of, pos of the lines to drop, written. The texts are parsed once, and the parsed lines gone at the end."""
+    lines = materialise(parsed(docs), compression="zstd")
     place = F.struct("doc_id", "pos", "of")
     own = materialise(lines.groupBy("leaf", "own").agg(F.min("of").alias("low"), F.max("of").alias("high"), F.min(place).alias("first")))
     wide = own.groupBy("leaf").agg(F.count("*").alias("variants"), F.min("low").alias("low"), F.max("high").alias("high"))
@@ -108,7 +109,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     recurring = own.filter("low <> high").select("leaf", "own", "first")
     recurring = recurring.join(found.select("leaf", "own"), ["leaf", "own"], "left_anti").union(found)
     gone = lines.select("doc_id", "of", "pos", "leaf", "own").join(materialise(recurring), ["leaf", "own"])
-    return gone.filter(~F.col("first").eqNullSafe(place)).select("doc_id", "of", "pos")
+    return materialise(gone.filter(~F.col("first").eqNullSafe(place)).select("doc_id", "of", "pos"))
 
 
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ import pytest
 
 import corpus_pipeline
 from agoralens.llm import decontaminate, divergence, factorisation, language_crf, licenses, line_templates, lsh_forest, queries, url_templates
+from agoralens.session import input_files, shared_dir
+from agoralens.sources import files
 
 SF = "/root/testdata/sf0.001"
 WORDS = [a + b for a in ("ba", "ko", "ri", "tu", "se", "mo") for b in ("la", "ne", "vi", "po", "da", "ru")]
@@ -359,3 +361,14 @@ def test_dense_group_in_blocks_equals_brute_force(frame, monkeypatch, rows_of_bl
     assert 5 < len({root for _, root in want.values()}) < 80
     got = lsh_forest.near_duplicates(frame(rows), 2, 80).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_stages_leave_only_what_their_results_read(spark):
+    """Parsed lines and fingerprints, as large as the texts, would fill the disk of the stages behind."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for stage, most in ((corpus_pipeline.line_dedup, 1), (corpus_pipeline.near_dedup, 2)):
+        before = set(files.names(spark, shared_dir(spark)))
+        out = stage(spark, docs, SF)
+        left, read = set(files.names(spark, shared_dir(spark))) - before, input_files(out)
+        assert 0 < len(left) <= most and all(any(f"/{p}/" in f for f in read) for p in left)
+        assert out.count() > 0
