@@ -28,6 +28,8 @@ _FACTORS = np.random.default_rng(6).integers(0, 2**63, _SIZE, dtype=np.uint64) *
 BUCKET, BLOCK_SHINGLES = 2048, 1 << 20
 #: 64-bit words of the bits that a set's shingles set.
 BIT_WORDS = 16
+#: Bits of a filter of ids: 8 MB, however many ids there are.
+FILTER_BITS = 1 << 26
 #: Bits kept of a shingle's hash; the others number the texts of a batch while it is sorted.
 _KEPT = np.uint64(50)
 _PRINTS = "doc_id bigint, n_shingles bigint, set_1 bigint, set_2 bigint, signature binary, bits array<bigint>"
@@ -80,8 +82,8 @@ def _may_reach(percent: int, size_a: str, size_b: str, bits_a: str, bits_b: str)
 
 
 def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs that their sizes and bits don't rule out."""
-    left, right = (sets.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
+    """The pairs that their sizes and bits don't rule out. `sets` grows with the documents, so it is never broadcast."""
+    left, right = (sets.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")).hint("merge") for c in "ab")
     return pairs.join(left, "a").join(right, "b").filter(_may_reach(percent, "n_a", "n_b", "bits_a", "bits_b")).select(pairs.columns)
 
 
@@ -172,10 +174,25 @@ def neighbours(sets: DataFrame, ratio: float) -> DataFrame:
     return ordered.mapInArrow(run, "a bigint, b bigint, common int")
 
 
+def may_hold(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `docs` whose id is in `ids`, and few others as long as the filter's bits are many more than the ids."""
+
+    def bit_of(rows: DataFrame, *columns: str) -> DataFrame:
+        bit = 1 + F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+        return rows.select(*columns, F.bitmap_bucket_number(bit).alias("_bucket"), F.bitmap_bit_position(bit).alias("_at"))
+
+    # Dealt by bucket first: a bucket's bits are made once, not in every task.
+    known = bit_of(ids.filter("doc_id is not null")).repartition("_bucket").groupBy("_bucket").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    asked = bit_of(docs.filter("doc_id is not null"), *docs.columns).join(F.broadcast(known), "_bucket")
+    return asked.filter(F.getbit(byte, F.col("_at") % 8) == 1).select(docs.columns)
+
+
 def shingle_rows(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     """doc_id, its distinct shingles, for the documents in `ids` only, each id once.
 
-    Texts are shuffled, not the sets, which are larger. `ids` grows with the documents, so it is never broadcast.
+    Texts are shuffled, not the sets, which are larger, and hardly any text that isn't asked for. `ids` grows with the
+    documents, so it is never broadcast.
     """
     arrow_ready(docs.sparkSession)
 
@@ -185,14 +202,16 @@ def shingle_rows(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(values.view(np.int64)))
             yield pa.record_batch([batch.column(0), lists], ["doc_id", "shingles"])
 
-    wanted = docs.select(F.col("doc_id").cast("long"), "text").join(ids.select("doc_id").hint("merge"), "doc_id", "left_semi")
+    asked = may_hold(docs.select(F.col("doc_id").cast("long"), "text"), ids)
+    # A semi-join would be moved below the filter, and shuffle all texts.
+    wanted = asked.join(ids.select("doc_id").hint("merge"), "doc_id")
     return wanted.dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id bigint, shingles array<bigint>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
+    """The pairs (a, b) whose sets have 100 * intersection >= percent * union. `sets` grows with the documents, so it is never broadcast."""
+    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")).hint("merge")
+    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")).hint("merge")
     both = F.size(F.array_intersect("set_a", "set_b"))
     either = F.size("set_a") + F.size("set_b") - both
     return pairs.join(left, "a").join(right, "b").filter(100 * both >= percent * either).select("a", "b")
@@ -417,15 +436,15 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     pairs = found.filter("b is not null").groupBy("a", "b").agg(F.max("common").alias("common"))
     pairs = materialise(possible(pairs, sets, percent))
     open_ = materialise(found.filter("b is null").select(F.col("a").alias("doc_id")).distinct())
-    ids = pairs.select("a").union(pairs.select("b")).union(open_).distinct()
-    shingles = materialise(shingle_rows(docs, ids.withColumnRenamed("a", "doc_id"), n))
+    ids = materialise(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(open_).distinct())
+    shingles = materialise(shingle_rows(docs, ids, n))
     ends = F.array(F.struct(F.col("a").alias("v"), F.col("b").alias("w")), F.struct(F.col("b").alias("v"), F.col("a").alias("w")))
     best = pairs.select("common", F.explode(ends).alias("e")).groupBy("e.v").agg(F.max_by("e.w", F.struct("common", F.xxhash64("e.w"))).alias("w"))
     links = materialise(confirmed(best.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct(), shingles, percent))
     roots = components(links)
     links = materialise(links.union(confirmed(across(pairs, roots), shingles, percent)))
     roots = components(links)
-    rest = rare_links(shingles.join(open_, "doc_id", "left_semi").join(sets.select("doc_id", "bits"), "doc_id"), roots, percent)
+    rest = rare_links(shingles.join(open_, "doc_id", "left_semi").join(sets.select("doc_id", "bits").hint("merge"), "doc_id"), roots, percent)
     roots = components(links.union(rest))
     named = sets.select("set_1", "set_2", "doc_id").join(roots, "doc_id", "left")
     named = named.select("set_1", "set_2", F.coalesce("root", "doc_id").alias("root"))

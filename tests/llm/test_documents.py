@@ -12,7 +12,7 @@ import pytest
 
 import corpus_pipeline
 from agoralens.llm import decontaminate, divergence, factorisation, language_crf, licenses, line_templates, lsh_forest, queries, url_templates
-from agoralens.session import input_files, shared_dir
+from agoralens.session import input_files, materialise, shared_dir
 from agoralens.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -372,3 +372,23 @@ def test_stages_leave_only_what_their_results_read(spark):
         left, read = set(files.names(spark, shared_dir(spark))) - before, input_files(out)
         assert 0 < len(left) <= most and all(any(f"/{p}/" in f for f in read) for p in left)
         assert out.count() > 0
+
+
+def test_texts_that_no_one_asks_for_are_not_shuffled(spark, frame, plan_of):
+    docs = frame([(k, f"some words of text {k}") for k in range(3000)] + [(None, "x y")]).select("doc_id", "text")
+    ids = spark.createDataFrame([(k,) for k in range(0, 3000, 100)], "doc_id bigint")
+    held = {r.doc_id for r in lsh_forest.may_hold(docs, ids).collect()}
+    assert held >= set(range(0, 3000, 100)) and len(held) < 40 and None not in held
+    assert lsh_forest.may_hold(docs, ids.filter("doc_id < 0")).count() == 0
+    rows = lsh_forest.shingle_rows(docs, ids, 2)
+    assert sorted(r.doc_id for r in rows.collect()) == list(range(0, 3000, 100))
+    plan = plan_of(rows)
+    shuffled = plan[plan.index("SortMergeJoin") :]
+    assert shuffled.index("Exchange hashpartitioning(doc_id") < shuffled.index("BroadcastHashJoin")
+
+
+def test_sets_are_joined_alike_at_every_size(spark, plan_of):
+    sets = spark.createDataFrame([(k, 3, [0] * lsh_forest.BIT_WORDS, [1, 2, 3]) for k in (1, 2)], "doc_id bigint, n_shingles bigint, bits array<bigint>, shingles array<bigint>")
+    sets, pairs = materialise(sets), materialise(spark.createDataFrame([(1, 2)], "a bigint, b bigint"))
+    for found in (lsh_forest.possible(pairs, sets, 80), lsh_forest.confirmed(pairs, sets, 80)):
+        assert "BroadcastHashJoin" not in plan_of(found) and found.collect() == [(1, 2)]
