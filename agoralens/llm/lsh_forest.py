@@ -174,18 +174,16 @@ def neighbours(sets: DataFrame, ratio: float) -> DataFrame:
     return ordered.mapInArrow(run, "a bigint, b bigint, common int")
 
 
-def may_hold(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of `docs` whose id is in `ids`, and few others as long as the filter's bits are many more than the ids."""
-
-    def bit_of(rows: DataFrame, *columns: str) -> DataFrame:
-        bit = 1 + F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-        return rows.select(*columns, F.bitmap_bucket_number(bit).alias("_bucket"), F.bitmap_bit_position(bit).alias("_at"))
-
+def marked(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """`rows` and `_asked`: true if `key` is in `ids`, and hardly ever else as long as the filter's bits are many more than the ids."""
+    bit = 1 + F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+    bucket, at = F.bitmap_bucket_number(bit).alias("_bucket"), F.bitmap_bit_position(bit)
     # Dealt by bucket first: a bucket's bits are made once, not in every task.
-    known = bit_of(ids.filter("doc_id is not null")).repartition("_bucket").groupBy("_bucket").agg(F.bitmap_construct_agg("_at").alias("_bits"))
-    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    asked = bit_of(docs.filter("doc_id is not null"), *docs.columns).join(F.broadcast(known), "_bucket")
-    return asked.filter(F.getbit(byte, F.col("_at") % 8) == 1).select(docs.columns)
+    known = ids.filter(F.col(key).isNotNull()).select(bucket, at.alias("_at")).repartition("_bucket")
+    known = known.groupBy("_bucket").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    asked = F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False)) & F.col(key).isNotNull()
+    return rows.select("*", bucket).join(F.broadcast(known), "_bucket", "left").select(*rows.columns, asked.alias("_asked"))
 
 
 def shingle_rows(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -202,7 +200,7 @@ def shingle_rows(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(values.view(np.int64)))
             yield pa.record_batch([batch.column(0), lists], ["doc_id", "shingles"])
 
-    asked = may_hold(docs.select(F.col("doc_id").cast("long"), "text"), ids)
+    asked = marked(docs.select(F.col("doc_id").cast("long"), "text"), ids, "doc_id").filter("_asked").drop("_asked")
     # A semi-join would be moved below the filter, and shuffle all texts.
     wanted = asked.join(ids.select("doc_id").hint("merge"), "doc_id")
     return wanted.dropDuplicates(["doc_id"]).mapInArrow(run, "doc_id bigint, shingles array<bigint>")

@@ -377,9 +377,9 @@ def test_stages_leave_only_what_their_results_read(spark):
 def test_texts_that_no_one_asks_for_are_not_shuffled(spark, frame, plan_of):
     docs = frame([(k, f"some words of text {k}") for k in range(3000)] + [(None, "x y")]).select("doc_id", "text")
     ids = spark.createDataFrame([(k,) for k in range(0, 3000, 100)], "doc_id bigint")
-    held = {r.doc_id for r in lsh_forest.may_hold(docs, ids).collect()}
+    held = {r.doc_id for r in lsh_forest.marked(docs, ids, "doc_id").collect() if r._asked}
     assert held >= set(range(0, 3000, 100)) and len(held) < 40 and None not in held
-    assert lsh_forest.may_hold(docs, ids.filter("doc_id < 0")).count() == 0
+    assert [r._asked for r in lsh_forest.marked(docs, ids.filter("doc_id < 0"), "doc_id").collect()] == [False] * 3001
     rows = lsh_forest.shingle_rows(docs, ids, 2)
     assert sorted(r.doc_id for r in rows.collect()) == list(range(0, 3000, 100))
     plan = plan_of(rows)
@@ -392,3 +392,34 @@ def test_sets_are_joined_alike_at_every_size(spark, plan_of):
     sets, pairs = materialise(sets), materialise(spark.createDataFrame([(1, 2)], "a bigint, b bigint"))
     for found in (lsh_forest.possible(pairs, sets, 80), lsh_forest.confirmed(pairs, sets, 80)):
         assert "BroadcastHashJoin" not in plan_of(found) and found.collect() == [(1, 2)]
+
+
+def test_near_dedup_shuffles_only_texts_that_may_go(spark, frame):
+    """Whatever Spark would broadcast by itself."""
+    near = [(k, " ".join(f"w{k}x{j}" for j in range(30))) for k in range(1, 60)]
+    docs = frame([*near, (100, near[0][1]), (None, near[1][1]), (2, near[1][1]), (None, None), (None, "")])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.near_dedup(spark, docs, "")
+        assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == sorted([*near, (0, ""), (0, "")])
+        assert _rows_shuffled_with(out, "doc") < 10
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def _rows_shuffled_with(df, column):
+    """Rows of the shuffles that carry `column`, by the counts in the plan that ran."""
+    n, stack = 0, [df._jdf.queryExecution().executedPlan()]
+    while stack:
+        node = stack.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            stack.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            stack.append(node.plan())
+        if kind == "ShuffleExchangeExec" and any(node.output().apply(k).name() == column for k in range(node.output().size())):
+            n += node.metrics().apply("shuffleRecordsWritten").value()
+        children = node.children()
+        stack += [children.apply(k) for k in range(children.size())]
+    return n
