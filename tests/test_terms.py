@@ -6,6 +6,7 @@ import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,3 +147,47 @@ def test_a_block_is_fitted_in_batches_that_stay_small(monkeypatch):
     tracemalloc.stop()
     assert np.allclose(got, want, rtol=1e-9)
     assert peak < 110 * len(at)
+
+
+def test_blocks_of_a_group_are_fitted_on_their_own(spark):
+    """A task gets the parameters of a group's terms once, and each block stops by its own documents."""
+    rng = np.random.default_rng(7)
+    docs = [(int(b), rng.choice(60, 20, replace=False).astype(np.int64)) for b in [4, 2, 4, 2, 2, 4, 4]]
+    sent = {"id": np.arange(60)[::-1].copy(), **{c: rng.gamma(1, 1, 60) + 0.2 for c in ("l0", "l1", "l2")}}
+    totals, order = np.array([60.0, 70.0, 80.0]), np.argsort(sent["id"])
+    beta = tp.expected(np.stack([sent[c] for c in ("l0", "l1", "l2")], axis=1)[order], totals)
+    want = np.zeros_like(beta)
+    for block in (2, 4):
+        mine = [i for b, i in docs if b == block]
+        want += tp.document_step(20 * np.arange(len(mine)), np.concatenate(mine), np.ones(20 * len(mine)), beta, 1 / 3)
+    table = pa.table({"group": [9] * len(docs), "block": [b for b, _ in docs], "ids": [i for _, i in docs], "tfs": pa.array([[1] * 20] * len(docs), pa.list_(pa.int32()))})
+    got = tp._step(["l0", "l1", "l2"], totals, 1 / 3)(table, pa.table(sent))
+    assert got["id"].to_pylist() == list(range(60))
+    assert np.allclose(np.stack([got[c] for c in ("l0", "l1", "l2")], axis=1), want, rtol=1e-9)
+    assert sorted(tp._terms(table)["id"].to_pylist()) == sorted({int(i) for _, d in docs for i in d})
+
+
+def test_groups_go_to_tasks_of_their_own(spark):
+    for n in (1, 2, 23, 300):
+        numbers = tp.spread_numbers(spark, n)
+        parts = spark.createDataFrame([(g,) for g in numbers], "g bigint").repartition(n, "g").select(F.spark_partition_id().alias("p"))
+        assert len(set(numbers)) == n == parts.distinct().count()
+
+
+def test_documents_that_stand_are_left_out_of_the_rounds(monkeypatch):
+    """One document that takes all rounds doesn't make the others go on, and the result is that of all rounds."""
+    rng = np.random.default_rng(11)
+    sure, n = rng.integers(0, 2, 200), 40
+    at = np.r_[np.concatenate([50 * s + rng.choice(50, n, replace=False) for s in sure]), np.arange(100)]
+    starts, tf = np.r_[n * np.arange(200), 200 * n], np.ones(200 * n + 100)
+    beta = np.full((100, 2), 0.001)
+    beta[:50, 0] = beta[50:, 1] = 0.02
+    seen, real = [], tp.shares
+    monkeypatch.setattr(tp, "shares", lambda theta, rows, counts: seen.append(counts.size) or real(theta, rows, counts))
+    monkeypatch.setattr(tp, "TOLERANCE", 0.0)
+    few = tp.document_step(starts, at, tf, beta, 0.5)
+    work = sum(seen)
+    monkeypatch.setattr(tp, "STILL", -1.0)
+    seen.clear()
+    assert np.allclose(few, tp.document_step(starts, at, tf, beta, 0.5), rtol=1e-8)
+    assert work < sum(seen) / 2
