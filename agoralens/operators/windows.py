@@ -50,6 +50,9 @@ def count_window(
     )
     in_range = F.shiftright("_id", ROW_BITS).alias("_range")
     row = F.col("_id").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    window_no = F.expr(f"position div {int(size)}")
+    if partitions == 1:  # nothing comes before the only range
+        return ranged.withColumn("position", row + F.lit(start)).withColumn("window_no", window_no).select(*df.columns, "position", "window_no")
     # One row per range: the window without partition sees `partitions` rows.
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = materialise(
@@ -62,7 +65,7 @@ def count_window(
         ranged.withColumn("_range", in_range)
         .join(offsets, "_range")
         .withColumn("position", F.col("_before") + row + F.lit(start))
-        .withColumn("window_no", F.expr(f"position div {int(size)}"))
+        .withColumn("window_no", window_no)
         .select(*df.columns, "position", "window_no")
     )
 

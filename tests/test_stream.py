@@ -168,3 +168,23 @@ def test_a_batch_of_one_file_is_shared_by_all_cores(spark, tmp_path, monkeypatch
     shares = [r["count"] for r in found.groupBy(F.input_file_name()).count().collect()]
     assert len(shares) == spark.sparkContext.defaultParallelism and max(shares) < 2 * sum(shares) / len(shares)
     assert seen == [(1,)]
+
+
+def test_posts_are_cleaned_once_and_after_they_were_spread(spark, tmp_path, plan_of):
+    """Before, the optimizer moved the threshold, and a cleaning for it, into the one task that reads a file."""
+    write_posts(spark, str(tmp_path / "posts"), 0, 60)
+    posts = spark.read.schema(POSTS).parquet(str(tmp_path / "posts"))
+    eligible = st.eligible_posts(st.spread(posts))
+    plan = plan_of(eligible)
+    behind = plan[plan.index("Exchange") :]
+    assert "regexp" not in behind and plan.count("regexp_extract_all") == 1
+    assert eligible.columns == [*posts.columns, "token_count"]
+    assert same(eligible, min_tokens(with_clean_text(posts)))
+
+
+def test_one_range_is_numbered_without_a_join(spark, plan_of):
+    rows = spark.range(50).select((F.col("id") * 7 % 50).alias("x"), F.lit("t").alias("y"))
+    numbered = count_window(rows, ["x"], 20, start=15, ranges=1)
+    assert "Join" not in plan_of(numbered)
+    assert sorted((r.x, r.position, r.window_no) for r in numbered.collect()) == [(k, k + 15, (k + 15) // 20) for k in range(50)]
+    assert same(numbered, count_window(rows, ["x"], 20, start=15, ranges=4))
