@@ -25,12 +25,12 @@ def once_for_tables(*tables: str):
 
     def wrap(function):
         @lru_cache
-        def made(application: str, sf_dir: str, stamps: tuple):
-            return function(SparkSession.active(), sf_dir)
+        def made(application: str, sf_dir: str, stamps: tuple, *args):
+            return function(SparkSession.active(), sf_dir, *args)
 
-        def call(spark: SparkSession, sf_dir: str):
+        def call(spark: SparkSession, sf_dir: str, *args):
             stamps = tuple(files.stamps(spark, f"{sf_dir}/{t}.parquet") for t in tables)
-            return made(spark.sparkContext.applicationId, sf_dir, stamps)
+            return made(spark.sparkContext.applicationId, sf_dir, stamps, *args)
 
         return call
 
@@ -46,11 +46,10 @@ def lake_root(spark: SparkSession, sf_dir: str) -> str:
 
 
 @once_for_tables("documents", "labels")
-def stored_models(spark: SparkSession, sf_dir: str) -> str:
-    """Scorers of both kinds, fitted on the labelled corpus and stored."""
+def stored_models(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A scorer, logistic or gbt, fitted on the labelled corpus and stored. A query waits for the fit of the one it loads only."""
     root = scratch_path(spark, "models", lasting=True)
-    for name in ("logistic", "gbt"):
-        models.save_model(scoring.train_scorer(fixtures.corpus(spark, sf_dir), classifier=name), root, name)
+    models.save_model(scoring.train_scorer(fixtures.corpus(spark, sf_dir), classifier=name), root, name)
     return root
 
 
@@ -490,10 +489,10 @@ def score_posts_reply(spark, sf_dir):
     return scoring.score_posts(counted(spark, sf_dir), scorer).select(*ORDER, "prediction", "prediction_prob")
 
 
-def _stored_scores(spark, sf_dir, name: str) -> DataFrame:
+def _stored_scores(spark, sf_dir, name: str, posts: DataFrame | None = None) -> DataFrame:
     """Scores of a model that was fitted and stored before, here only loaded."""
-    model = models.load_model(spark, stored_models(spark, sf_dir), name)
-    result = scoring.score_posts(counted(spark, sf_dir), model)
+    model = models.load_model(spark, stored_models(spark, sf_dir, name), name)
+    result = scoring.score_posts(counted(spark, sf_dir) if posts is None else posts, model)
     return result.select(*ORDER, "token_count", F.col("prediction").cast(IntegerType()), "prediction_prob")
 
 
@@ -517,15 +516,16 @@ def _determined(scores: DataFrame, again: DataFrame) -> DataFrame:
 
 @query(_DETERMINED)
 def score_posts_stored(spark, sf_dir):
-    """Posts scored with a stored logistic model, beside the scores of one that is fitted on the spot."""
+    """Posts scored with a stored logistic model, beside the scores of one that is fitted on the spot. Both read the cleaned posts, which are written once."""
     fitted = scoring.train_scorer(fixtures.corpus(spark, sf_dir))
-    return _determined(_stored_scores(spark, sf_dir, "logistic"), scoring.score_posts(counted(spark, sf_dir), fitted))
+    posts = materialise(counted(spark, sf_dir).select(*ORDER, "user_posting", "token_count"))
+    return _determined(_stored_scores(spark, sf_dir, "logistic", posts), scoring.score_posts(posts, fitted))
 
 
 @query(_DETERMINED)
 def score_posts_gbt(spark, sf_dir):
     """Posts scored with stored boosted trees, beside the scores of the same version loaded anew."""
-    again = PipelineModel.load(f"{stored_models(spark, sf_dir)}/gbt/v000001")
+    again = PipelineModel.load(f"{stored_models(spark, sf_dir, 'gbt')}/gbt/v000001")
     return _determined(_stored_scores(spark, sf_dir, "gbt"), scoring.score_posts(counted(spark, sf_dir), again))
 
 

@@ -8,6 +8,7 @@ from agoralens.operators import scoring
 from agoralens.operators.filters import min_tokens, positives
 from agoralens.operators.projections import with_clean_text
 from agoralens.operators.scoring import BatchScorer, Lexicon, LexiconTable, score_posts, train_scorer
+from agoralens.plans import post_queries
 from agoralens.session import materialise
 
 
@@ -217,3 +218,22 @@ def test_a_task_of_a_fit_reads_a_bounded_number_of_rows(spark, monkeypatch, clas
     assert sum(r["count"] for r in seen) == 80 and max(r["count"] for r in seen) <= 9
     rows = collected(score_posts(posts(spark, [t for t, _ in texts[:2]]), model))
     assert [r.prediction for r in rows] == [0, 1]
+
+
+def test_stored_scores_fit_only_their_model_and_clean_once(spark, tmp_path, monkeypatch, plan_of):
+    """Before, boosted trees were fitted too, which the query doesn't load, and both sides of its join cleaned all posts."""
+    texts = [(k, ("awful gloom " if k % 2 else "good fine ") + words(k % 14), "s") for k in range(60)]
+    spark.createDataFrame(texts, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.range(60).selectExpr("id doc_id", "0 quality", "cast(id % 2 as int) toxic").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.range(60).selectExpr("id o_orderkey", "id o_custkey", "timestamp_ntz'2024-01-01' o_orderdate").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(60).selectExpr("id event_id", "'t' event_type", "timestamp_ntz'2024-01-02' ts").write.parquet(str(tmp_path / "events.parquet"))
+    fitted, real = [], scoring.train_scorer
+    monkeypatch.setattr(scoring, "train_scorer", lambda rows, classifier="logistic": fitted.append(classifier) or real(rows, classifier=classifier, features=1 << 10))
+    result = post_queries.score_posts_stored(spark, str(tmp_path))
+    assert fitted == ["logistic", "logistic"]
+    assert "regexp_replace" not in plan_of(result)
+    rows = result.collect()
+    assert len(rows) == 69 and all(r.in_domain and r.same for r in rows)
+    assert sum(r.scored for r in rows) == sum((1 + (k % 7 == 0)) for k in range(60) if k % 14 > 8)
+    post_queries.score_posts_ml(spark, str(tmp_path)).count()
+    assert fitted == ["logistic", "logistic"]
